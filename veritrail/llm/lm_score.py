@@ -1,7 +1,7 @@
 """Language-model scores: the marginal probability of a text over all its segmentations into subwords.
 
-The subwords are those of a public tokenizer's vocabulary, whose own order of scores gives the first weights; one
-round of expectation over the training documents' counted words, every word's segmentations weighed by the forward
+The subwords are those of a public tokenizer's vocabulary, whose own order of scores gives the first weights; ROUNDS
+rounds of expectation over the training documents' counted words, every word's segmentations weighed by the forward
 and backward sums, gives the unigram weights that are used. A word's probability is the sum over all segmentations
 of the mark of a word's start and its characters (log-space forward recursion); characters outside the vocabulary go
 by their bytes. A text's is the product of its words' and of the end token's.
@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,6 +31,7 @@ HEAD = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 MARK, END = "▁", "</s>"
 PRIOR = 0.1
+ROUNDS = 2
 FLUSH = 300_000
 
 
@@ -89,6 +91,68 @@ class Lattice:
                 b[i] = hi + math.log1p(math.exp(lo - hi)) if lo > -math.inf else hi
 
 
+class Lattices:
+    """Lattice's sums for many words at once: words of one length have the same edges, so their recursions run side by side. Long words, and those with characters outside the vocabulary, go by Lattice one by one."""
+
+    LONG = 40
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.single, self.pieces = Lattice(weights), list(weights)
+        self.at = {p: i for i, p in enumerate(self.pieces)}
+        self.log = np.append(np.fromiter(weights.values(), float, len(weights)), -np.inf)  # the last stands for no piece
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]]:
+        """(which words, their edges' pieces, the edges' starts, their ends); no pieces for words that go one by one."""
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by.setdefault(len(w) + 1, []).append(k)
+        get, none = self.at.get, len(self.pieces)
+        for n, which in by.items():
+            which = np.array(which)
+            if n > self.LONG:
+                yield which, None, which, which
+                continue
+            edges = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.single.longest), j)]
+            for part in np.array_split(which, -(-len(which) // 4096)):
+                ids = np.array([[get(t[i:j], none) for i, j in edges] for t in (MARK + words[k] for k in part)], np.int32)
+                starts, ends = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+                odd = (ids[:, ends - starts == 1] == none).any(axis=1)
+                if odd.any():
+                    yield part[odd], None, starts, ends
+                if not odd.all():
+                    yield part[~odd], ids[~odd], starts, ends
+
+    def forward(self, weight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        a = np.zeros((len(weight), int(ends[-1]) + 1))
+        for j in range(1, a.shape[1]):
+            here = ends == j
+            a[:, j] = np.logaddexp.reduce(a[:, starts[here]] + weight[:, here], axis=1)
+        return a
+
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for which, ids, starts, ends in self.groups(words):
+            out[which] = [self.single.log_probability(words[k]) for k in which] if ids is None else self.forward(self.log[ids], starts, ends)[:, -1]
+        return out
+
+    def expect(self, words: list[str], times: list[int], into: np.ndarray, others: dict[str, float]) -> None:
+        """Adds the pieces' expected counts; those of words that go one by one to others."""
+        times_ = np.array(times, float)
+        for which, ids, starts, ends in self.groups(words):
+            if ids is None:
+                for k in which:
+                    self.single.expect(words[k], times_[k], others)
+                continue
+            weight = self.log[ids]
+            a = self.forward(weight, starts, ends)
+            b = np.zeros_like(a)
+            for i in range(a.shape[1] - 2, -1, -1):
+                here = starts == i
+                b[:, i] = np.logaddexp.reduce(b[:, ends[here]] + weight[:, here], axis=1)
+            share = np.exp(a[:, starts] + weight + b[:, ends] - a[:, -1:]) * times_[which][:, None]
+            into += np.bincount(ids.ravel(), share.ravel(), minlength=len(into))
+
+
 def _training() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT, F.lit(True))
 
@@ -121,15 +185,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def unigram(words: DataFrame, ends: int, first: dict[str, float]) -> dict[str, float]:
-    """Log weights of the pieces after one round of expectation over the counted training words; a row for each piece of the vocabulary comes back."""
+    """Log weights of the pieces after a round of expectation over the counted training words; a row for each piece of the vocabulary comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, into = Lattice(first), {}
+        lattices, others = Lattices(first), {}
+        into = np.zeros(len(first) + 1)
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lattice.expect(word, float(c), into)
-        kept: dict[str, float] = {}
-        for p, v in into.items():
+            lattices.expect(batch.column(0).to_pylist(), batch.column(1).to_pylist(), into, others)
+        kept = {p: float(v) for p, v in zip(first, into, strict=False) if v}
+        for p, v in others.items():
             for q in [p] if p in first else [f"<0x{b:02X}>" for b in p.encode("utf-8", "surrogatepass")]:
                 kept[q] = kept.get(q, 0.0) + v
         yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.float64())], ["piece", "n"])
@@ -149,14 +213,16 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, head: int = HEAD)
     ends = docs.where("train").count()
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     first = vocabulary(vocabulary_path)
-    weights = unigram(counted, ends, first) if ends else first
+    weights = first
+    for _ in range(ROUNDS if ends else 0):
+        weights = unigram(counted, ends, weights)
     floor, log10 = float(n + v + 1), math.log(10)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(weights)
+        lattices = Lattices(weights)
         for batch in batches:
             words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("seen"), pa.array([lattice.log_probability(w) / log10 for w in words], pa.float64())], ["word", "c", "seen", "lattice"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("seen"), pa.array(lattices.log_probability(words) / log10, pa.float64())], ["word", "c", "seen", "lattice"])
 
     rated = staged(counted.mapInArrow(rate, "word string, c long, seen long, lattice double"), "rated")
     least = max(1, -(-(totals["all"] or 0) // head))
