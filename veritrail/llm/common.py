@@ -97,5 +97,10 @@ MAX_SENT = 1_000_000
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is not in gone; rows without a doc_id stay."""
-    gone = staged(gone.select("doc_id").where("doc_id is not null").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_SENT else gone, "doc_id", "left_anti").select(docs.columns)
+    gone = sent_if_small(staged(gone.select("doc_id").where("doc_id is not null").distinct(), "gone"))
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def sent_if_small(ids: DataFrame) -> DataFrame:
+    """ids (one column of numbers, written already) to be sent to all executors if there are MAX_SENT at most."""
+    return F.broadcast(ids) if ids.count() <= MAX_SENT else ids

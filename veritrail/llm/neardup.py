@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import SPACE_WORDS, components, low_bytes, partitions, runs, staged, table
+from veritrail.llm.common import SPACE_WORDS, components, low_bytes, partitions, runs, sent_if_small, staged, table
 from veritrail.llm.hashing import WordHashes, grams, minima, mixed
 
 SHINGLE = 5
@@ -119,7 +119,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = SHINGLE) ->
     bands = classes.where("rep is not null").select("rep", F.explode("bands").alias("band"))
     leaders = bands.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = staged(bands.join(leaders, "band").where("rep <> leader").groupBy("leader", "rep").count().drop("count"), "met")
-    involved = met.select("rep").union(met.select("leader")).distinct()
+    involved = sent_if_small(staged(met.select("rep").union(met.select("leader")).distinct(), "involved"))
     whole = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

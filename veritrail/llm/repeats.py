@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import SPACE_WORDS, in_order, low_bytes, staged, table
+from veritrail.llm.common import SPACE_WORDS, in_order, low_bytes, sent_if_small, staged, table
 from veritrail.llm.hashing import WordHashes, grams
 
 LEAST, KMER, SPAN = 50, 10, 32
@@ -108,8 +108,8 @@ def spans(docs: DataFrame) -> DataFrame:
     classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = found.join(classes.where("rep is not null"), (found["class"] == classes["class"]) & (found["doc_id"] == classes["rep"])).select("rep", F.explode("kmers").alias("k")).select("rep", "k.h", "k.at")
     often = reps.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = reps.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_set("at")).alias("places"))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(kept, "rep")
+    kept = staged(reps.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_set("at")).alias("places")), "places")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(sent_if_small(kept.select("rep")), "rep", "left_semi").join(kept, "rep")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["right", "doc", "place", "left"]
