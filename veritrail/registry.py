@@ -1,5 +1,6 @@
 """Queries of the verification and review operators, and their SQL."""
 
-FLAGSHIP = None
-QUERIES: dict = {}
-ORACLES: dict = {}
+from veritrail.oracles import ORACLES  # noqa: F401
+from veritrail.queries import QUERIES
+
+FLAGSHIP = QUERIES["verify_cases"]
