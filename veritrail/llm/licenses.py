@@ -56,7 +56,7 @@ def document_frequency(docs: DataFrame, words: frozenset[bytes]) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 seen.update(words.intersection(ALNUM_WORDS.findall(low_bytes(text))))
-        yield pd.DataFrame({"word": [x.decode() for x in seen], "docs": list(seen.values())}).astype({"docs": "int64"})
+        yield pd.DataFrame({"word": pd.Series([x.decode() for x in seen], dtype=object), "docs": pd.Series(list(seen.values()), dtype="int64")})
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
 
@@ -105,11 +105,11 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, rare: int = RARE, agree:
         return len(got), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels)), float(score)
 
     names = [x.split()[0] for x in FOUND.split(", ")]
-    kinds = {"doc_id": "Int64", "n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64"}
+    kinds = {"doc_id": "Int64", "n_words": "int64", "n_base": "int64", "first_word": "Int64", "last_word": "Int64", "score": "float64"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(None if pd.isna(d) else d, *of(x)) for d, x in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True)], columns=names).astype(kinds)
+            yield pd.DataFrame([(None if pd.isna(d) else d, *of(x)) for d, x in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True)], columns=names, dtype=object).astype(kinds)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, FOUND)
 
