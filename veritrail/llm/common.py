@@ -42,6 +42,19 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts in an Arrow batch; they may be long, and both sides hold a whole batch in memory.
+BATCH = 1000
+
+
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends BATCH of them to Python at a time at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH:
+        conf.set(key, BATCH)
+    return docs
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

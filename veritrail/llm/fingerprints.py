@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import in_order, table
+from veritrail.llm.common import in_order, in_small_batches, table
 from veritrail.llm.hashing import mixed
 
 KMER, BUCKETS, TUPLE = 8, 64, 2
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             texts = [x if isinstance(x, str) else "" for x in batch["text"].tolist()]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_chars": [len(x) for x in texts], "fingerprint": [written(order_minhash(x)) for x in texts]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, n_chars long, fingerprint string")
 
 
 def edits_and_neighbours(docs: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def edits_and_neighbours(docs: DataFrame) -> DataFrame:
             edges = _frame([(x[0], *[None] * (len(_NAMES) - 1)) for x in (first, held)])
             yield edges.assign(part=part, edge=pd.Series(["first", "last"], dtype=object), text=pd.Series([first[1], held[1]], dtype=object))
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     found = in_order(plain, order, step, f"{RESULT}, part int, edge string, text string", "fingerprints")
     parts = sorted(x["part"] for x in found.where("edge = 'first'").select("part").collect())  # one for each task

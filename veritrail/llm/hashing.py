@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-MAX_KNOWN = 1_000_000
+MAX_KNOWN = 300_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

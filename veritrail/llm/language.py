@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import staged, table
+from veritrail.llm.common import in_small_batches, staged, table
 
 BUCKETS = 8192
 TRAINING = 4000
@@ -104,7 +104,7 @@ def identify(docs: DataFrame, labelled: DataFrame, markup: bool = False) -> Data
             yield pd.concat([batch[["id", "host", "domain"]].reset_index(drop=True), pd.Series(text_lang, name="text_lang", dtype=object), out, pd.DataFrame(post, columns=sums)], axis=1)
 
     shape = "id long, host string, domain string, text_lang string, " + ", ".join(f"{x} double" for x in columns + sums)
-    told = staged(docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("declared").cast("string").alias("declared"), F.col("suffix").cast("string").alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("domain", F.lit("")).alias("domain")).mapInPandas(run, shape), "evidence")
+    told = staged(in_small_batches(docs).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("declared").cast("string").alias("declared"), F.col("suffix").cast("string").alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("domain", F.lit("")).alias("domain")).mapInPandas(run, shape), "evidence")
     hosts = staged(told.groupBy("domain", "host").agg(*[F.sum(x).alias(f"h{x}") for x in sums]), "hosts")
     domains = hosts.groupBy("domain").agg(*[F.sum(f"h{x}").alias(f"d{x}") for x in sums])
     every = hosts.agg(*[F.sum(f"h{x}") for x in sums]).first()

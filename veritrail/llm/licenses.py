@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import ALNUM_WORDS, low_bytes, table
+from veritrail.llm.common import ALNUM_WORDS, in_small_batches, low_bytes, table
 
 #: Phrases that give a label wherever their words stand in a row.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -58,7 +58,7 @@ def document_frequency(docs: DataFrame, words: frozenset[bytes]) -> DataFrame:
                 seen.update(words.intersection(ALNUM_WORDS.findall(low_bytes(text))))
         yield pd.DataFrame({"word": pd.Series([x.decode() for x in seen], dtype=object), "docs": pd.Series(list(seen.values()), dtype="int64")})
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    return in_small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
 
 
 def scan(docs: DataFrame, templates: list = TEMPLATES, rare: int = RARE, agree: int = AGREE, share: float = SHARE) -> DataFrame:

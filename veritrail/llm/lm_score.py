@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import SPACE_WORDS, low_bytes, staged, table
+from veritrail.llm.common import SPACE_WORDS, in_small_batches, low_bytes, staged, table
 
 HEAD = 1_000_000
 FOLDS, HELD_OUT = 7, 2
@@ -207,7 +207,7 @@ def unigram(words: DataFrame, ends: int, first: dict[str, float]) -> dict[str, f
 def score(docs: DataFrame, vocabulary_path: str | None = None, head: int = HEAD) -> DataFrame:
     """docs: doc_id, text, train. doc_id, train, n_tokens, n_known, train_tokens, base_score, score for each row."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "train")
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "train")
     counted = staged(word_counts(docs), "words")
     totals = counted.agg(F.sum("c").alias("n"), F.sum("seen").alias("all"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = docs.where("train").count()

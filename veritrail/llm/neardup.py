@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import SPACE_WORDS, components, low_bytes, partitions, runs, sent_if_small, staged, table
+from veritrail.llm.common import SPACE_WORDS, components, in_small_batches, low_bytes, partitions, runs, sent_if_small, staged, table
 from veritrail.llm.hashing import WordHashes, grams, minima, mixed
 
 SHINGLE = 5
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _schema, strict=True)], schema=_schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
 def joined(sets: list[np.ndarray], sketches: np.ndarray, own: np.ndarray, percent: int) -> list[tuple[int, int]]:

@@ -23,7 +23,7 @@ import re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import table
+from veritrail.llm.common import in_small_batches, table
 
 WINDOW, END_ID = 2048, 1
 MAX_OPEN = 4096
@@ -32,7 +32,7 @@ LETTERS, DIGITS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s{LETTERS}{DIGITS}]+")
 #: Texts beyond this simple repertoire go to the tokenizer whole.
 ODD = re.compile(r"[^\x09-\x0d\x20-\x7e\xa0-\xff]|<\|")
-MAX_CACHE = 1_000_000
+MAX_CACHE = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
         packer.squeeze(last=True)
         yield packer.pieces()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

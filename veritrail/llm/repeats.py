@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import SPACE_WORDS, in_order, low_bytes, sent_if_small, staged, table
+from veritrail.llm.common import SPACE_WORDS, in_order, in_small_batches, low_bytes, sent_if_small, staged, table
 from veritrail.llm.hashing import WordHashes, grams
 
 LEAST, KMER, SPAN = 50, 10, 32
@@ -103,7 +103,7 @@ class Suffix:
 
 def spans(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. doc_id, n_words, spans (array of start, end in words, merged and in order) for each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = staged(minimisers(docs), "minimisers")
     classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = found.join(classes.where("rep is not null"), (found["class"] == classes["class"]) & (found["doc_id"] == classes["rep"])).select("rep", F.explode("kmers").alias("k")).select("rep", "k.h", "k.at")

@@ -24,7 +24,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from veritrail.llm.common import ALNUM_WORDS, low_bytes, table
+from veritrail.llm.common import ALNUM_WORDS, in_small_batches, low_bytes, table
 
 SAMPLE, SAMPLE_CHARS = 3000, 20_000_000
 FOLDS = 5
@@ -129,7 +129,7 @@ def train(rows: list[tuple[bytes, int]], ratio: float = 1.0) -> tuple | None:
 
 def score(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> DataFrame:
     """docs: doc_id, text; labels: doc_id, toxic. doc_id, score for each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(*sample(docs, labels, each))
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
