@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritrail.llm.common import SPACE_WORDS, in_small_batches, low_bytes, staged, table
+from veritrail.llm.hashing import mixed
+
 
 HEAD = 1_000_000
 FOLDS, HELD_OUT = 7, 2
@@ -94,39 +96,75 @@ class Lattice:
 class Lattices:
     """Lattice's sums for many words at once: words of one length have the same edges, so their recursions run side by side. Long words, and those with characters outside the vocabulary, go by Lattice one by one."""
 
-    LONG = 40
+    LONG, BASE = 40, 0x100000001B3
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.single, self.pieces = Lattice(weights), list(weights)
-        self.at = {p: i for i, p in enumerate(self.pieces)}
+        self.indexed()
         self.log = np.append(np.fromiter(weights.values(), float, len(weights)), -np.inf)  # the last stands for no piece
 
+    def indexed(self) -> None:
+        """Pieces by a 64-bit hash of their characters, in two tables: the second has those whose slot in the first is taken."""
+        none, self.keys = len(self.pieces), np.zeros(len(self.pieces) + 1, np.uint64)
+        for i, p in enumerate(self.pieces):
+            h = 0
+            for c in p:
+                h = (h * self.BASE + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            self.keys[i] = h
+        self.again, spread = np.uint64(0x9E3779B97F4A7C15), mixed(self.keys[:-1])
+        self.tables = [np.full(1 << 20, none, np.int32) for _ in range(2)]
+        slot = (spread >> np.uint64(44)).astype(np.int64)
+        _, first = np.unique(slot, return_index=True)
+        self.tables[0][slot[first]] = first
+        rest = np.setdiff1d(np.arange(none), first)
+        while len(np.unique(other := ((spread[rest] * self.again) >> np.uint64(44)).astype(np.int64))) < len(rest):
+            self.again += np.uint64(2)
+        self.tables[1][other] = rest
+
+    def piece_of(self, h: np.ndarray) -> np.ndarray:
+        none, spread = len(self.pieces), mixed(h)
+        first = self.tables[0][(spread >> np.uint64(44)).astype(np.int64)]
+        second = self.tables[1][((spread * self.again) >> np.uint64(44)).astype(np.int64)]
+        return np.where(self.keys[first] == h, first, np.where(self.keys[second] == h, second, none))
+
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]]:
         """(which words, their edges' pieces, the edges' starts, their ends); no pieces for words that go one by one."""
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by.setdefault(len(w) + 1, []).append(k)
-        get, none = self.at.get, len(self.pieces)
+        none = len(self.pieces)
         for n, which in by.items():
             which = np.array(which)
             if n > self.LONG:
                 yield which, None, which, which
                 continue
             edges = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.single.longest), j)]
+            starts, ends = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+            at = {e: k for k, e in enumerate(edges)}
             for part in np.array_split(which, -(-len(which) // 4096)):
-                ids = np.array([[get(t[i:j], none) for i, j in edges] for t in (MARK + words[k] for k in part)], np.int32)
-                starts, ends = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+                points = np.frombuffer("".join(MARK + words[k] for k in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n).astype(np.uint64)
+                ids, h = np.empty((len(part), len(edges)), np.int32), np.zeros((len(part), n + 1), np.uint64)
+                for size in range(1, min(n, self.single.longest) + 1):
+                    h = h[:, : n - size + 1] * np.uint64(self.BASE) + points[:, size - 1 :]
+                    ids[:, [at[i, i + size] for i in range(n - size + 1)]] = self.piece_of(h)
                 odd = (ids[:, ends - starts == 1] == none).any(axis=1)
                 if odd.any():
                     yield part[odd], None, starts, ends
                 if not odd.all():
                     yield part[~odd], ids[~odd], starts, ends
 
+    @staticmethod
+    def total(terms: np.ndarray) -> np.ndarray:
+        """Logarithm of the rows' summed exponentials; every row has a finite term."""
+        top = terms.max(axis=1)
+        return top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+
     def forward(self, weight: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         a = np.zeros((len(weight), int(ends[-1]) + 1))
+        cuts = np.searchsorted(ends, np.arange(1, a.shape[1] + 1))  # edges are in order of their ends
         for j in range(1, a.shape[1]):
-            here = ends == j
-            a[:, j] = np.logaddexp.reduce(a[:, starts[here]] + weight[:, here], axis=1)
+            here = slice(cuts[j - 1], cuts[j])
+            a[:, j] = self.total(a[:, starts[here]] + weight[:, here])
         return a
 
     def log_probability(self, words: list[str]) -> np.ndarray:
@@ -147,12 +185,25 @@ class Lattices:
             a = self.forward(weight, starts, ends)
             b = np.zeros_like(a)
             for i in range(a.shape[1] - 2, -1, -1):
-                here = starts == i
-                b[:, i] = np.logaddexp.reduce(b[:, ends[here]] + weight[:, here], axis=1)
+                here = np.flatnonzero(starts == i)
+                b[:, i] = self.total(b[:, ends[here]] + weight[:, here])
             share = np.exp(a[:, starts] + weight + b[:, ends] - a[:, -1:]) * times_[which][:, None]
             into += np.bincount(ids.ravel(), share.ravel(), minlength=len(into))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Small batches together, so that many words of one length meet."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _training() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) != HELD_OUT, F.lit(True))
 
@@ -190,7 +241,7 @@ def unigram(words: DataFrame, ends: int, first: dict[str, float]) -> dict[str, f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices, others = Lattices(first), {}
         into = np.zeros(len(first) + 1)
-        for batch in batches:
+        for batch in gathered(batches):
             lattices.expect(batch.column(0).to_pylist(), batch.column(1).to_pylist(), into, others)
         kept = {p: float(v) for p, v in zip(first, into, strict=False) if v}
         for p, v in others.items():
@@ -220,9 +271,9 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, head: int = HEAD)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(weights)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("seen"), pa.array(lattices.log_probability(words) / log10, pa.float64())], ["word", "c", "seen", "lattice"])
+        for words in gathered(batches):
+            own = lattices.log_probability(words.column("word").to_pylist()) / log10
+            yield from words.append_column("lattice", pa.array(own, pa.float64())).combine_chunks().to_batches()
 
     rated = staged(counted.mapInArrow(rate, "word string, c long, seen long, lattice double"), "rated")
     least = max(1, -(-(totals["all"] or 0) // head))
