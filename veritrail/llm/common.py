@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -65,7 +66,8 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
     for batch in batches:
         if batch.empty:
             continue
-        change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+        change = np.ones(len(batch), bool)
+        change[1:] = np.any([batch[k].to_numpy()[1:] != batch[k].to_numpy()[:-1] for k in keys], axis=0)
         change[0] = not held or any(held[-1][k].iloc[-1] != batch[k].iloc[0] for k in keys)
         starts = [*change.nonzero()[0], len(batch)]
         if starts[0]:
