@@ -58,8 +58,10 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def models(labelled: DataFrame, rows: int = TRAINING) -> tuple[list[str], np.ndarray]:
-    """labelled: id, text, lang. Languages and their log trigram probabilities, "und" last, from the first rows by a hash of their id."""
-    few = labelled.where("text is not null and lang is not null").orderBy(F.xxhash64("id"), "id").limit(rows).select("text", "lang")
+    """labelled: id, text, lang. Languages and their log trigram probabilities, "und" last, from the texts of the first ids by a hash; rows without an id teach nothing."""
+    usable = labelled.where("id is not null and text is not null and lang is not null")
+    first = usable.select("id").orderBy(F.xxhash64("id"), "id").limit(rows)  # ids alone go to one task, not texts
+    few = usable.join(F.broadcast(first), "id", "left_semi").select("text", "lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
