@@ -107,8 +107,8 @@ def spans(docs: DataFrame) -> DataFrame:
     found = staged(minimisers(docs), "minimisers")
     classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = found.join(classes.where("rep is not null"), (found["class"] == classes["class"]) & (found["doc_id"] == classes["rep"])).select("rep", F.explode("kmers").alias("k")).select("rep", "k.h", "k.at")
-    often = reps.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    kept = staged(reps.join(often, "h").groupBy("rep").agg(F.sort_array(F.collect_set("at")).alias("places")), "places")
+    often = staged(reps.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")  # written, so that a k-mer with very many rows isn't tied to the task that counted it
+    kept = staged(reps.join(sent_if_small(often), "h").groupBy("rep").agg(F.sort_array(F.collect_set("at")).alias("places")), "places")
     texts = docs.withColumnRenamed("doc_id", "rep").join(sent_if_small(kept.select("rep")), "rep", "left_semi").join(kept, "rep")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
