@@ -107,11 +107,12 @@ def identify(docs: DataFrame, labelled: DataFrame, markup: bool = False) -> Data
 
     shape = "id long, host string, domain string, text_lang string, " + ", ".join(f"{x} double" for x in columns + sums)
     told = staged(in_small_batches(docs).select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("declared").cast("string").alias("declared"), F.col("suffix").cast("string").alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("domain", F.lit("")).alias("domain")).mapInPandas(run, shape), "evidence")
-    hosts = staged(told.groupBy("domain", "host").agg(*[F.sum(x).alias(f"h{x}") for x in sums]), "hosts")
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{x}").alias(f"d{x}") for x in sums])
-    every = hosts.agg(*[F.sum(f"h{x}") for x in sums]).first()
-    total = math.fsum(x or 0.0 for x in every) + n
-    overall = [((x or 0.0) + 1) / total for x in every]
+    # whole millionths, so that the sums don't hang on the order in which rows come
+    hosts = staged(told.groupBy("domain", "host").agg(*[F.sum(F.round(F.col(x) * 1e6).cast("long")).alias(f"h{x}") for x in sums]), "hosts")
+    domains = hosts.groupBy("domain").agg(*[(F.sum(f"h{x}") / 1e6).alias(f"d{x}") for x in sums])
+    every = [(x or 0) / 1e6 for x in hosts.agg(*[F.sum(f"h{x}") for x in sums]).first()]
+    total = math.fsum(every) + n
+    overall = [(x + 1) / total for x in every]
 
     def share(own: Column, whole: Column, above: Column | float) -> Column:
         return (F.greatest(own, F.lit(0.0)) + SMOOTH * above) / (F.greatest(whole, F.lit(0.0)) + SMOOTH)
@@ -119,7 +120,7 @@ def identify(docs: DataFrame, labelled: DataFrame, markup: bool = False) -> Data
     def added(prefix: str) -> Column:
         return sum((F.col(f"{prefix}{x}") for x in sums[1:]), F.col(f"{prefix}{sums[0]}"))
 
-    prior = hosts.join(domains, "domain")
+    prior = hosts.select("domain", "host", *[(F.col(f"h{x}") / 1e6).alias(f"h{x}") for x in sums]).join(domains, "domain")
     fused = told.join(prior, ["domain", "host"])  # a host of very many rows is one row on the other side: a skewed join, which Spark splits
     named = F.col("host") != ""
     logs_of = [
