@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from veritrail.operators import blocks as B
 from veritrail.oracles import ORACLES
-from veritrail.plans import verify as P
+from veritrail.plans import payload as O, verify as P
 from veritrail.queries import QUERIES
 from veritrail.sources import tables as X
 
@@ -69,3 +70,26 @@ def test_header_units(spark):
 def test_empty_tables(spark):
     nothing = spark.createDataFrame([], "case_id long, text string")
     assert P.verify_cases(nothing, nothing.withColumn("page", F.lit(1))).count() == 0
+
+
+def test_blocks(spark):
+    text = "1. Head\n[part]\no one\n- two\nName\t Sum \n\tleft\n2. inside\t9\nrest of it\n- swallowed\n\n\tfirst\tof all\n3. Next\nplain"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, " \n ")], "case_id long, text string")
+    got = [(x["case_id"], x["block_id"], x["kind"], x["rows"]) for x in B.segment_blocks(rows).orderBy("case_id", "block_id").collect()]
+    assert got == [
+        (1, 1, "h2", ["1. Head"]), (1, 2, "h3", ["[part]"]), (1, 3, "list", ["one", "two"]), (1, 4, "table", ["Name\tSum", "\tleft", "2. inside\t9"]), (1, 5, "paragraph", ["rest of it - swallowed"]),
+        (1, 6, "table", ["\tfirst\tof all"]), (1, 7, "h2", ["3. Next"]), (1, 8, "paragraph", ["plain"]),
+    ]
+
+
+def test_payload_and_report(spark, tmp_path):
+    reports = spark.createDataFrame([(1, "2020년 매출액은 1,234백만원으로 A&B 증가했다.")], "case_id long, text string")
+    pages = spark.createDataFrame([(1, 1, "매출액은 <1,234백만원>, amp & more")], "case_id long, page int, text string")
+    results = P.verify_cases(reports, pages)
+    row = O.evidence_payload(results).first()
+    shown = row["evidence_pdf"][0]
+    assert "<b>" in shown["snippet_html"] and "&lt;" in shown["snippet_html"] and "&amp;" in shown["snippet_html"] and shown["snippet_raw"].startswith("매출액은 <1,234")
+    assert row["evidence_xlsx"] == [] and row["num_total"] == len(row["numbers"])
+    O.write_report_json(results, str(tmp_path / "report"))
+    claims, heads = spark.read.json(f"{tmp_path}/report/claims"), spark.read.json(f"{tmp_path}/report/heads").first()
+    assert claims.count() == 1 and "evidence_pdf" in claims.columns and heads["total_claims"] == 1 and heads["thresholds"]["number_partial"] == 0.22

@@ -134,3 +134,16 @@ SELECT case_id, total, reviewed, audit_risk, required_undecided, round(ws, 4) AS
     "filter_results": f"WITH {_REVIEW} SELECT case_id, claim_id FROM rv WHERE (contains(lower(claim_norm), 'line 1') OR (hn AND contains(dg || ' 7', 'line 1'))) AND (claim_id BETWEEN 10 AND 9000 OR claim_id BETWEEN 70000 AND 90000) AND st = 'PARTIAL' AND {_has('NUM_MISSING')} AND decision = 'EDIT'",
     "review_export": f"WITH {_REVIEW} SELECT case_id, claim_id, claim_norm AS claim_text, array_to_string(tags, '|') AS quality_tags, array_to_string(list_transform(tags, lambda t: {_LABELS}[t]), '|') AS risk_tags, decision, note, array_to_string(missing, '|') AS missing_numbers, CASE WHEN hn THEN dg || '|7' ELSE '' END AS numbers, CASE st WHEN 'SUPPORTED' THEN '근거확인' WHEN 'PARTIAL' THEN '근거불충분' ELSE '근거미확인' END AS overall, st AS overall_raw FROM rv",
 }
+
+_OPENS = "CASE WHEN regexp_matches(line, '^\\d+\\.\\s+\\S') THEN 'h2' WHEN (line LIKE '[%' AND line LIKE '%]') OR (line LIKE '【%' AND line LIKE '%】') THEN 'h3' WHEN regexp_matches(line, '^[oO•-]\\s+') THEN 'list' WHEN contains(line, chr(9)) THEN 'table' ELSE 'paragraph' END"
+ORACLES["segment_blocks"] = f"""
+WITH l AS (SELECT doc_id AS case_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split({_trim(_norm("coalesce(text, '')"))}, chr(10)) AS ls FROM documents)),
+n AS (SELECT case_id, pos, raw, {_trim('raw')} AS line FROM l),
+o AS (SELECT *, {_OPENS} AS opens, contains(raw, chr(9)) AS tabbed, sum(CAST(line = '' AS INT)) OVER w AS run, sum(CAST(NOT contains(raw, chr(9)) AS INT)) OVER w AS tabs FROM n WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+t AS (SELECT * REPLACE (CASE WHEN tabbed AND bool_or(opens = 'table') OVER (PARTITION BY case_id, run, tabs ORDER BY pos) THEN 'table' ELSE opens END AS opens) FROM o WHERE line <> ''),
+k AS (SELECT *, CASE WHEN bool_or(opens = 'paragraph') OVER (PARTITION BY case_id, run ORDER BY pos) THEN 'paragraph' ELSE opens END AS kind FROM t),
+s AS (SELECT *, CAST(kind IN ('h2', 'h3') OR lag(kind) OVER w IS DISTINCT FROM kind OR lag(run) OVER w IS DISTINCT FROM run AS INT) AS starts FROM k WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+b AS (SELECT *, sum(starts) OVER (PARTITION BY case_id ORDER BY pos) AS block_id, CASE kind WHEN 'list' THEN regexp_replace(line, '^[oO•-]\\s+', '') WHEN 'table' THEN array_to_string(list_transform(string_split(raw, chr(9)), lambda c: {_trim('c')}), chr(9)) ELSE line END AS part FROM s)
+SELECT case_id, CAST(block_id AS BIGINT) AS block_id, kind, CAST(CASE WHEN kind = 'paragraph' THEN 1 ELSE count(*) END AS BIGINT) AS n_rows, md5(CASE WHEN kind = 'paragraph' THEN string_agg(part, ' ' ORDER BY pos) ELSE string_agg(part, chr(10) ORDER BY pos) END) AS md5 FROM b GROUP BY case_id, block_id, kind"""
+ORACLES["locate_claims"] = f"""WITH {SENTENCES}, n AS (SELECT case_id, o_orderkey, claim, row_number() OVER (PARTITION BY case_id ORDER BY o_orderkey) AS r FROM s)
+SELECT case_id, o_orderkey AS claim_id, 'must_review' AS mark, CAST(min(r) OVER (PARTITION BY case_id, claim) AS BIGINT) AS block_id FROM n"""

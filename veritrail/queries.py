@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritrail.functions import numbers as N, scoring as S, text as T
-from veritrail.operators import claims as C, match as M, retrieve as R
-from veritrail.plans import review as V, verify as P
+from veritrail.operators import blocks as B, claims as C, match as M, retrieve as R
+from veritrail.plans import payload as O, review as V, verify as P
 from veritrail.sources import tables as X
 
 
@@ -245,6 +245,32 @@ def verify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select([F.round(k, 6).alias(k) if kinds[k] == "double" else k for k in flat.columns])
 
 
+def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = B.segment_blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text"))
+    return found.select("case_id", F.col("block_id").cast("long").alias("block_id"), "kind", F.size("rows").cast("long").alias("n_rows"), F.md5("text").alias("md5"))
+
+
+def locate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders told as reports, every claim short of evidence, found in the reports' blocks."""
+    told = sentences(spark, sf_dir)
+    by = F.array_sort(F.collect_list(F.struct("o_orderkey", "claim")))
+    blocks = B.segment_blocks(told.groupBy("case_id").agg(by.alias("t")).select("case_id", F.array_join("t.claim", "\n\n").alias("text")))
+    rows = told.select("case_id", F.col("o_orderkey").alias("claim_id"), F.col("claim").alias("claim_norm"), F.lit("NONE").alias("decision"), F.lit(True).alias("insufficient"))
+    return V.locate_claims(rows, blocks).select("case_id", "claim_id", "mark", F.col("block_id").cast("long").alias("block_id"))
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's sentence marked with what the other trend's sentence asks."""
+    return sentences(spark, sf_dir).select("o_orderkey", F.md5(O.highlighted("claim", O.claim_tokens("evidence"))).alias("md5"))
+
+
+def evidence_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations verified, with their evidence for readers."""
+    rows = O.evidence_payload(P.verify_cases(reports(spark, sf_dir), pages(spark, sf_dir)))
+    kinds = dict(rows.dtypes)
+    return rows.select([F.round(k, 6).alias(k) if kinds[k] == "double" else F.to_json(k).alias(k) if kinds[k].startswith("array<struct") else k for k in rows.columns])
+
+
 _joined = lambda c, name: F.array_join(F.array_sort(c), "|").alias(name)
 QUERIES = {
     "verify_cases": verify_cases,
@@ -267,5 +293,6 @@ QUERIES = {
     "fact_block": of_sentences("fact_block", lambda: [S.fact_block("claim", "evidence").alias("score")]),
     "index_pages": index_documents, "split_claims": split_claims, "char_tfidf": char_tfidf, "topk_evidence": topk_evidence, "best_evidence": best_evidence, "word_idf": word_idf,
     "number_presence": number_presence, "amount_match": amount_match, "sheet_rows": sheet_rows, "sheet_amounts": sheet_amounts, "json_text_rows": json_text_rows, "clean_pages": clean_pages,
+    "segment_blocks": segment_blocks, "locate_claims": locate_claims, "highlights": highlights, "evidence_payload": evidence_payload,
     "final_score": final_score, "decide_status": decide_status, "review_rows": review_rows, "review_kpis": review_kpis, "review_scores": review_scores, "review_queue": review_queue, "kpi_drilldown": kpi_drilldown, "filter_results": filter_results, "review_export": review_export,
 }
