@@ -215,6 +215,47 @@ def test_repeats_brute_force(spark, odd, none):
     assert repeats.spans(odd).count() == odd.count() and repeats.spans(none).count() == 0
 
 
+def covered(docs):
+    """Spans of every document's words in windows of 50 that another document has, by brute force."""
+    own = {}
+    for i, w in docs.items():
+        for k in range(len(w) - 49):
+            own.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    out = {}
+    for i, w in docs.items():
+        out[i] = []
+        for k in range(len(w) - 49):
+            if len(own[tuple(w[k : k + 50])]) > 1:
+                if out[i] and out[i][-1][1] >= k:
+                    out[i][-1] = (out[i][-1][0], k + 50)
+                else:
+                    out[i].append((k, k + 50))
+    return out
+
+
+def spans_of(spark, docs):
+    rows = [(i, " ".join(w)) for i, w in docs.items()]
+    return {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"]] for x in repeats.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+
+
+def test_repeats_within_a_document(spark):
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs = {}
+    for i in range(0, 60, 2):
+        passage = some(60 if i % 4 else 200)
+        docs[i] = sum((some(rng.randint(5, 40)) + passage for _ in range(5)), []) + some(20)
+        docs[i + 1] = some(30) + passage + some(30)
+    alone = some(60)
+    docs[60] = some(10) + alone + some(10) + alone  # twice in one document, in no other
+    docs[61], docs[62] = ["same"] * 700 + some(5), some(5) + ["same"] * 300
+    for i in range(70, 110):
+        docs[i] = some(3) + docs[0][40:150] + some(3)
+    want = covered(docs)
+    assert want[60] == [] and sum(map(len, want.values())) > 180
+    assert spans_of(spark, docs) == want
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(10)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]

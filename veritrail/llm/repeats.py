@@ -1,13 +1,12 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by a sorted array of windows, sparse by minimisers.
 
-Only suffixes at content-selected places are kept: of every SPAN consecutive k-mers of words the one with the smallest
-hash (a minimiser), so that equal passages keep the same suffixes wherever they stand. k-mers that stand once in the
-corpus are dropped; the suffixes of the others are sorted by their text, in one order over all tasks, and each is
-compared with the nearest of another document before and after it: how far the two run on alike to the right, and how
-far to the left. SPAN and the words a suffix carries are such that a passage of LEAST words or more always has a
-suffix that shows LEAST of them, and consecutive suffixes cover the whole of a longer one. Neighbours across two
-tasks' borders are compared afterwards. The number of comparisons follows the number of suffixes, however many
-documents share a passage.
+A passage of LEAST words or more stands in two documents exactly if all its windows of LEAST words do, so the words
+that a document's repeated windows cover are its repeated words. Each window belongs to the k-mer of words with the
+smallest hash in it (its minimiser), which equal windows have in common; windows whose minimiser stands in one document
+only are dropped. The others are sorted by minimiser, hash of the window and document, in one order over all tasks; a
+window is repeated if its equals, which stand next to it, are of two documents or more, whatever stands around them
+and however often one document has it. A run of equals over several tasks' borders is put together afterwards. The
+number of rows follows the number of such windows, however many documents share a passage.
 
 Equal texts are one class: one of them goes through the above, and if it has LEAST words all of it is repeated. Texts
 that are null, empty or shorter than LEAST words repeat nothing. Rows repeated under one doc_id are copies like
@@ -25,37 +24,31 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veritrail.llm.common import SPACE_WORDS, in_order, in_small_batches, low_bytes, sent_if_small, staged, table
-from veritrail.llm.hashing import WordHashes, grams
+from veritrail.llm.hashing import WordHashes, grams, mixed
 
-LEAST, KMER, SPAN = 50, 10, 32
-LEFT, RIGHT = 40, 64
-#: In a stretch of one k-mer repeated, every so many places are kept.
-STRIDE = 16
+LEAST, KMER = 50, 10
 
 
-def selected(hashes: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Places of the minimisers: the leftmost smallest of every span consecutive values."""
-    n = len(hashes)
-    if n <= span:
-        return np.array([int(hashes.argmin())]) if n else np.zeros(0, np.int64)
-    low, width = hashes, 1
+def smallest(hashes: np.ndarray) -> np.ndarray:
+    """The smallest k-mer hash in every window of LEAST words."""
+    span, low, width = LEAST - KMER + 1, hashes, 1
     while width < span:
         step = min(width, span - width)
         low, width = np.minimum(low[:-step], low[step:]), width + step
-    new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    windows = len(low)
-    out, done = np.zeros(n, bool), np.zeros(windows, bool)
-    for k in range(span):  # the leftmost value that is a window's smallest
-        here = hashes[k : k + windows] == low
-        out[np.flatnonzero(here & ~done) + k] = True
-        done |= here
-    places = np.flatnonzero(out)
-    return places[new[places] | ((places - first[places]) % STRIDE == 0)]
+    return low
+
+
+def windows(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every window of LEAST words, of its k-mers end to end."""
+    n = len(hashes) - LEAST + KMER
+    out = np.zeros(n, np.uint64)
+    for k in range(0, LEAST, KMER):
+        out = mixed(out + hashes[k : k + n] + np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def minimisers(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_words, class (null below LEAST words), kmers (array of hash, place)."""
+    """docs: doc_id, text. doc_id, n_words, class (null below LEAST words), kmers (array of the minimisers' hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -66,39 +59,40 @@ def minimisers(docs: DataFrame) -> DataFrame:
                 n.append(len(words))
                 if len(words) < LEAST:
                     classes.append(None)
-                    kmers.append(([], []))
+                    kmers.append(np.zeros(0, np.int64))
                     continue
                 classes.append(xxhash.xxh128_digest(b" ".join(words)))
-                hashes = grams(known.of(words), KMER)
-                at = selected(hashes)
-                kmers.append((hashes[at].view(np.int64), at))
-            offsets = np.concatenate(([0], np.cumsum([len(x[0]) for x in kmers]))).astype(np.int32)
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([x[0] for x in kmers] or [[]]).astype(np.int64)), pa.array(np.concatenate([x[1] for x in kmers] or [[]]).astype(np.int32))], ["h", "at"])
+                kmers.append(np.unique(smallest(grams(known.of(words), KMER))).view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in kmers]))).astype(np.int32)
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *kmers]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n_words", "class", "kmers"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, class binary, kmers array<struct<h:long,at:int>>")
-
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, class binary, kmers array<long>")
 
-def alike(a: list[bytes], b: list[bytes]) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    return next(i for i in range(n) if a[i] != b[i])
 
+def in_chunks(batches: Iterator[pd.DataFrame], least: int = 50_000) -> Iterator[pd.DataFrame]:
+    """The same rows in larger frames."""
+    held, n = [], 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            n += len(batch)
+        if n >= least:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
 
-class Suffix:
-    __slots__ = ("doc", "place", "left", "right")
 
-    def __init__(self, doc: int, place: int, left: bytes, right: bytes) -> None:
-        self.doc, self.place, self.left, self.right = doc, place, left.split(), right.split()
-
-    def against(self, other: Suffix) -> list[tuple[int, int, int]]:
-        """(doc, start, end) of both if they have LEAST words alike."""
-        right = alike(self.right, other.right)
-        if right < KMER:
-            return []
-        left = alike(self.left, other.left)
-        return [(x.doc, x.place - left, x.place + right) for x in (self, other)] if left + right >= LEAST else []
+def joined(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+    """doc, start, end of what windows at these places cover, those that touch put together."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > LEAST)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
+    return pd.DataFrame({"doc": doc[first], "start": at[first], "end": at[last] + LEAST})
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -106,67 +100,71 @@ def spans(docs: DataFrame) -> DataFrame:
     docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = staged(minimisers(docs), "minimisers")
     classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = found.join(classes.where("rep is not null"), (found["class"] == classes["class"]) & (found["doc_id"] == classes["rep"])).select("rep", F.explode("kmers").alias("k")).select("rep", "k.h", "k.at")
-    often = staged(reps.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")  # written, so that a k-mer with very many rows isn't tied to the task that counted it
-    kept = staged(reps.join(sent_if_small(often), "h").groupBy("rep").agg(F.sort_array(F.collect_set("at")).alias("places")), "places")
+    reps = found.join(classes.where("rep is not null"), (found["class"] == classes["class"]) & (found["doc_id"] == classes["rep"])).select("rep", F.explode("kmers").alias("h"))
+    often = staged(reps.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("h"), "often")  # written, so that a k-mer with very many rows isn't tied to the task that counted it
+    kept = staged(reps.join(sent_if_small(often), "h").groupBy("rep").agg(F.collect_set("h").alias("kmers")), "kept")
     texts = docs.withColumnRenamed("doc_id", "rep").join(sent_if_small(kept.select("rep")), "rep", "left_semi").join(kept, "rep")
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["right", "doc", "place", "left"]
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, text, places in zip(batch.column("rep").to_pylist(), batch.column("text"), batch.column("places"), strict=True):
+            for doc, text, kmers in zip(batch.column("rep").to_pylist(), batch.column("text"), batch.column("kmers"), strict=True):
                 words = SPACE_WORDS.findall(low_bytes(text.as_py()))
-                for at in places.as_py():
-                    if at + KMER <= len(words):
-                        out[0].append(b" ".join(words[at : at + RIGHT]))
-                        out[1].append(doc)
-                        out[2].append(at)
-                        out[3].append(b" ".join(words[max(0, at - LEFT) : at][::-1]))
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
-                    out = [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
-
-    rows = texts.mapInArrow(suffixes, "right binary, doc long, place int, left binary")
-    shape = "doc long, start int, end int, part int, edge int, place int, left binary, right binary"
+                if len(words) < LEAST:
+                    continue
+                hashes = grams(known.of(words), KMER)
+                low = smallest(hashes).view(np.int64)
+                at = np.flatnonzero(np.isin(low, kmers.values.to_numpy(zero_copy_only=False)))
+                all_windows = windows(hashes).view(np.int64)
+                for k in range(0, len(at), 50_000):
+                    part = at[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(low[part]), pa.array(all_windows[part]), pa.array(np.full(len(part), doc, np.int64)), pa.array(part.astype(np.int32))], ["h", "w", "doc", "place"])
+
+    rows = texts.select("rep", "text", "kmers").mapInArrow(rows_of, "h long, w long, doc long, place int")
+    shape = "doc long, start int, end int, edge int, h long, w long"
 
     def step(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
-        """Spans, and as edges the first two documents' first suffixes and the last two's last."""
-        last: Suffix | None = None
-        other: Suffix | None = None  # the nearest before of another document than last's
-        first: list[Suffix] = []
-        for batch in batches:
-            out = []
-            for right, doc, place, left in zip(batch["right"], batch["doc"], batch["place"], batch["left"], strict=True):
-                now = Suffix(doc, place, left, right)
-                if last and last.doc != doc:
-                    other = last
-                if other:
-                    out += now.against(other)
-                if len(first) < 2 and all(x.doc != doc for x in first):
-                    first.append(now)
-                last = now
-            frame = pd.DataFrame(sorted(set(out)), columns=["doc", "start", "end"])
-            yield frame.assign(part=part, edge=0, place=0, left=None, right=None)
-        edge = [(x, 1 + i) for i, x in enumerate(first)] + [(x, 3 + i) for i, x in enumerate([last, other]) if x]
-        yield pd.DataFrame([(x.doc, 0, 0, part, e, x.place, b" ".join(x.left), b" ".join(x.right)) for x, e in edge], columns=["doc", "start", "end", "part", "edge", "place", "left", "right"])
-
-    ordered = in_order(rows, [F.col("right"), F.col("doc"), F.col("place")], step, shape, "repeats")
+        """What repeated windows cover (edge 0). Of a task's first and last window, if it stands in one document here, what it covers (1); else that it is repeated (2)."""
+        names = ("h", "w", "doc", "place")
+        held = [np.zeros(0, np.int64) for _ in names]  # the last window's rows, all of one document so far
+        first = sure = None  # the task's first window, and the last if it is known to be repeated
+        sent: set[tuple[int, int]] = set()
+
+        def edge(key: tuple[int, int], frame: pd.DataFrame, kind: int) -> pd.DataFrame:
+            return frame.assign(edge=kind, h=key[0], w=key[1])
+
+        def mark(key: tuple[int, int], doc: int) -> Iterator[pd.DataFrame]:
+            if key not in sent:
+                sent.add(key)
+                yield edge(key, pd.DataFrame({"doc": [doc], "start": [0], "end": [0]}), 2)
+
+        for chunk in in_chunks(batches):
+            h, w, doc, at = (np.concatenate((a, chunk[k].to_numpy())) for a, k in zip(held, names, strict=True))
+            starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]))))
+            ends = np.append(starts[1:], len(h))
+            key = lambda i: (int(h[i]), int(w[i]))  # noqa: B023, E731
+            first = first or key(0)
+            repeated = doc[starts] != doc[ends - 1]
+            repeated[0] |= sure == key(0)
+            yield edge((0, 0), joined(*(x[np.repeat(repeated, ends - starts)] for x in (doc, at))), 0)
+            if key(0) == first:
+                if repeated[0]:
+                    yield from mark(first, doc[0])
+                elif len(starts) > 1:
+                    yield edge(first, joined(doc[: ends[0]], at[: ends[0]]), 1)
+            sure = key(-1) if repeated[-1] else None
+            held = [x[len(h) if repeated[-1] else starts[-1] :] for x in (h, w, doc, at)]
+            last = int(doc[-1])
+        if sure:
+            yield from mark(sure, last)
+        elif len(held[0]):
+            yield edge((int(held[0][0]), int(held[1][0])), joined(held[2], held[3]), 1)
+
+    ordered = in_order(rows, [F.col("h"), F.col("w"), F.col("doc"), F.col("place")], step, shape, "repeats")
     inner = ordered.where("edge = 0").select("doc", "start", "end")
     edges = ordered.where("edge > 0")
-    parts = sorted({x["part"] for x in edges.where("edge = 1").select("part").collect()})  # one for each task
-    facing = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:], strict=False)), "part int, following int")
-    before = edges.where("edge >= 3").join(facing, "part").select("following", *[F.col(x).alias(f"a_{x}") for x in ("doc", "place", "left", "right")])
-    after = edges.where("edge <= 2").select(F.col("part").alias("following"), *[F.col(x).alias(f"b_{x}") for x in ("doc", "place", "left", "right")])
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [s for x in batch.itertuples() for s in Suffix(x.a_doc, x.a_place, x.a_left, x.a_right).against(Suffix(x.b_doc, x.b_place, x.b_left, x.b_right))]
-            yield pd.DataFrame(out, columns=["doc", "start", "end"])
-
-    border = before.join(after, "following").where("a_doc <> b_doc").mapInPandas(across, "doc long, start int, end int")
+    over = edges.groupBy("h", "w").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("edge").alias("most")).where("a <> b or most = 2").select("h", "w")  # two windows a task at most
+    border = edges.where("edge = 1").join(F.broadcast(over), ["h", "w"]).select("doc", "start", "end")
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
         F.array().cast("array<struct<start:int,end:int>>"),
