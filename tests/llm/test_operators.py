@@ -256,6 +256,20 @@ def test_repeats_within_a_document(spark):
     assert spans_of(spark, docs) == want
 
 
+def test_repeats_beside_a_frequent_line(spark):
+    rng = random.Random(12)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs, line = {}, some(45)
+    for i in range(0, 120, 2):
+        passage = some(15) + line if i % 4 else line + some(15)
+        docs[i], docs[i + 1] = some(rng.randint(30, 60)) + passage + some(30), some(rng.randint(30, 60)) + passage + some(30)
+    for i in range(120, 620):
+        docs[i] = some(20) + line + some(20)
+    want = covered(docs)
+    assert all(want[i] for i in range(120)) and not any(want[i] for i in range(120, 620))
+    assert spans_of(spark, docs) == want
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(10)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]
