@@ -124,6 +124,24 @@ def test_secret_scan(spark, odd, none):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(none).count() == 0 and secrets.redact(odd).columns == odd.columns
 
 
+def test_secrets_beside_names(spark):
+    rng = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = " ".join(rng.choice(["some", "ordinary", "words", "incomprehensibilities", "counterrevolutionaries"]) for _ in range(300))
+    rows = []
+    for i in range(60):
+        key = "".join(rng.choice(letters) for _ in range(40))
+        rows.append((i, prose + " " + ("SESSION_KEY={}", "https://a.example/x?sig={}==&n=1", "srv/my_data-files/{}", "")[i % 4].format(key) + " " + prose, key))
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(df).collect()}
+    clean = {x["doc_id"]: x["text"] for x in secrets.redact(df).collect()}
+    for kind in range(3):
+        found = [i for i, text, key in rows if i % 4 == kind and any(s["kind"] == 3 and text[s["start"] : s["end"]] == key for s in got[i])]
+        assert len(found) >= 12 and not any(rows[i][2] in clean[i] for i in found)
+    assert all(got[i] == [] and clean[i] == rows[i][1] for i in range(3, 60, 4))
+    assert secrets.cores(b"a" * 25 + b"==") == [(0, 25, "hex")]
+
+
 def test_randomness_tells_words_from_keys():
     codes = secrets.CODES["alnum"]
     level = lambda s: secrets.level(secrets.randomness(codes[np.frombuffer(s, np.uint8)], 62))

@@ -1,7 +1,9 @@
 """Secret scan: known forms by pattern, unknown ones by a battery of randomness tests.
 
-A candidate is a longest run of 20 or more characters of an encoding's alphabet. Its encoding is inferred (hex in
-either case, base 32, base 64) and three tests ask whether it could be random in that alphabet: chi-squared
+A candidate is a longest run of 20 or more characters of an encoding's alphabet. Runs of the union of the alphabets
+are split at '=', so that names, values and padding part; where no one alphabet has all of what is left, the longest
+runs of each are candidates, and may overlap. A candidate's encoding is inferred (hex in either case, base 32,
+base 64) and three tests ask whether it could be random in that alphabet: chi-squared
 uniformity of the characters, Wald-Wolfowitz runs about the alphabet's middle, and serial correlation at lag one. The
 three probabilities are combined by Fisher's method. How long a run must be for this to tell it from words is settled
 by false-discovery control: every run has a decoy, words of the text before it run together to the same length and
@@ -43,6 +45,8 @@ ALPHABETS = {
     "base64": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
+#: Longest runs of each alphabet.
+PARTS = [re.compile(rb"[%s]{%d,}" % (re.escape(v), LEAST)) for v in ALPHABETS.values()]
 CODES = {k: np.array([v.find(bytes([c])) for c in range(256)], np.int64) for k, v in ALPHABETS.items()}
 SPANS = "array<struct<kind:int,start:long,end:long,encoding:string,size:int,level:int,decoy:int>>"
 
@@ -52,6 +56,21 @@ def encoding_of(run: bytes) -> str | None:
     return next((k for k, codes in CODES.items() if (codes[np.frombuffer(run, np.uint8)] >= 0).all()), None)
 
 
+def cores(run: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, encoding) of what is tested of a run."""
+    out = set()
+    for piece in re.finditer(rb"[^=]+", run):
+        places = [piece.span()]
+        if not encoding_of(piece[0].strip(b"-_/+")):
+            places = [m.span() for part in PARTS for m in part.finditer(run, *piece.span())]
+        for a, b in places:
+            core = run[a:b].strip(b"-_/+")
+            if len(core) >= LEAST:
+                a += run[a:b].find(core)
+                out.add((a, a + len(core), encoding_of(core)))
+    return sorted(out)
+
+
 def _two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -107,15 +126,12 @@ def candidates(text: str | None) -> list[tuple]:
         a = m.start() if ascii_only else len(data[: m.start()].decode("utf-8", "surrogatepass"))
         run = m[0]
         out += [(2, a + h.start(), a + h.end(), None, None, None, None) for h in HEX.finditer(run.decode())]
-        core = run.rstrip(b"=").strip(b"-_/+=")
-        if len(core) < LEAST or not (kind := encoding_of(core)):
-            continue
-        codes, k, n = CODES[kind], len(ALPHABETS[kind]), len(core)
-        before = np.frombuffer(data[max(0, m.start() - 8 * n) : m.start()], np.uint8)
-        words = before[CODES["alnum"][before] >= 0][-n:]
-        fake = (CODES[kind][words] if (CODES[kind][words] >= 0).all() else words.astype(np.int64) % k) if len(words) == n else None
-        skip = run.find(core)
-        out.append((3, a + skip, a + skip + n, kind, n, level(randomness(codes[np.frombuffer(core, np.uint8)], k)), None if fake is None else level(randomness(fake, k))))
+        for start, end, kind in cores(run):
+            codes, k, n = CODES[kind], len(ALPHABETS[kind]), end - start
+            before = np.frombuffer(data[max(0, m.start() - 8 * n) : m.start()], np.uint8)
+            words = before[CODES["alnum"][before] >= 0][-n:]
+            fake = (CODES[kind][words] if (CODES[kind][words] >= 0).all() else words.astype(np.int64) % k) if len(words) == n else None
+            out.append((3, a + start, a + end, kind, n, level(randomness(codes[np.frombuffer(run[start:end], np.uint8)], k)), None if fake is None else level(randomness(fake, k))))
     return out
 
 
