@@ -196,6 +196,12 @@ def test_order_matters():
     assert fingerprints.likeness(same, swapped) < 0.8 < fingerprints.likeness(same, fingerprints.order_minhash(a + b[:-40]))
 
 
+def test_likeness_across_the_length_of_places():
+    text = "".join(random.Random(14).choices("abcdefghijklmnop ", k=(1 << 20) + 2000))
+    short = fingerprints.order_minhash(text[: (1 << 20) - 2000])
+    assert fingerprints.likeness(fingerprints.order_minhash(text), short) > 0.8
+
+
 def test_lattice_sums_all_segmentations():
     weights = {p: np.log(w) for p, w in (("▁", 0.1), ("a", 0.2), ("b", 0.2), ("ab", 0.1), ("▁a", 0.1), ("▁ab", 0.05), ("ba", 0.05))}
 

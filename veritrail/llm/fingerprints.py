@@ -30,13 +30,14 @@ _NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
 def _sorted_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and where they stood; equal ones in text order."""
+    """Hashes without their PLACE_BITS lowest bits, whatever the text's length, in order and where they stood; equal ones in text order."""
     n = len(hashes)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    hashes = hashes & ~low
     if n >> PLACE_BITS:
         at = np.argsort(hashes, kind="stable")
         return hashes[at], at
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    both = np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64))
+    both = np.sort(hashes | np.arange(n, dtype=np.uint64))
     return both & ~low, (both & low).astype(np.int64)
 
 
