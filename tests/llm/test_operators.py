@@ -108,6 +108,19 @@ def test_license_scan(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def test_every_notice_in_one_text(spark):
+    every = {label for label, _, _ in licenses.TEMPLATES}
+    words = sorted({w for _, text, _ in licenses.TEMPLATES for w in text.split()})
+    bsd = next(text for label, text, _ in licenses.TEMPLATES if label == "bsd")
+    rows = [(1, " x ".join(text for _, text, _ in licenses.TEMPLATES)), (2, " ".join(w for w in words if w not in bsd.split()) + " x " + bsd)]
+    rows += [(10 + i, bsd) for i in range(20)]
+    rows += [(50 + i, text) for i, (_, text, _) in enumerate(licenses.TEMPLATES)]
+    got = {x["doc_id"]: x for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got[1]["labels"].split(",")) == every and got[1]["score"] == 1.0
+    assert "bsd" in got[2]["labels"].split(",") and got[2]["score"] == 1.0
+    assert all(label in got[50 + i]["labels"].split(",") for i, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_secret_scan(spark, odd, none):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     rng = random.Random(4)

@@ -1,9 +1,11 @@
 """Licence scan with a positional index of rare words.
 
-The templates are short licence notices. Their words' document frequency is counted over all documents; a file's
-licence words of the highest inverse document frequency are looked up in an index of the templates' words and
-places, the postings of one template are intersected by relative position (file place less template place), and an
-alignment that enough rare words share is kept if the template's key phrases stand there word for word. The score is
+The templates are short licence notices. Their words' document frequency is counted over all documents. Of every
+template the words of the highest inverse document frequency are in an index of words and places, as many as it takes
+that a place where SHARE of the template's words stand has AGREE of them at least; so which words are rare sets the
+work, not the labels. A file's words are looked up there, the postings of one template are intersected by relative
+position (file place less template place), and an alignment that AGREE rare words share is kept if SHARE of the
+template's words and its key phrases stand there word for word. The score is
 the best share of a template's words that the file has in their places; a base phrase alone counts as its own share.
 
 Null and empty texts have no words, no labels and score 0. Repeated rows get a row each.
@@ -39,8 +41,8 @@ TEMPLATES = [
     ("mit", "released under the mit license", ["the mit license"]),
     ("apache", "distributed under the apache license version 2 0", ["the apache license"]),
 ]
-#: Rare words of a file that are looked up, rare words that must agree on a place, share of a template's words that must stand there.
-RARE, AGREE, SHARE = 24, 2, 0.7
+#: Rare words that must agree on a place, share of a template's words that must stand there.
+AGREE, SHARE = 2, 0.7
 FOUND = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -48,6 +50,19 @@ def _places(words: list[bytes], at: dict[bytes, list[int]], phrase: list[bytes])
     return [i for i in at.get(phrase[0], ()) if words[i : i + len(phrase)] == phrase]
 
 
+def indexed(text: list[bytes], rarity: dict[bytes, float], agree: int, share: float) -> set[bytes]:
+    """The rarest words of a template that hold enough of its places: of any share of its places, agree are theirs."""
+    need = next(n for n in range(len(text) + 1) if n / len(text) >= share)
+    out: set[bytes] = set()
+    held = 0
+    for w in sorted(set(text), key=lambda w: (-rarity[w], w)):
+        if held >= len(text) - need + agree:
+            break
+        out.add(w)
+        held += text.count(w)
+    return out
+
+
 def document_frequency(docs: DataFrame, words: frozenset[bytes]) -> DataFrame:
     """(word, docs) over all documents, of the given words, which are few and fixed."""
 
@@ -61,7 +76,7 @@ def document_frequency(docs: DataFrame, words: frozenset[bytes]) -> DataFrame:
     return in_small_batches(docs).select(F.col("text").cast("string").alias("text")).mapInPandas(run, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
 
 
-def scan(docs: DataFrame, templates: list = TEMPLATES, rare: int = RARE, agree: int = AGREE, share: float = SHARE) -> DataFrame:
+def scan(docs: DataFrame, templates: list = TEMPLATES, agree: int = AGREE, share: float = SHARE) -> DataFrame:
     """docs: doc_id, text. FOUND for each row."""
     notices = [(label, text.encode().split(), [k.encode().split() for k in keys]) for label, text, keys in templates]
     phrases = [(k.encode().split(), v) for k, v in PHRASES.items()]
@@ -70,10 +85,12 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, rare: int = RARE, agree:
     rarity = {w: -math.log1p(seen.get(w, 0)) for w in words}
     postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
     for t, (_, text, _) in enumerate(notices):
+        own = indexed(text, rarity, agree, share)
         for place, w in enumerate(text):
-            postings[w].append((t, place))
+            if w in own:
+                postings[w].append((t, place))
     postings = dict(postings)
-    lookup = words | {w for p, _ in phrases for w in p}
+    lookup = postings.keys() | {w for p, _ in phrases for w in p}
 
     def of(text: str | None) -> tuple:
         got = ALNUM_WORDS.findall(low_bytes(text))
@@ -87,9 +104,8 @@ def scan(docs: DataFrame, templates: list = TEMPLATES, rare: int = RARE, agree:
         labels, score = {x for _, x in base}, 0.0
         if base:
             score = 0.5
-        chosen = sorted(own & words, key=lambda w: (-rarity[w], w))[:rare]
         votes: Counter = Counter()
-        for w in chosen:
+        for w in own & postings.keys():
             for t, place in postings[w]:
                 for i in at[w]:
                     votes[t, i - place] += 1
