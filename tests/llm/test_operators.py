@@ -326,6 +326,17 @@ def test_toxicity(spark, odd, none):
     assert {x["score"] for x in toxicity.score(odd, labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_a_long_text_empties_no_class(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4000)
+    rows = [(i, f"text {i} " + "word " * (2000 if i % 10 == 0 else 6), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for part in (df, df.where("doc_id % 10 = 0 or toxic = 1")):
+        texts, _ = toxicity.sample(part.drop("toxic"), part.drop("text"))
+        for kind in (0, 1):
+            own = [x for x, t in texts if t == kind]
+            assert len(own) >= 4 and sum(map(len, own)) <= 4000
+
+
 def test_language(spark, odd, none):
     en, de = "the of and that with this from have which there", "der die und das nicht mit eine auf werden nach"
     rows = [(i, " ".join(random.Random(i).choices((en if i % 2 else de).split(), k=30)), "en" if i % 2 else "de") for i in range(60)]

@@ -7,8 +7,9 @@ toxic one set before it. A window that the toxic dictionary makes shorter holds
 savings (largest, mean, how many windows reach a level) go through a logistic scale fitted on labelled rows that
 no dictionary has seen; its threshold is set where it parts those rows best and stands at 0.5.
 
-SAMPLE rows of a class, half for the dictionaries and half for the scale, the first by a hash of their doc_id and at
-most SAMPLE_CHARS characters of them, bound the training; every row is scored. Rows with a null label, and of doc_ids
+SAMPLE rows of a class, half for the dictionaries and half for the scale, the first by a hash of their doc_id, bound
+the training, and so do SAMPLE_CHARS characters of a class: where its rows have more, the longest are left out, but of
+the FEWEST shortest what doesn't fit is cut to a FEWEST-th of that, so that no class is emptied. Every row is scored. Rows with a null label, and of doc_ids
 held out, teach nothing; a doc_id labelled twice is toxic if it is once. Null and empty texts are one empty window.
 Without toxic or ordinary labels every score is 0. Repeated rows get a row each.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veritrail.llm.common import ALNUM_WORDS, in_small_batches, low_bytes, table
 
-SAMPLE, SAMPLE_CHARS = 3000, 20_000_000
+SAMPLE, SAMPLE_CHARS, FEWEST = 3000, 20_000_000, 8
 FOLDS = 5
 WINDOW = 96
 ORDINARY_BYTES, TOXIC_BYTES = 65536, 16384
@@ -45,8 +46,10 @@ def sample(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> tuple[list
     order = F.xxhash64("doc_id")
     chosen = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(each) for t in (0, 1)]
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * each rows at most
-    upto = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id", "text"))
-    rows = texts.where("text is not null").withColumn("upto", upto).where(F.col("upto") <= SAMPLE_CHARS).select("doc_id", "text", "toxic").collect()
+    shortest = Window.partitionBy("toxic").orderBy(F.length("text"), order, "doc_id", "text")
+    fits = F.when(F.col("upto") <= SAMPLE_CHARS, F.col("text")).when(F.col("rank") <= FEWEST, F.substring("text", 1, SAMPLE_CHARS // FEWEST))
+    ranked = texts.where("text is not null").withColumn("upto", F.sum(F.length("text")).over(shortest)).withColumn("rank", F.row_number().over(shortest))
+    rows = ranked.withColumn("text", fits).where("text is not null").select("doc_id", "text", "toxic").collect()
     of = {x["toxic"]: x["count"] for x in known.groupBy("toxic").count().collect()}
     texts = {low_bytes(x["text"]): x["toxic"] for x in sorted(rows, key=lambda x: (x["doc_id"], x["text"]))}
     return list(texts.items()), of.get(0, 0) / max(1, of.get(1, 0))
