@@ -53,11 +53,31 @@ def test_packer_reopens_nothing_it_has_closed():
         n = rng.randint(1, 150)
         total += n
         packer.add(doc, bytes(4 * n))
-    packer.squeeze(last=True)
+    assert sum(x[2] for x in packer.out) > 0.9 * total  # the rule closes them, not the end
+    packer.finish()
     out = packer.pieces()
     assert out["length"].sum() == total and out.groupby("sequence_id")["length"].sum().max() == 64
 
 
+def test_encoder_forgets_without_harm(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_CACHE", 50)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(15)
+    alphabet = "abcABCéÀßµªºÿ 123²½  '.,!|<>%'s't\t\n\xa0«»¿" + "日\x85\x1c"
+    for at in range(20):
+        texts = ["".join(rng.choice(alphabet if i % 7 == 0 else alphabet[:-3]) for _ in range(rng.randint(0, 80))) for i in range(60)] + ["<|endoftext|> x", "İSTANBUL", ""]
+        assert [x.tolist() for x in own(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_packing_leaves_little_padding(spark):
+    rng = random.Random(16)
+    rows = [(i, " ".join(["word"] * rng.randint(1, 3000))) for i in range(400)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).toPandas()
+    filled = out.groupby("sequence_id")["length"].sum()
+    assert filled.sum() / (len(filled) * packing.WINDOW) > 0.97
+
+
 def test_near_duplicates_brute_force(spark, odd, none):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
@@ -82,11 +102,70 @@ def test_near_duplicates_brute_force(spark, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_blocks_meet_in_every_pair():
-    sets = [np.arange(k, k + 40, dtype=np.uint64) for k in range(0, 30)]
-    sketches = np.zeros((30, 8), np.uint64)
-    whole = neardup.joined(sets, sketches, np.zeros(30, np.int64), 85)
-    assert len(whole) == 29
+def linked_by_brute_force(rows):
+    sets = {i: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())(re.findall(SPACED, low(t))) for i, t in rows}
+    own = {i: i for i in sets}
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root(a) != root(b):
+            own[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in sets}
+
+
+@pytest.mark.parametrize(("block", "told"), [(4, 6), (7, 100), (256, 2048)])
+def test_large_groups_lose_no_link(spark, monkeypatch, block, told):
+    """Families round the threshold: some joined to their leader, some to others alone, most to nobody."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "TOLD", told)
+    rng = random.Random(17)
+    rows = []
+    for family in range(2):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for i in range(70):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 4, 5, 6, 9))):
+                at = rng.choice((rng.randrange(150), rng.randrange(12)))
+                w[at] = f"x{rng.randrange(4)}" if rng.random() < 0.5 else f"y{family}-{i}-{rng.random()}"
+            rows.append((100 * family + i, " ".join(w)))
+    want = linked_by_brute_force(rows)
+    assert 10 < len(set(want.values())) < 120
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_one_doc_id_with_two_texts(spark):
+    rng = random.Random(18)
+    a, b = ([f"{k}{rng.random()}" for _ in range(80)] for k in "ab")
+    rows = [(9, " ".join(a)), (9, " ".join(b)), (3, " ".join([*a[:-1], "z"])), (5, " ".join([*b[:-1], "z"])), (4, "nothing like them at all here")]
+    got = {(x["doc_id"], x["component_id"], x["kept"]) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(9, 3, False), (3, 3, True), (5, 3, False), (4, 4, True)}
+
+
+def test_rows_grow_with_a_family(spark, monkeypatch):
+    """Texts that share bands but no links: rows compared follow their number, and not its square."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "TOLD", 64)
+    dealt = []
+    plain = neardup.compared
+
+    def counting(members, keys, percent):
+        dealt.append(members.count())
+        return plain(members, keys, percent)
+
+    monkeypatch.setattr(neardup, "compared", counting)
+    n_of = {}
+    for n in (300, 1200):
+        rng, base = random.Random(19), [f"w{i}" for i in range(200)]
+        rows = [(i, " ".join(w if rng.random() > 0.04 else f"y{i}-{k}" for k, w in enumerate(base))) for i in range(n)]
+        dealt.clear()
+        neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        n_of[n] = sum(dealt)
+    assert n_of[1200] < 6 * n_of[300]  # of its square it would be 16
 
 
 def test_odd_sketch_estimates():
