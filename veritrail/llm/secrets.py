@@ -11,14 +11,15 @@ tested alike; over all documents, by encoding and length, the share of decoys th
 discoveries there, and the lowest level whose estimate is within FALSE is the threshold for runs of that encoding and
 length. A class without such a level, short runs most of all, has no discoveries.
 
-Null and empty texts have no spans. Repeated rows get a row each.
+Null and empty texts have no spans, and so has every row of an empty table. Repeated rows get a row each, rows without a
+doc_id too. Texts of any length are scanned whole, in one pass. Spans that start together are listed by kind, and two
+of one kind by their end. Other columns, whatever they are called, are neither read nor changed.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,9 +123,10 @@ def candidates(text: str | None) -> list[tuple]:
     data = text.encode("utf-8", "surrogatepass")
     out = [(k, a, b, None, None, None, None) for k, a, b in base_spans(text)]
     ascii_only = len(data) == len(text)
+    a = upto = 0
     for m in RUN.finditer(data):
-        a = m.start() if ascii_only else len(data[: m.start()].decode("utf-8", "surrogatepass"))
-        run = m[0]
+        a = m.start() if ascii_only else a + len(data[upto : m.start()].decode("utf-8", "surrogatepass"))
+        run, upto = m[0], m.start()
         out += [(2, a + h.start(), a + h.end(), None, None, None, None) for h in HEX.finditer(run.decode())]
         for start, end, kind in cores(run):
             codes, k, n = CODES[kind], len(ALPHABETS[kind]), end - start
@@ -135,14 +137,13 @@ def candidates(text: str | None) -> list[tuple]:
     return out
 
 
-def tested(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, spans for each row, before the thresholds."""
+def tested(text: Column) -> Column:
+    """SPANS of each text, before the thresholds."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "spans": [candidates(x) for x in batch["text"].tolist()]})
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([candidates(x) for x in texts.tolist()], dtype=object)
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, f"doc_id long, spans {SPANS}")
+    return F.pandas_udf(run, SPANS)(text)
 
 
 def thresholds(found: DataFrame, false: float = FALSE) -> DataFrame:
@@ -160,39 +161,29 @@ def thresholds(found: DataFrame, false: float = FALSE) -> DataFrame:
     return rate.where((F.col("m") + doubt) / F.col("n") <= false).groupBy("encoding", "length").agg(F.min("least").alias("least"))
 
 
-def levels_of(found: DataFrame, false: float = FALSE) -> dict[str, int]:
-    """The lowest level by encoding and class of lengths; as many entries as there are of these at most."""
-    return {f"{x['encoding']}:{x['length']}": x["least"] for x in thresholds(found, false).collect()}
+def kept(found: DataFrame, false: float = FALSE) -> Column:
+    """Of the column spans those that count, as an array of start, kind, end, by start then kind. The levels sent out are as many as there are encodings and classes of lengths at most."""
+    levels = [F.lit(x) for row in thresholds(found, false).collect() for x in (f"{row['encoding']}:{row['length']}", row["least"])]
+    least = F.create_map(*levels) if levels else F.create_map(F.lit(""), F.lit(LEVELS))
+    held = F.filter("spans", lambda s: s["level"].isNull() | (s["level"] >= F.coalesce(F.try_element_at(least, F.concat_ws(":", s["encoding"], length_class(s["size"]).cast("string"))), F.lit(LEVELS))))
+    return F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
 
 
 def scan(docs: DataFrame, false: float = FALSE) -> DataFrame:
     """docs: doc_id, text. doc_id, spans (array of start, kind, end, by start then kind) for each row; code points, end exclusive."""
-    found = staged(tested(docs), "secrets")
-    least = [F.lit(x) for pair in levels_of(found, false).items() for x in pair]
-    levels = F.create_map(*least) if least else F.create_map(F.lit(""), F.lit(LEVELS))
-    held = F.filter("spans", lambda s: s["level"].isNull() | (s["level"] >= F.coalesce(F.try_element_at(levels, F.concat_ws(":", s["encoding"], length_class(s["size"]).cast("string"))), F.lit(LEVELS))))
-    kept = found.withColumn("spans", F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))))
-    return kept.select("doc_id", "spans")
+    found = staged(in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), tested(F.col("text").cast("string")).alias("spans")), "secrets")
+    return found.select("doc_id", kept(found, false).alias("spans"))
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", false: float = FALSE) -> DataFrame:
     """docs: text and any other columns. The same rows with every span of scan() replaced; what touches or overlaps is replaced once."""
-    levels = levels_of(staged(tested(docs.withColumn("doc_id", F.lit(None).cast("long"))), "secrets"), false)
-
-    def masked(text: str | None) -> str | None:
-        held = sorted((a, b) for _, a, b, encoding, n, at, _ in candidates(text) if at is None or at >= levels.get(f"{encoding}:{math.floor(math.log2(n) * 8)}", LEVELS))
-        out, done = [], 0
-        for a, b in held:
-            if a > done or not out and a == 0:
-                out += [text[done:a], mask]
-            done = max(done, b)
-        return "".join(out) + text[done:] if held else text
-
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(masked, na_action="ignore")
-
-    return docs.withColumn("text", clean(F.col("text").cast("string")))
+    found = staged(in_small_batches(docs).select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), tested(F.col("text").cast("string")).alias("spans")), "secrets")
+    piece = lambda a, b: F.substring("text", a + 1, b - a)
+    begun = F.struct(F.lit("").alias("out"), F.lit(-1).cast("long").alias("done"))
+    step = lambda acc, s: F.struct(F.when(s["start"] > acc["done"], F.concat(acc["out"], piece(F.greatest(acc["done"], F.lit(0).cast("long")), s["start"]), F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["done"], s["end"]).alias("done"))
+    clean = F.aggregate("held", begun, step, lambda acc: F.concat(acc["out"], piece(acc["done"], F.length("text").cast("long"))))
+    held = found.select("row", "text", kept(found, false).alias("held"))
+    return held.select(F.when(F.size("held") > 0, clean).otherwise(F.col("text")).alias("clean"), "row").select(*[F.col("clean").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def listed(spans: Column) -> Column:
