@@ -1,16 +1,18 @@
 """Language-model scores: the marginal probability of a text over all its segmentations into subwords.
 
-The subwords are those of a public tokenizer's vocabulary, whose own order of scores gives the first weights; ROUNDS
-rounds of expectation over the training documents' counted words, every word's segmentations weighed by the forward
-and backward sums, gives the unigram weights that are used. A word's probability is the sum over all segmentations
+The subwords are those of a public tokenizer's vocabulary. Its own scores weight the segmentations: they are the first
+weights, and the prior of PRIOR tokens' worth in each of ROUNDS rounds of expectation over the training documents'
+counted words, every word's segmentations weighed by the forward and backward sums, which fit the weights to the corpus. A word's probability is the sum over all segmentations
 of the mark of a word's start and its characters (log-space forward recursion); characters outside the vocabulary go
 by their bytes. A text's is the product of its words' and of the end token's.
 
 Words are counted over all documents in Spark. A word of at least one in HEAD tokens is scored from a table that is
 sent to the workers, of HEAD words at most; the others are joined by the word, and none of them can be a hot key.
 
-Null and empty texts are the end token alone. Repeated rows get a row each. A null doc_id counts as training. With
-no training text every count is zero and the first weights are used.
+Null and empty texts are the end token alone. Repeated rows get a row each, and are learnt from as often. A null doc_id
+counts as training. With no training text every count is zero and the vocabulary's weights are used; an empty table
+gives no rows. Texts and words may be of any length, and are scored whole. Words seen equally often are all sent or all
+joined. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from veritrail.llm.hashing import mixed
 HEAD = 1_000_000
 FOLDS, HELD_OUT = 7, 2
 MARK, END = "▁", "</s>"
-PRIOR = 0.1
+PRIOR = 30_000.0
 ROUNDS = 2
 FLUSH = 300_000
 
@@ -235,8 +237,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(run, "word string, c long, seen long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
 
 
-def unigram(words: DataFrame, ends: int, first: dict[str, float]) -> dict[str, float]:
-    """Log weights of the pieces after a round of expectation over the counted training words; a row for each piece of the vocabulary comes back."""
+def unigram(words: DataFrame, ends: int, first: dict[str, float], scores: dict[str, float]) -> dict[str, float]:
+    """Log weights of the pieces after a round of expectation over the counted training words, with the vocabulary's scores as the prior; a row for each piece of the vocabulary comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices, others = Lattices(first), {}
@@ -251,8 +253,8 @@ def unigram(words: DataFrame, ends: int, first: dict[str, float]) -> dict[str, f
 
     rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     counts = {x["piece"]: x["n"] for x in rows} | {END: float(ends)}
-    total = math.log(math.fsum(counts.values()) + PRIOR * len(first))
-    return {p: math.log(counts.get(p, 0.0) + PRIOR) - total for p in first}
+    total = math.log(math.fsum(counts.values()) + PRIOR)
+    return {p: math.log(counts.get(p, 0.0) + PRIOR * math.exp(scores[p])) - total for p in first}
 
 
 def score(docs: DataFrame, vocabulary_path: str | None = None, head: int = HEAD) -> DataFrame:
@@ -266,7 +268,7 @@ def score(docs: DataFrame, vocabulary_path: str | None = None, head: int = HEAD)
     first = vocabulary(vocabulary_path)
     weights = first
     for _ in range(ROUNDS if ends else 0):
-        weights = unigram(counted, ends, weights)
+        weights = unigram(counted, ends, weights, first)
     floor, log10 = float(n + v + 1), math.log(10)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
