@@ -10,7 +10,11 @@ number of rows follows the number of such windows, however many documents share
 
 Equal texts are one class: one of them goes through the above, and if it has LEAST words all of it is repeated. Texts
 that are null, empty or shorter than LEAST words repeat nothing. Rows repeated under one doc_id are copies like
-others. Words are those between white space, A-Z lower-cased.
+others, and different texts under one doc_id are different documents; a text that no row with a doc_id has is compared
+with its own copies alone. Texts of any length are
+cut into windows whole. Of k-mers with equal hashes it does not matter which is a window's minimiser, since the hash is
+all that is used. An empty table gives no rows. Words are those between white space, A-Z lower-cased. Only doc_id and
+text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -47,8 +51,16 @@ def windows(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def class_of(words: list[bytes]) -> bytes:
+    return xxhash.xxh128_digest(b" ".join(words))
+
+
+def part_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def minimisers(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_words, class (null below LEAST words), kmers (array of the minimisers' hashes)."""
+    """docs: doc_id, text. doc_id, n_words, class and own, a part of it (null below LEAST words), kmers (array of the minimisers' hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -61,13 +73,14 @@ def minimisers(docs: DataFrame) -> DataFrame:
                     classes.append(None)
                     kmers.append(np.zeros(0, np.int64))
                     continue
-                classes.append(xxhash.xxh128_digest(b" ".join(words)))
+                classes.append(class_of(words))
                 kmers.append(np.unique(smallest(grams(known.of(words), KMER))).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in kmers]))).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *kmers]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n_words", "class", "kmers"])
+            own = [part_of(x) if x else None for x in classes]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(own, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "n_words", "class", "own", "kmers"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, class binary, kmers array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, class binary, own long, kmers array<long>")
 
 
 def in_chunks(batches: Iterator[pd.DataFrame], least: int = 50_000) -> Iterator[pd.DataFrame]:
@@ -99,18 +112,18 @@ def spans(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. doc_id, n_words, spans (array of start, end in words, merged and in order) for each row."""
     docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = staged(minimisers(docs), "minimisers")
-    classes = staged(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = found.join(classes.where("rep is not null"), (found["class"] == classes["class"]) & (found["doc_id"] == classes["rep"])).select("rep", F.explode("kmers").alias("h"))
-    often = staged(reps.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("h"), "often")  # written, so that a k-mer with very many rows isn't tied to the task that counted it
-    kept = staged(reps.join(sent_if_small(often), "h").groupBy("rep").agg(F.collect_set("h").alias("kmers")), "kept")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(sent_if_small(kept.select("rep")), "rep", "left_semi").join(kept, "rep")
+    classes = staged(found.where("class is not null").groupBy("class", "own").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = found.join(classes.where("rep is not null"), (found["class"] == classes["class"]) & (found["doc_id"] == classes["rep"])).select("rep", found["own"], F.explode("kmers").alias("h"))
+    often = staged(reps.groupBy("h").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("h"), "often")  # written, so that a k-mer with very many rows isn't tied to the task that counted it
+    kept = staged(reps.join(sent_if_small(often), "h").groupBy("rep", "own").agg(F.collect_set("h").alias("kmers")), "kept")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(sent_if_small(kept.select("rep").distinct()), "rep", "left_semi").join(kept, "rep")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            for doc, text, kmers in zip(batch.column("rep").to_pylist(), batch.column("text"), batch.column("kmers"), strict=True):
+            for doc, text, kmers in zip(batch.column("own").to_pylist(), batch.column("text"), batch.column("kmers"), strict=True):
                 words = SPACE_WORDS.findall(low_bytes(text.as_py()))
-                if len(words) < LEAST:
+                if len(words) < LEAST or part_of(class_of(words)) != doc:  # a doc_id may have other texts too
                     continue
                 hashes = grams(known.of(words), KMER)
                 low = smallest(hashes).view(np.int64)
@@ -120,7 +133,7 @@ def spans(docs: DataFrame) -> DataFrame:
                     part = at[k : k + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(low[part]), pa.array(all_windows[part]), pa.array(np.full(len(part), doc, np.int64)), pa.array(part.astype(np.int32))], ["h", "w", "doc", "place"])
 
-    rows = texts.select("rep", "text", "kmers").mapInArrow(rows_of, "h long, w long, doc long, place int")
+    rows = texts.select("own", "text", "kmers").mapInArrow(rows_of, "h long, w long, doc long, place int")
     shape = "doc long, start int, end int, edge int, h long, w long"
 
     def step(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
@@ -171,7 +184,7 @@ def spans(docs: DataFrame) -> DataFrame:
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
     )
     of_rep = inner.unionByName(border).groupBy("doc").agg(merged.alias("spans"))
-    of_class = classes.join(of_rep, F.col("rep") == F.col("doc"), "left").select("class", "copies", "spans")
+    of_class = classes.join(of_rep, F.col("own") == F.col("doc"), "left").select("class", "copies", "spans")
     none = F.array().cast("array<struct<start:int,end:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     return found.select("doc_id", "n_words", "class").join(of_class, "class", "left").select("doc_id", "n_words", F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("spans", none)).alias("spans"))
