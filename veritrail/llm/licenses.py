@@ -6,9 +6,12 @@ that a place where SHARE of the template's words stand has AGREE of them at leas
 work, not the labels. A file's words are looked up there, the postings of one template are intersected by relative
 position (file place less template place), and an alignment that AGREE rare words share is kept if SHARE of the
 template's words and its key phrases stand there word for word. The score is
-the best share of a template's words that the file has in their places; a base phrase alone counts as its own share.
+the best share of a template's words that the file has in their places; a base phrase alone scores a half.
 
-Null and empty texts have no words, no labels and score 0. Repeated rows get a row each.
+Null and empty texts have no words, no labels and score 0. Repeated rows get a row each, rows without a doc_id too.
+Texts of any length are looked up whole. Every place where a notice stands counts, and equal words in it are equally
+rare; of words equally rare the first by its bytes is indexed first. An empty table gives no rows. Only doc_id and text
+are read, whatever other columns are called.
 """
 
 from __future__ import annotations
