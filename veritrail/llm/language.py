@@ -8,8 +8,10 @@ without language, and is rejected where no language reaches ACCEPT of the eviden
 none and nothing else to say what it is.
 
 Null, empty and letterless texts have no text evidence and rest on the others; without any they keep the prior of all
-texts. Unknown declared languages, suffixes and null hosts say nothing. Repeated rows get a row each. Without labelled
-texts every language is "und" and nothing is rejected.
+texts. Unknown declared languages, suffixes and null hosts say nothing. Repeated rows get a row each, and count as often
+for their host. Texts of any length are read whole. Of languages equally likely the first by name is told. Without
+labelled texts every language is "und" and nothing is rejected; an empty table gives no rows. Only the columns named are
+read, whatever others are called.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SMOOTH = 8.0
 ACCEPT = 0.5
 #: Suffixes of addresses that stand for a language.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "kr": "ko", "cn": "zh"}
+#: Labels under which a country's names are given out one level further down.
+SECOND_LEVEL = "co|com|org|net|ac|gov|gob|gouv|edu|or|ne|go|nom|gen|govt|school"
 NOT_TEXT = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE)
 
 
@@ -137,7 +141,7 @@ def of_pages(pages: DataFrame) -> DataFrame:
     """What identify() asks of pages: page_id, url, html."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     declared = F.regexp_extract(F.coalesce("html", F.lit("")), r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-zA-Z-]+)""", 1)
-    return pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), declared.alias("declared"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), host.alias("host"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"))
+    return pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), declared.alias("declared"), F.regexp_extract(host, r"([^.]+)$", 1).alias("suffix"), host.alias("host"), F.regexp_extract(host, rf"([^.]+\.(?:{SECOND_LEVEL})\.[a-z][a-z]|[^.]+\.[^.]+)$", 1).alias("domain"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
