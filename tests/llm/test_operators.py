@@ -386,6 +386,15 @@ def test_repeats_beside_a_frequent_line(spark):
     assert spans_of(spark, docs) == want
 
 
+def test_repeats_of_two_texts_under_one_doc_id(spark):
+    rng = random.Random(20)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    a, b = some(60), some(70)
+    rows = [(1, some(10) + a), (1, some(30) + b + some(5)), (2, a + some(20)), (3, some(40) + b), (None, some(20) + a)]
+    got = {(x["doc_id"], x["n_words"]): [(s["start"], s["end"]) for s in x["spans"]] for x in repeats.spans(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    assert got == {(1, 70): [(10, 70)], (1, 105): [(30, 100)], (2, 80): [(0, 60)], (3, 110): [(40, 110)], (None, 80): []}
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(10)
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(400)]

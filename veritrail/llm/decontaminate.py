@@ -7,7 +7,9 @@ and positional bounds drop places beyond the document's ends, and what is left i
 that stand together round one prefix are verified as one item-sized stretch of places.
 
 A document whose text is null, empty or without words has no hits; an item without words has no windows; equal items
-count as often as they occur. A repeated document row gets a row each.
+count as often as they occur. A repeated document row gets a row each, and so does one without a doc_id. Texts of any
+length are searched whole. Of shingles equally rare the smallest hash is the prefix, and of its places in a window the
+first. An empty table of documents gives no rows, an empty benchmark no hits. Other columns play no part.
 """
 
 from __future__ import annotations

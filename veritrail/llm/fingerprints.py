@@ -8,7 +8,9 @@ Every document is compared with its edited self and with its neighbour by descen
 ranges of doc_id; the two rows that face each other across a border of ranges are matched afterwards.
 
 Null and empty texts have the zero fingerprint and are like each other alone. Repeated rows stand next to each other
-(equal doc_ids by a hash of their text). A single row is its own neighbour. Rows without a doc_id come last.
+(equal doc_ids by a hash of their text). A single row is its own neighbour. Rows without a doc_id come last. Texts of
+any length are hashed whole and alike; k-mers whose kept hash bits are equal stand in text order. An empty table gives
+no rows. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations

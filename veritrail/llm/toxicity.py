@@ -11,7 +11,9 @@ SAMPLE rows of a class, half for the dictionaries and half for the scale, the fi
 the training, and so do SAMPLE_CHARS characters of a class: where its rows have more, the longest are left out, but of
 the FEWEST shortest what doesn't fit is cut to a FEWEST-th of that, so that no class is emptied. Every row is scored. Rows with a null label, and of doc_ids
 held out, teach nothing; a doc_id labelled twice is toxic if it is once. Null and empty texts are one empty window.
-Without toxic or ordinary labels every score is 0. Repeated rows get a row each.
+Without toxic or ordinary labels every score is 0. Repeated rows get a row each; an empty table gives none. Texts of any
+length are scored whole. Rows of equal hash are taken by doc_id, texts of equal length by that hash. Pieces too few for
+the dictionary builder are the dictionary themselves. Other columns, whatever they are called, are not read.
 """
 
 from __future__ import annotations
