@@ -1,6 +1,7 @@
 """A training corpus made of documents: five stages, each calling one operator, each on all that its predecessor kept.
 
-1. language_id rejects documents in which no language can be told.
+1. language_id rejects documents in which no language can be told: texts of letters that look like none of the
+   languages. Models are trained on a bounded sample of lang; a document's own lang is no evidence, its source is.
 2. near_dedup keeps one document of each group of near-duplicates: the one of the smallest doc_id.
 3. decontamination rejects documents that hold a window of a benchmark item.
 4. secret_scan masks secrets; it rejects nothing.
@@ -19,7 +20,7 @@ from veritrail.llm.common import staged, table, without
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    asked = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit("").alias("domain"))
+    asked = docs.select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("string").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit("").alias("domain"))
     told = language.identify(asked, docs.select(F.col("doc_id").alias("id"), "text", "lang"))
     return without(docs, told.where("not accepted").select(F.col("id").alias("doc_id")))
 
@@ -41,7 +42,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("packing", pack)]
-#: Trained models and token ids can't be had in SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Trained models and token ids can't be had in SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
