@@ -63,7 +63,7 @@ def test_decoding(spark, tmp_path):
 
 def test_header_units(spark):
     cells = spark.createDataFrame([(1, 0, "s", 1, 0, "금액(백만원)"), (1, 0, "s", 2, 0, "5"), (1, 0, "s", 3, 0, "5억원"), (1, 0, "s", 4, 0, None)], "case_id long, file_idx int, sheet string, row_no int, col_no int, value string")
-    assert sorted(x["value_mkrw"] for x in X.sheet_amounts(cells).collect()) == [5e-6, 500.0]
+    assert sorted(x["value_mkrw"] for x in X.sheet_amounts(cells).collect()) == pytest.approx([5e-6, 500.0])
     assert sorted(x["value_mkrw"] for x in X.sheet_amounts(cells, "longest").collect()) == [5.0, 500.0]
 
 

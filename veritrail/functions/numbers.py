@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from veritrail import rules
 from veritrail.functions.text import col, normalize_invisibles, trimmed, unique_keep_order
 
+#: A number with its unit as it is found in text, and as it is taken apart.
 NUMBER = r"(?:(?:\d{1,3}(?:,\d{3})+)|\d+)(?:\.\d+)?(?:\s?(?:%|배|개월|년|원|백만원|억원|%p|p))?"
 TOKEN = r"^([0-9][0-9,]*(?:\.[0-9]+)?)(.*)$"
 

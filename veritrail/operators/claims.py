@@ -4,40 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veritrail.functions.text import LINE_BREAK, col, collapsed, is_excluded_finance_row, is_excluded_table_header, is_heading, is_numbered_title, is_rule_line, normalize_invisibles, protect_acronym_dots, restore_acronym_dots, trimmed
+from veritrail.functions import text as T
+from veritrail.functions.text import LINE_BREAK, col, collapsed, normalize_invisibles, once, protect_acronym_dots, restore_acronym_dots, trimmed, without_inner_question_marks
 
+#: The least length of a claim, lines of a keyed kind that go, separators of tables, rules inside text.
 MIN_CLAIM = 8
 KEYED = r"^\s*\(?\s*씅씅\s*[:씅]\s*[^)]+\)?\s*$"
 SEPARATOR = r"^\|\s*[-: ]+\s*(\|\s*[-: ]+\s*)+\|$"
 RULE_INSIDE = r"(?U)\s(?:-{3,}|\*{3,}|_{3,})\s"
 
 
-def _excluded(line: Column) -> Column:
-    return is_excluded_table_header(line) | is_excluded_finance_row(line)
-
-
 def _of_table(block: Column) -> Column:
-    lines = F.filter(F.transform(F.split(block, LINE_BREAK), lambda x: normalize_invisibles(trimmed(x))), lambda x: (x != "") & x.startswith("|") & x.endswith("|") & ~x.rlike(SEPARATOR))
-    rows = F.filter(F.transform(lines, collapsed), lambda x: ~is_heading(x) & ~_excluded(x) & (F.length(x) >= MIN_CLAIM))
-    return F.when(F.coalesce(is_excluded_table_header(F.get(lines, F.lit(0))), F.lit(False)), F.array().cast("array<string>")).otherwise(rows)
+    lines = F.filter(F.transform(F.split(block, LINE_BREAK), lambda x: without_inner_question_marks(trimmed(x))), lambda x: x.startswith("|") & x.endswith("|") & ~x.rlike(SEPARATOR))
+    rows = lambda held: F.filter(F.transform(held, collapsed), lambda x: ~T._is_heading(x) & ~T._is_excluded(x) & (F.length(x) >= MIN_CLAIM))
+    return once(lines, lambda held: F.when(F.coalesce(T._of_row(F.get(held, F.lit(0)), T._is_header), F.lit(False)), F.array().cast("array<string>")).otherwise(rows(held)))
 
 
 def _of_prose(block: Column) -> Column:
     pieces = F.split(block, r"(?<=(?<!\d)\.)(?!\d)")
-    return F.filter(F.transform(pieces, lambda x: F.regexp_replace(collapsed(normalize_invisibles(x)), RULE_INSIDE, " ")), lambda x: ~is_heading(x) & (F.length(x) >= MIN_CLAIM))
+    whole = lambda x: once(collapsed(without_inner_question_marks(x)), lambda y: F.when(y.rlike("-{3}|\\*{3}|_{3}"), F.regexp_replace(y, RULE_INSIDE, " ")).otherwise(y))
+    return F.filter(F.transform(pieces, whole), lambda x: (F.length(x) >= MIN_CLAIM) & ~T._is_heading(x))
 
 
 def claims_of(text: Column | str) -> Column:
     """The claims of a report in order: table rows, and sentences that end at a dot which no digit touches."""
     bare = F.regexp_replace(F.regexp_replace(normalize_invisibles(F.coalesce(col(text), F.lit(""))), r"(?s)```.*?```", ""), r"\[\^[^\]]+\]", "")
-    lines = F.filter(F.split(bare, LINE_BREAK), lambda x: ~(is_heading(x) | is_numbered_title(x) | x.rlike(KEYED) | is_rule_line(x) | _excluded(x)))
+    # What goes may bring a question mark between letters, so they are looked for again; then every line is normal.
+    lines = F.filter(F.split(without_inner_question_marks(bare), LINE_BREAK), lambda x: ~(T._is_heading(x) | T._is_numbered_title(x) | x.rlike(KEYED) | T._is_rule_line(x) | T._is_excluded(x)))
     joined = F.translate(F.array_join(lines, "\n"), "씅", "-")
     for pattern, into in ((r"\s*\(\s*[+-]\s*\)\s*", "\n\n"), (r"(?md)(^|\s)\+\s+(?=\D)", "$1\n\n"), (r"(?md)(^|\s)-\s+(?=\D)", "$1\n\n"), (r"\n{3,}", "\n\n")):
         joined = F.regexp_replace(joined, pattern, into)
     blocks = F.filter(F.transform(F.split(protect_acronym_dots(joined), r"\n{2,}"), trimmed), lambda b: b != "")
     table = lambda b: b.contains("|") & b.contains("\n") & b.rlike(r"(?md)^\|.*\|$")
-    found = F.flatten(F.transform(blocks, lambda b: F.when(_excluded(b), F.array().cast("array<string>")).when(table(b), _of_table(b)).otherwise(_of_prose(b))))
-    kept = F.filter(found, lambda c: ~(is_heading(c) | is_rule_line(c) | is_numbered_title(c) | c.rlike(KEYED)))
+    found = F.flatten(F.transform(blocks, lambda b: F.when(T._is_excluded(b), F.array().cast("array<string>")).when(table(b), _of_table(b)).otherwise(_of_prose(b))))
+    kept = F.filter(found, lambda c: ~(T._is_heading(c) | T._is_rule_line(c) | T._is_numbered_title(c)))
     return F.transform(kept, restore_acronym_dots)
 
 
@@ -58,10 +58,7 @@ def chunk_text(text: Column | str, size: int = 900, overlap: int = 120) -> Colum
 
 
 def chunks(texts: DataFrame, source: str, place: str = "page", size: int = 900, overlap: int = 120) -> DataFrame:
-    """texts: case_id, place, text, file_idx if there is one. case_id, source, place, file_idx, chunk_id, ord, text. ord numbers a case's chunks in order of file, place and chunk."""
-    from pyspark.sql import Window
-
-    file = F.col("file_idx") if "file_idx" in texts.columns else F.lit(0)
-    cut = texts.select("case_id", F.lit(source).alias("source"), F.col(place).cast("int").alias("place"), file.cast("int").alias("file_idx"), F.posexplode_outer(chunk_text("text", size, overlap)).alias("chunk_id", "text")).where("text is not null")
-    order = Window.partitionBy("case_id", "source").orderBy("file_idx", "place", "chunk_id")
-    return cut.withColumn("ord", F.row_number().over(order) - 1)
+    """texts: case_id, place, text, and file_idx and sheet if there are any. case_id, source, place, file_idx, chunk_id, ord, text. ord is what a case's chunks are in order by: file, sheet (by name), place and chunk; no case is gathered to number them."""
+    own = lambda name, kind, none: (F.coalesce(name, none) if name in texts.columns else none).cast(kind).alias(name)
+    cut = texts.select("case_id", F.lit(source).alias("source"), F.col(place).cast("int").alias("place"), own("file_idx", "int", F.lit(0)), own("sheet", "string", F.lit("")), F.posexplode_outer(chunk_text("text", size, overlap)).alias("chunk_id", "text")).where("text is not null")
+    return cut.select("case_id", "source", "place", "file_idx", "chunk_id", F.struct("file_idx", "sheet", "place", "chunk_id").alias("ord"), "text")

@@ -1,37 +1,70 @@
 """DuckDB SQL for the queries' rows."""
 
 from veritrail import rules
-from veritrail.queries import SENTENCES
+from veritrail.queries import REPORTS, SENTENCES, TALES, TEXTS
 
 #: normalize_invisibles: RE2 has no look-around, so the mark inside a word is replaced twice, for matches that share a letter.
 _ODD = "'' || chr(160) || chr(8239) || chr(8201) || chr(8202) || chr(8199) || chr(65533) || chr(65283) || chr(65285) || chr(65292) || chr(65294)"
 _GONE = "'[' || chr(65279) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || ']'"
 
 
-def _norm(c: str) -> str:
+def _twice(c: str) -> str:
     inside = "[0-9A-Za-z가-힣]"
-    plain = f"translate(regexp_replace({c}, {_GONE}, '', 'g'), {_ODD}, '      #%,.')"
-    once = f"regexp_replace({plain}, '({inside})\\?({inside})', '\\1 \\2', 'g')"
+    once = f"regexp_replace({c}, '({inside})\\?({inside})', '\\1 \\2', 'g')"
     return f"regexp_replace({once}, '({inside})\\?({inside})', '\\1 \\2', 'g')"
 
 
+def _norm(c: str) -> str:
+    return _twice(f"translate(regexp_replace({c}, {_GONE}, '', 'g'), {_ODD}, '      #%,.')")
+
+
 def _lines(test: str) -> str:
-    return f"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: {test})) AS BIGINT) AS n_lines FROM documents"
+    return f"WITH {TEXTS} SELECT kind, id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: {test})) AS BIGINT) AS n_lines FROM t"
+
+
+def _texts(columns: str) -> str:
+    return f"WITH {TEXTS} SELECT kind, id, {columns} FROM t"
 
 
 def _trim(c: str) -> str:
     return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
-_LINE = f"regexp_replace({_trim(_norm('x'))}, '^([-*+]\\s+)+', '')"
-_CELLS = f"list_transform(string_split(regexp_replace({_LINE}, '^\\|+|\\|+$', '', 'g'), '|'), lambda c: {_trim('c')})"
-_ROW = f"starts_with({_LINE}, '|') AND ends_with({_LINE}, '|')"
+_bare = lambda x: f"regexp_replace({_trim(x)}, '^([-*+]\\s+)+', '')"
+_cells = lambda x: f"list_transform(string_split(regexp_replace({_bare(x)}, '^\\|+|\\|+$', '', 'g'), '|'), lambda c: {_trim('c')})"
+_row = lambda x: f"starts_with({_bare(x)}, '|') AND ends_with({_bare(x)}, '|')"
+_heading = lambda x: f"regexp_matches({_bare(x)}, '^(\\\\+#|\\s*#)')"
+_title = lambda x: f"regexp_full_match({_trim(x)}, '\\d+\\.\\s+[가-힣A-Za-z\\s]{{1,20}}')"
+_rule = lambda x: f"regexp_full_match({x}, '\\s{{0,3}}(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*')"
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-_sorted = lambda c: f"array_to_string(list_sort(list_distinct({c})), '|')"
+_joined = lambda c: f"array_to_string({c}, '|')"
+_uniq = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+_header = lambda x: f"({_row(x)} AND (list_has_all({_cells(x)}, {_list(rules.EXCLUDED_HEADERS)}) OR len(list_filter({_cells(x)}, lambda c: list_contains({_list(rules.FINANCE_KEYS)}, c))) >= 4))"
+_figures = lambda x: f"len(list_filter({_cells(x)}[2:], lambda c: regexp_full_match(replace(c, ' ', ''), '-?(\\d{{1,3}}(,\\d{{3}})+|\\d+)(\\.\\d+)?(%|%p|p)?씅?')))"
+_yearly = lambda x: f"({_row(x)} AND regexp_full_match({_cells(x)}[1], '(19|20)\\d{{2}}') AND len(list_filter({_cells(x)}[2:], lambda c: c <> '')) >= 6 AND {_figures(x)} >= 5 AND (len(list_filter({_cells(x)}[2:], lambda c: contains(c, '%'))) > 0 OR {_figures(x)} >= 7))"
 _NUMBER = r"(?:(?:\d{1,3}(?:,\d{3})+)|\d+)(?:\.\d+)?(?:\s?(?:%|배|개월|년|원|백만원|억원|%p|p))?"
-_numbers = lambda c: f"list_transform(regexp_extract_all({c}, '{_NUMBER}'), lambda n: regexp_replace(n, '\\s+', '', 'g'))"
+_numbers = lambda c: _uniq(f"list_transform(regexp_extract_all({c}, '{_NUMBER}'), lambda n: regexp_replace(n, '\\s+', '', 'g'))")
 _units = lambda c: f"list_filter({_list(rules.UNITS)}, lambda u: contains({c}, u))"
-_METRICS = "[" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(claim), '{s.lower()}')" for s in syns) + f" THEN '{k}' END" for k, syns in rules.METRICS.items()) + "]"
+_metrics = lambda c: "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower({c}), '{s.lower()}')" for s in syns) + f" THEN '{k}' END" for k, syns in rules.METRICS.items()) + "], lambda m: m IS NOT NULL)"
+_years = lambda c: f"list_transform(regexp_extract_all({c}, '(19|20)\\d{{2}}\\s*년?'), lambda x: translate(x, ' 년', ''))"
+_matching = lambda c: _trim(f"regexp_replace(lower({_norm(c)}), '\\s+', ' ', 'g')")
+
+
+def _variants(c: str) -> str:
+    """A number's spellings in order."""
+    number, unit = (f"regexp_extract({c}, '^([0-9][0-9,]*(?:\\.[0-9]+)?)(.*)$', {k})" for k in (1, 2))
+    plain = f"replace({number}, ',', '')"
+    base = f"[{number} || {unit}, {plain} || {unit}, format('{{:,}}', CAST(regexp_extract({plain}, '^\\d+') AS BIGINT)) || regexp_extract({plain}, '\\.\\d+$') || {unit}]"
+    spelled = f"flatten(list_transform({base}, lambda b: CASE WHEN contains(b, '%') THEN [b, replace(b, '%', '％')] ELSE [b] END))"
+    factor = "CASE " + unit + " " + " ".join(f"WHEN '{k}' THEN {v}.0::DOUBLE" for k, v in rules.WON.items()) + " END"
+    parts = []
+    for into, won in rules.WON.items():
+        v = f"CAST({plain} AS DOUBLE) * ({factor}) / {won}.0::DOUBLE"
+        parts.append(f"CASE WHEN {unit} = '{into}' OR ({factor}) IS NULL THEN [] WHEN {v} >= 1 THEN [CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR) || '{into}', format('{{:,}}', CAST(floor({v}) AS BIGINT)) || '{into}'] ELSE [format('{{:.3f}}', {v}) || '{into}'] END")
+    return f"list_concat({spelled}, {', '.join(parts)})"
+
+
+_spelled_in = lambda numbers, text: f"list_filter({numbers}, lambda n: len(list_filter({_variants('n')}, lambda v: contains({text}, v))) > 0)"
 _CONFLICT = " OR ".join(f"(contains(claim, '{a}') AND contains(evidence, '{b}'))" for x, y in rules.OPPOSITES for a, b in ((x, y), (y, x)))
 _DIRECTIONS = _list(rules.UP_WORDS + rules.DOWN_WORDS)
 _CHUNKS = """CASE WHEN text IS NULL THEN [] ELSE list_transform(range(0, CAST(greatest(ceil((length(text) - 900) / 780.0), 0) AS BIGINT) + 1), lambda k: regexp_replace(substr(text, k * 780 + 1, 900), '^\\s+|\\s+$', '', 'g')) END"""
@@ -67,7 +100,7 @@ _ATT = _any("NUM_MISSING", "BIG_NUM_MISSING", "DIR_CONFLICT", "UNIT_MISMATCH", "
 _ST = "['SUPPORTED', 'PARTIAL', 'UNSUPPORTED']"
 _REVIEW = f"""r0 AS (SELECT l_suppkey AS case_id, l_orderkey * 10 + l_linenumber AS claim_id, 'line ' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS claim_norm, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS dg, l_quantity > 10 AS hn,
  CASE WHEN l_quantity > 10 AND l_returnflag = 'R' THEN [CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR)] WHEN l_quantity > 10 AND l_returnflag = 'A' THEN ['7'] ELSE [] END AS missing,
- {_ST}[l_linenumber % 3 + 1] AS st, {_ST}[(l_linenumber + 1) % 3 + 1] AS sp, {_ST}[(l_linenumber + 2) % 3 + 1] AS sx, l_discount * 10 AS score, l_tax * 10 AS cov, l_discount * 2 AS prox, l_linestatus = 'O' AND l_linenumber = 1 AS dc, l_linenumber = 5 AS nc FROM lineitem),
+ {_ST}[l_linenumber % 3 + 1] AS st, {_ST}[(l_linenumber + 1) % 3 + 1] AS sp, {_ST}[(l_linenumber + 2) % 3 + 1] AS sx, l_discount * 10 AS score, l_tax * 5 AS sheet, l_tax * 10 AS cov, l_discount * 2 AS prox, l_linestatus = 'O' AND l_linenumber = 1 AS dc, l_linenumber = 5 AS nc FROM lineitem),
 r1 AS (SELECT *, list_filter([CASE WHEN hn AND len(missing) > 0 THEN 'NUM_MISSING' END, CASE WHEN len(list_filter(missing, lambda x: length(x) >= 3)) > 0 THEN 'BIG_NUM_MISSING' END, CASE WHEN cov >= 0.55 AND prox <= 0.15 THEN 'DISPERSED' END,
  CASE WHEN sp = 'SUPPORTED' AND sx <> 'SUPPORTED' THEN 'PDF_ONLY' END, CASE WHEN sx = 'SUPPORTED' AND sp <> 'SUPPORTED' THEN 'JSON_ONLY' END, CASE WHEN dc THEN 'DIR_CONFLICT' END, CASE WHEN nc THEN 'NUM_CONFLICT' END], lambda x: x IS NOT NULL) AS tags,
  ['CONFIRMED', 'EDIT', 'DELETE', 'HOLD', 'NONE'][(claim_id + CASE WHEN claim_id % 7 = 0 THEN 0 ELSE 1 END) % 5 + 1] AS decision, CASE WHEN claim_id % 7 = 0 THEN 'again' ELSE 'first' END AS note, least(greatest(score, 0), 1) AS s FROM r0),
@@ -82,40 +115,96 @@ r4 AS (SELECT r3.*, CAST(b + CASE s2 WHEN 'SUPPORTED' THEN a1 WHEN 'PARTIAL' THE
  - CASE WHEN {_has('DIR_CONFLICT')} THEN 0.22 * cs ELSE 0 END - CASE WHEN {_has('NUM_CONFLICT')} THEN 0.22 * cs ELSE 0 END - CASE WHEN {_has('BIG_NUM_MISSING')} THEN 0.12 * ms ELSE 0 END - CASE WHEN {_has('NUM_MISSING')} THEN 0.05 * ms ELSE 0 END AS q FROM r3 JOIN ba USING (decision)),
 rv AS (SELECT *, least(greatest(CASE WHEN decision = 'CONFIRMED' THEN greatest(q, 0.78) ELSE q END, 0), 1) AS quality FROM r4)"""
 _AUDIT = "st = 'UNSUPPORTED' AND decision = 'CONFIRMED' AND hn"
+_status = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.STATUS_LABELS.items()) + " END"
 _LABELS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in rules.TAG_LABELS.items()) + "}"
 
+_escaped = lambda c: f"replace(replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#039;')"
+
+
+def _protected(c: str) -> str:
+    """Dots of acronyms, two letters at a time, then that of a last single letter."""
+    pairs = f"regexp_replace({c}, '([A-Za-z])\\.([A-Za-z])\\.', '\\1?DOT?\\2' || chr(2), 'g')"
+    return f"replace(regexp_replace({pairs}, chr(2) || '([A-Za-z])\\.', '?DOT?\\1?DOT?', 'g'), chr(2), '?DOT?')"
+
+
+#: Claims of rp(kind, case_id, text): cl, lines kept and joined; bl, blocks; cm, claims.
+_excluded = lambda x: f"({_header(x)} OR {_yearly(x)})"
+_collapsed = lambda c: _trim(f"regexp_replace({c}, '\\s+', ' ', 'g')")
+_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_bullets = lambda c, mark: f"regexp_replace({c}, '(?m)(^|\\s){mark}\\s+(\\D)', '\\1' || chr(10) || chr(10) || '\\2', 'g')"
+_SIGNS = "regexp_replace(translate(j, '씅', '-'), '\\s*\\(\\s*[+-]\\s*\\)\\s*', chr(10) || chr(10), 'g')"
+_cut = lambda c: f"regexp_replace({c}, '([^0-9])\\.([^0-9])', '\\1.' || chr(3) || '\\2', 'g')"
+_CLAIMS = f"""ca AS (SELECT kind, case_id, {_twice(f"regexp_replace(regexp_replace({_norm("coalesce(text, '')")}, '(?s)```.*?```', '', 'g'), '\\[\\^[^\\]]+\\]', '', 'g')")} AS bare FROM rp),
+cl AS (SELECT kind, case_id, array_to_string(list_filter(regexp_split_to_array(bare, '{_BREAK}'), lambda x: NOT ({_heading('x')} OR {_title('x')} OR {_rule('x')} OR {_excluded('x')})), chr(10)) AS j FROM ca),
+cp AS (SELECT kind, case_id, {_protected(f"regexp_replace({_bullets(_bullets(_SIGNS, '[+]'), '-')}, '\\n{{3,}}', chr(10) || chr(10), 'g')")} AS j FROM cl),
+bl AS (SELECT kind, case_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS pos FROM (SELECT kind, case_id, list_filter(list_transform(regexp_split_to_array(j, '\\n{{2,}}'), lambda x: {_trim('x')}), lambda x: x <> '') AS bs FROM cp)),
+bt AS (SELECT *, contains(b, '|') AND contains(b, chr(10)) AND regexp_matches(b, '(?m)^\\|.*\\|$') AS tabular FROM bl WHERE NOT {_excluded('b')}),
+tr AS (SELECT kind, case_id, pos, list_filter(list_transform(regexp_split_to_array(b, '{_BREAK}'), lambda x: {_twice(_trim('x'))}), lambda x: starts_with(x, '|') AND ends_with(x, '|') AND NOT regexp_full_match(x, '\\|\\s*[-: ]+\\s*(\\|\\s*[-: ]+\\s*)+\\|')) AS ls FROM bt WHERE tabular),
+ps AS (SELECT kind, case_id, pos, list_filter(list_transform(ls, lambda x: {_collapsed('x')}), lambda x: NOT {_excluded('x')}) AS cs FROM tr WHERE NOT coalesce({_header('ls[1]')}, false)
+ UNION ALL SELECT kind, case_id, pos, list_transform(string_split(replace({_cut(_cut(_cut(_cut("chr(1) || b || chr(1)"))))}, chr(1), ''), chr(3)), lambda x: regexp_replace({_collapsed(_twice('x'))}, '\\s(-{{3,}}|\\*{{3,}}|_{{3,}})\\s', ' ', 'g')) FROM bt WHERE NOT tabular),
+cu AS (SELECT kind, case_id, pos, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM ps),
+cm AS (SELECT kind, case_id, row_number() OVER (PARTITION BY kind, case_id ORDER BY pos, i) AS claim_id, replace(c, '?DOT?', '.') AS claim_text FROM cu WHERE length(c) >= 8 AND NOT ({_heading('c')} OR {_rule('c')} OR {_title('c')}))"""
+#: Of s(o_orderkey, claim, evidence): fb(o_orderkey, score) over windows of three sentences, px(o_orderkey, proximity).
+_FACTS = f"""fc AS (SELECT o_orderkey, {_metrics('claim')} AS ms, {_years('claim')} AS ys, {_units('claim')} AS us, {_spelled_in(_numbers('claim'), _matching('claim'))} AS ns, list_filter(list_transform(regexp_split_to_array(evidence, '[\\n.?!]+'), lambda x: {_trim('x')}), lambda x: x <> '') AS ss FROM s),
+fw AS (SELECT o_orderkey, unnest(list_transform(range(1, len(ss) + 1), lambda i: array_to_string(ss[i:i + 2], ' '))) AS w FROM fc),
+fx AS (SELECT o_orderkey, {_metrics('w')} AS wm, {_years('w')} AS wy, {_units('w')} AS wu, {_spelled_in(_numbers('w'), _matching('w'))} AS wn FROM fw),
+fy AS (SELECT o_orderkey, list_has_any(wm, ms) AS m, list_has_any(wn, ns) AS n, len(ys) = 0 OR list_has_any(wy, ys) AS y, len(us) = 0 OR list_has_any(wu, us) AS u FROM fx JOIN fc USING (o_orderkey)),
+fz AS (SELECT o_orderkey, max(CASE WHEN m AND n AND y AND u THEN 1.0 WHEN m AND n AND (y OR u) THEN 0.85 WHEN m AND n THEN 0.65 WHEN m AND (y OR u) THEN 0.45 WHEN m OR n THEN 0.20 ELSE 0.0 END) AS score FROM fy GROUP BY o_orderkey),
+fb AS (SELECT o_orderkey, CASE WHEN len(ms) = 0 OR len(ns) = 0 THEN 0.0 ELSE coalesce(score, 0.0) END AS score FROM fc LEFT JOIN fz USING (o_orderkey))"""
+_PROXIMITY = f"""pn AS (SELECT o_orderkey, unnest(ns) AS n, generate_subscripts(ns, 1) AS k FROM (SELECT o_orderkey, {_numbers('claim')} AS ns FROM s)),
+pp AS (SELECT s.o_orderkey, n, k, strpos(replace(claim, ' ', ''), n) - 1 AS at FROM pn JOIN s USING (o_orderkey) WHERE contains(replace(claim, ' ', ''), n)),
+pw AS (SELECT o_orderkey, w, strpos(claim, w) - 1 AS at FROM (SELECT o_orderkey, claim, unnest({_list(rules.INDICATORS)}) AS w FROM s) WHERE contains(claim, w)),
+pk AS (SELECT DISTINCT o_orderkey, w, n, k FROM (SELECT pp.o_orderkey, w, n, k, abs(pp.at - pw.at) AS far, row_number() OVER (PARTITION BY pp.o_orderkey, w ORDER BY abs(pp.at - pw.at), k) AS r FROM pp JOIN pw USING (o_orderkey)) WHERE r = 1 AND far <= 80),
+pv AS (SELECT n, {_variants('n')} AS vs FROM (SELECT DISTINCT n FROM pk)),
+po AS (SELECT o_orderkey, w, q FROM (SELECT pk.o_orderkey, w, evidence, unnest(range(0, length(evidence))) AS q FROM pk JOIN s USING (o_orderkey)) WHERE substr(evidence, q + 1, length(w)) = w),
+ph AS (SELECT DISTINCT pk.o_orderkey, pk.w, pk.k FROM pk JOIN po ON po.o_orderkey = pk.o_orderkey AND po.w = pk.w JOIN pv USING (n) JOIN s ON s.o_orderkey = pk.o_orderkey WHERE len(list_filter(vs, lambda v: contains(substr(evidence, greatest(q - 40, 0) + 1, q + length(pk.w) + 40 - greatest(q - 40, 0)), v))) > 0),
+px AS (SELECT s.o_orderkey, CASE WHEN count(pk.w) = 0 THEN 0.5 ELSE count(ph.w) / count(pk.w) END AS proximity FROM s LEFT JOIN pk ON pk.o_orderkey = s.o_orderkey LEFT JOIN ph ON ph.o_orderkey = pk.o_orderkey AND ph.w = pk.w AND ph.k = pk.k GROUP BY s.o_orderkey)"""
+
 ORACLES: dict[str, str] = {
-    "normalize_invisibles": f"SELECT doc_id, md5({_norm('text')}) AS md5 FROM documents",
-    "norm_for_match": f"SELECT doc_id, md5({_trim(f'''regexp_replace(lower({_norm('text')}), '\\s+', ' ', 'g')''')}) AS md5 FROM documents",
-    "word_tokens": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(list_sort(w), '|')) AS md5 FROM (SELECT doc_id, list_distinct(regexp_extract_all({_norm('text')}, '[가-힣]{{2,}}|[A-Za-z]{{2,}}[A-Za-z0-9\\-_/]*')) AS w FROM documents)",
-    "split_sentences": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, '|')) AS md5 FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\\n.?!]+'), lambda x: {_trim('x')}), lambda x: x <> '') AS w FROM documents)",
-    "html_escape": "SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')) AS md5 FROM documents",
-    "is_heading": _lines(f"regexp_matches({_LINE}, '^(\\\\+#|\\s*#)')"),
-    "is_numbered_title": _lines(f"regexp_full_match({_norm(_trim('x'))}, '\\d+\\.\\s+[가-힣A-Za-z\\s]{{1,20}}')"),
-    "is_rule_line": _lines(f"regexp_full_match({_norm('x')}, '\\s{{0,3}}(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*')"),
-    "is_excluded_table_header": _lines(f"{_ROW} AND (list_has_all({_CELLS}, {_list(rules.EXCLUDED_HEADERS)}) OR len(list_filter({_CELLS}, lambda c: list_contains({_list(rules.FINANCE_KEYS)}, c))) >= 4)"),
-    "is_excluded_finance_row": _lines(f"""{_ROW} AND regexp_full_match({_CELLS}[1], '(19|20)\\d{{2}}') AND len(list_filter({_CELLS}[2:], lambda c: c <> '')) >= 6
- AND len(list_filter({_CELLS}[2:], lambda c: regexp_full_match(replace(c, ' ', ''), '-?(\\d{{1,3}}(,\\d{{3}})+|\\d+)(\\.\\d+)?(%|%p|p)?씅?'))) >= 5
- AND (len(list_filter({_CELLS}[2:], lambda c: contains(c, '%'))) > 0 OR len(list_filter({_CELLS}[2:], lambda c: regexp_full_match(replace(c, ' ', ''), '-?(\\d{{1,3}}(,\\d{{3}})+|\\d+)(\\.\\d+)?(%|%p|p)?씅?'))) >= 7)"""),
-    "extract_numbers": f"SELECT doc_id, {_sorted(_numbers(_norm('text')))} AS numbers FROM documents",
-    "number_tokens": f"""WITH {SENTENCES} SELECT o_orderkey, {_sorted(_numbers('claim'))} AS numbers, array_to_string(list_sort(list_transform(regexp_extract_all(claim, '(19|20)\\d{{2}}\\s*년?'), lambda x: translate(x, ' 년', ''))), '|') AS years, {_sorted(_units('claim'))} AS units,
- array_to_string(list_sort(list_filter({_METRICS}, lambda m: m IS NOT NULL)), '|') AS metrics, {_sorted(f'''list_filter({_numbers('claim')}, lambda n: length(regexp_replace(n, '\\D', '', 'g')) >= 3)''')} AS big, CAST(v AS DOUBLE) AS amount FROM s""",
-    "number_variants": f"""WITH {SENTENCES} SELECT o_orderkey, {_sorted('''[token, CAST(v AS VARCHAR) || '백만원', CAST(v * 1000000 AS VARCHAR) || '원', format('{:,}', v * 1000000) || '원', CAST(v * 1000 AS VARCHAR) || '천원', format('{:,}', v * 1000) || '천원', CAST(v * 100 AS VARCHAR) || '만원', format('{:,}', v * 100) || '만원', CAST(v // 100 AS VARCHAR) || '억원', format('{:,}', v // 100) || '억원']''')} AS variants FROM s""",
-    "unit_match": f"WITH {SENTENCES} SELECT o_orderkey, round(CASE WHEN len({_units('claim')}) = 0 THEN 0.5 ELSE len(list_filter({_units('claim')}, lambda u: contains(evidence, u))) / len({_units('claim')}) END, 6) AS unit_match FROM s",
-    "direction": f"WITH {SENTENCES} SELECT o_orderkey, CASE WHEN {_CONFLICT} THEN 0.0 ELSE 0.5 + 0.5 * len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w) AND contains(evidence, w))) / len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w))) END AS score, {_CONFLICT} AS conflict FROM s",
-    "index_pages": f"SELECT case_id, CAST(k AS BIGINT) AS chunk_id, CAST(k AS BIGINT) AS ord, CAST(length(text) AS BIGINT) AS n, md5(text) AS md5 FROM (SELECT doc_id AS case_id, unnest(u) AS text, generate_subscripts(u, 1) - 1 AS k FROM (SELECT doc_id, list_filter({_CHUNKS}, lambda t: t <> '') AS u FROM documents))",
-    "char_tfidf": f"WITH {_TFIDF} SELECT case_id, ord, count(*) AS n_ngrams, round(sum(w), 6) AS w_sum FROM w GROUP BY case_id, ord",
-    "topk_evidence": f"WITH {_TOPK} SELECT case_id, claim_id, rank, ord, round(score, 6) AS score FROM top",
+    "normalize_invisibles": _texts(f"md5({_norm('text')}) AS md5"),
+    "norm_for_match": _texts(f"md5({_matching('text')}) AS md5"),
+    "word_tokens": f"""WITH {TEXTS}, w AS (SELECT kind, id, regexp_extract_all({_norm('text')}, '[가-힣]{{2,}}|[A-Za-z]{{2,}}[A-Za-z0-9\\-_/]*') AS ws FROM t), u AS (SELECT kind, id, w, min(p) AS p FROM (SELECT kind, id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w) GROUP BY ALL)
+SELECT kind, id, count(u.w) AS n, md5(coalesce(string_agg(u.w, '|' ORDER BY p), '')) AS md5 FROM w LEFT JOIN u USING (kind, id) GROUP BY kind, id""",
+    "unique_keep_order": f"""WITH {TEXTS}, w AS (SELECT kind, id, regexp_split_to_array(text, '[ \\n]') AS ws FROM t), u AS (SELECT kind, id, w, min(p) AS p FROM (SELECT kind, id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM w) WHERE w <> '' GROUP BY ALL)
+SELECT kind, id, md5(coalesce(string_agg(u.w, '|' ORDER BY p), '')) AS md5 FROM w LEFT JOIN u USING (kind, id) GROUP BY kind, id""",
+    "split_sentences": f"WITH {TEXTS} SELECT kind, id, CAST(len(w) AS BIGINT) AS n, md5(array_to_string(w, '|')) AS md5 FROM (SELECT kind, id, list_filter(list_transform(regexp_split_to_array(text, '[\\n.?!]+'), lambda x: {_trim('x')}), lambda x: x <> '') AS w FROM t)",
+    "html_escape": _texts(f"md5({_escaped('text')}) AS md5"),
+    "acronym_dots": _texts(f"md5({_protected('text')}) AS kept, md5(replace({_protected('text')}, '?DOT?', '.')) AS restored"),
+    "is_heading": _lines(_heading(_norm("x"))),
+    "is_numbered_title": _lines(_title(_norm(_trim("x")))),
+    "is_rule_line": _lines(_rule(_norm("x"))),
+    "is_excluded_table_header": _lines(_header(_norm("x"))),
+    "is_excluded_finance_row": _lines(_yearly(_norm("x"))),
+    "extract_numbers": _texts(f"{_joined(_numbers(_norm('text')))} AS numbers"),
+    "number_tokens": f"""WITH {TALES} SELECT o_orderkey, {_joined(_numbers('claim'))} AS numbers, {_joined(_years('evidence'))} AS years, {_joined(_units('claim'))} AS units, {_joined(_metrics('claim'))} AS metrics,
+ {_joined(f"list_filter({_numbers('claim')}, lambda n: length(regexp_replace(n, '\\D', '', 'g')) >= 3)")} AS big, CAST(replace(regexp_extract(token, '^[0-9][0-9,]*'), ',', '') AS DOUBLE) * CASE regexp_extract(token, '^[0-9][0-9,.]*(.*)$', 1) WHEN '백만원' THEN 1.0 WHEN '억원' THEN 100.0 WHEN '원' THEN 0.000001::DOUBLE END AS amount FROM s""",
+    "number_variants": f"WITH {TALES} SELECT o_orderkey, {_joined(_uniq(_variants('token')))} AS variants FROM s",
+    "unit_match": f"WITH {TALES} SELECT o_orderkey, round(CASE WHEN len({_units('claim')}) = 0 THEN 0.5 ELSE len(list_filter({_units('claim')}, lambda u: contains(evidence, u))) / len({_units('claim')}) END, 6) AS unit_match FROM s",
+    "direction": f"WITH {TALES} SELECT o_orderkey, CAST(CASE WHEN len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w))) = 0 THEN 0.5 WHEN {_CONFLICT} THEN 0.0 ELSE 0.5 + 0.5 * len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w) AND contains(evidence, w))) / len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w))) END AS DOUBLE) AS score, {_CONFLICT} AS conflict FROM s",
+    "fact_block": f"WITH {TALES}, {_FACTS} SELECT o_orderkey, CAST(score AS DOUBLE) AS score FROM fb",
+    "features": f"""WITH {TALES}, {_PROXIMITY}, f AS (SELECT o_orderkey, ns, list_filter(ns, lambda n: length(regexp_replace(n, '\\D', '', 'g')) >= 3) AS big, {_spelled_in('ns', 'e')} AS near FROM (SELECT o_orderkey, {_numbers('claim')} AS ns, {_matching('evidence')} AS e FROM s)),
+ g AS (SELECT *, CASE WHEN len(big) > 0 THEN big ELSE ns END AS asked FROM f)
+SELECT o_orderkey, {_joined('near')} AS matched, round(CASE WHEN len(ns) = 0 THEN 0.5 ELSE len(list_filter(asked, lambda n: list_contains(near, n))) / len(asked) END, 6) AS recall, round(proximity, 6) AS proximity FROM g JOIN px USING (o_orderkey)""",
+    "combine_status": f"WITH {_REVIEW} SELECT claim_id, CASE WHEN sp = 'SUPPORTED' OR sx = 'SUPPORTED' THEN 'SUPPORTED' WHEN sp = 'PARTIAL' OR sx = 'PARTIAL' THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS status FROM rv",
+    "clean_pages": f"SELECT page_id, md5({_trim(f"regexp_replace({_norm("regexp_replace(html, '<[^>]*>', ' ', 'g')")}, '[ \\t]+', ' ', 'g')")}) AS md5 FROM pages",
+    "highlights": f"""WITH {TALES}, h AS (SELECT o_orderkey, '<a & b> ' || evidence AS plain, list_concat(flatten(list_transform({_numbers('claim')}, lambda n: {_variants('n')})), list_filter({_uniq("regexp_extract_all(claim, '[가-힣]{2,}|[A-Za-z]{2,}[A-Za-z0-9\\-_/]*')")}, lambda w: NOT list_contains({_list([*rules.UNITS, '천원', '만원'])}, w))) AS raw FROM s),
+ k AS (SELECT o_orderkey, plain, list_filter({_uniq('raw')}, lambda t: contains(plain, t)) AS ts FROM h),
+ o AS (SELECT o_orderkey, plain, list_transform(list_sort(list_transform(ts, lambda t, i: {{'n': -length(t), 'i': i, 't': t}})), lambda x: x.t) AS ts FROM k)
+SELECT o_orderkey, list_reduce(list_prepend({_escaped('plain')}, list_transform(ts, lambda t: {_escaped('t')})), lambda acc, x: replace(acc, x, '<b>' || x || '</b>')) AS html FROM o""",
+    "split_claims": f"WITH {REPORTS}, {_CLAIMS} SELECT kind, case_id, claim_id, claim_text, {_norm('claim_text')} AS claim_norm FROM cm",
+    "index_pages": f"SELECT case_id, CAST(k AS BIGINT) AS chunk_id, CAST(length(text) AS BIGINT) AS n, md5(text) AS md5 FROM (SELECT doc_id AS case_id, unnest(u) AS text, generate_subscripts(u, 1) - 1 AS k FROM (SELECT doc_id, list_filter({_CHUNKS}, lambda t: t <> '') AS u FROM documents))",
+    "char_tfidf": f"WITH {_TFIDF} SELECT case_id, page, chunk_id, count(*) AS n_ngrams, round(sum(w), 6) AS w_sum FROM w JOIN ch USING (case_id, ord) GROUP BY case_id, page, chunk_id",
+    "topk_evidence": f"WITH {_TOPK} SELECT case_id, claim_id, rank, page, chunk_id, round(score, 6) AS score FROM top JOIN ch USING (case_id, ord)",
     "best_evidence": f"""WITH {_TOPK}, e AS (SELECT top.case_id, top.claim_id, top.rank, top.score, ch.page, ch.text FROM top JOIN ch ON top.case_id = ch.case_id AND top.ord = ch.ord)
-SELECT case_id, claim_id, round(max(score), 6) AS sim_best, min(page) FILTER (rank = 1) AS page, md5(replace(trim(substr(min(text) FILTER (rank = 1), 1, 500)), chr(10), ' ')) AS snippet_md5, md5({_norm("string_agg(text, chr(10) ORDER BY rank)")}) AS text_md5 FROM e GROUP BY case_id, claim_id""",
+SELECT case_id, claim_id, round(max(score), 6) AS sim_best, min(page) FILTER (rank = 1) AS page, md5(replace({_trim('substr(min(text) FILTER (rank = 1), 1, 500)')}, chr(10), ' ')) AS snippet_md5, md5({_norm("string_agg(text, chr(10) ORDER BY rank)")}) AS text_md5 FROM e GROUP BY case_id, claim_id""",
     "word_idf": f"""WITH {_PAGE_CHUNKS}, t AS (SELECT case_id, list_distinct(regexp_extract_all(lower({_norm('text')}), '[가-힣]{{2,}}|[a-z]{{2,}}[a-z0-9\\-_/]*|\\d+(?:\\.\\d+)?')) AS w FROM ch), n AS (SELECT case_id, count(*) AS n FROM ch GROUP BY case_id), u AS (SELECT case_id, unnest(w) AS token FROM t)
 SELECT case_id, token, round(ln((1 + any_value(n)) / (1 + count(*))) + 1, 6) AS idf FROM u JOIN n USING (case_id) GROUP BY case_id, token""",
-    "number_presence": f"""WITH {SENTENCES}, v AS (SELECT DISTINCT o_orderkey, case_id, unnest([token, CAST(v AS VARCHAR) || '백만원', CAST(v * 1000000 AS VARCHAR) || '원', format('{{:,}}', v * 1000000) || '원', CAST(v * 1000 AS VARCHAR) || '천원', format('{{:,}}', v * 1000) || '천원', CAST(v * 100 AS VARCHAR) || '만원', format('{{:,}}', v * 100) || '만원', CAST(v // 100 AS VARCHAR) || '억원', format('{{:,}}', v // 100) || '억원']) AS needle FROM s)
-SELECT v.o_orderkey, count(*) AS n_spellings FROM v WHERE EXISTS (SELECT 1 FROM s WHERE s.case_id = v.case_id AND contains(s.evidence, v.needle)) GROUP BY v.o_orderkey""",
+    "number_presence": f"""WITH {TALES}, v AS (SELECT DISTINCT o_orderkey, case_id, unnest({_variants('token')}) AS needle FROM s)
+SELECT v.o_orderkey, needle FROM v WHERE EXISTS (SELECT 1 FROM s WHERE s.case_id = v.case_id AND contains(s.evidence, v.needle))""",
     "amount_match": "WITH a AS (SELECT DISTINCT o_custkey AS case_id, CAST(floor(o_totalprice / 100) * 100 AS DOUBLE) AS v FROM orders), x AS (SELECT o_custkey AS case_id, o_totalprice + 900 AS x FROM orders) SELECT case_id, v FROM a WHERE EXISTS (SELECT 1 FROM x WHERE x.case_id = a.case_id AND (abs(x.x - a.v) < 0.01 OR (x.x <> 0 AND abs((x.x - a.v) / x.x) < 0.01)))",
     "sheet_rows": f"WITH {_CELL_SQL} SELECT case_id, CAST(row_no AS BIGINT) AS row_no, string_agg(value, ' ' ORDER BY col_no) AS text FROM c GROUP BY case_id, row_no",
     "sheet_amounts": f"WITH {_CELL_SQL} SELECT case_id, CAST(row_no AS BIGINT) AS row_no, value AS cell_text, round(CAST(replace(replace(value, '백만원', ''), ',', '') AS DOUBLE) * CASE WHEN col_no = 3 THEN 0.000001 ELSE 1 END, 6) AS value_mkrw FROM c WHERE row_no > 1 AND col_no IN (1, 3)",
-    "json_text_rows": "SELECT event_id AS case_id, CAST(1 AS BIGINT) AS row_no, event_type AS text FROM events",
+    "json_text_rows": """SELECT case_id, CAST(row_no AS BIGINT) AS row_no, text FROM (SELECT event_id AS case_id, unnest(r) AS text, generate_subscripts(r, 1) AS row_no FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN [event_type || ' now', 'x y z' || chr(10) || 'w', '', 'last'] WHEN 1 THEN [event_type, 'two words'] WHEN 2 THEN [event_type || ' f'] ELSE [] END AS r FROM events))""",
     "final_score": f"WITH {_FEATURES} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(score, 6) AS score FROM g",
     "decide_status": f"""WITH {_FEATURES}, h AS (SELECT *, round(score, 9) AS x FROM g) SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN conflict THEN CASE WHEN x >= 0.22 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END
  WHEN numeric THEN CASE WHEN x >= 0.30 AND (block >= 0.65 OR (metric AND big > 0 AND cov >= 0.45) OR exact) THEN 'SUPPORTED' WHEN x >= 0.22 AND (block >= 0.35 OR big > 0 OR cov >= 0.30 OR sim >= 0.20) THEN 'PARTIAL' WHEN block >= 0.55 AND (cov >= 0.35 OR sim >= 0.25) THEN 'PARTIAL' ELSE 'UNSUPPORTED' END
@@ -132,18 +221,20 @@ SELECT case_id, total, reviewed, audit_risk, required_undecided, round(ws, 4) AS
     "review_queue": f"WITH {_REVIEW} SELECT case_id, claim_id, row_number() OVER (PARTITION BY case_id ORDER BY round(CAST(priority AS DOUBLE), 9), claim_id) AS place FROM rv",
     "kpi_drilldown": f"WITH {_REVIEW} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, case_id, claim_id FROM rv WHERE {t}" for k, t in (("quality_kept", "decision <> 'DELETE'"), ("completion_unreviewed", "decision = 'NONE'"), ("audit_risk", _AUDIT), ("edit", "decision = 'EDIT'"), ("mismatch", "mismatch = 1.0"), ("delete", "decision = 'DELETE'"))),
     "filter_results": f"WITH {_REVIEW} SELECT case_id, claim_id FROM rv WHERE (contains(lower(claim_norm), 'line 1') OR (hn AND contains(dg || ' 7', 'line 1'))) AND (claim_id BETWEEN 10 AND 9000 OR claim_id BETWEEN 70000 AND 90000) AND st = 'PARTIAL' AND {_has('NUM_MISSING')} AND decision = 'EDIT'",
-    "review_export": f"WITH {_REVIEW} SELECT case_id, claim_id, claim_norm AS claim_text, array_to_string(tags, '|') AS quality_tags, array_to_string(list_transform(tags, lambda t: {_LABELS}[t]), '|') AS risk_tags, decision, note, array_to_string(missing, '|') AS missing_numbers, CASE WHEN hn THEN dg || '|7' ELSE '' END AS numbers, CASE st WHEN 'SUPPORTED' THEN '근거확인' WHEN 'PARTIAL' THEN '근거불충분' ELSE '근거미확인' END AS overall, st AS overall_raw FROM rv",
+    "review_export": f"""WITH {_REVIEW} SELECT case_id, claim_id, claim_norm AS claim_text, st AS system_status, round(CAST(weight AS DOUBLE), 1) AS quality_w, round(round(CAST(quality AS DOUBLE), 9), 1) AS quality_a, array_to_string(tags, '|') AS quality_tags, decision, note, CAST(CASE WHEN claim_id % 7 = 0 THEN 2000 ELSE 1000 END AS BIGINT) AS updated_at,
+ format('{{:.3f}}', score) AS pdf_score, format('{{:.3f}}', sheet) AS xlsx_score, array_to_string(missing, '|') AS missing_numbers, array_to_string(list_transform(tags, lambda t: {_LABELS}[t]), '|') AS risk_tags, claim_id AS id, {_status('st')} AS overall, st AS overall_raw, format('{{:.3f}}', score) AS score_overall, {_status('sp')} AS pdf, sp AS pdf_raw, format('{{:.3f}}', score) AS score_pdf,
+ {_status('sx')} AS xlsx, sx AS xlsx_raw, format('{{:.3f}}', sheet) AS score_xlsx, CASE WHEN hn THEN 2 ELSE 0 END AS num_total, CAST(len(missing) AS INT) AS num_missing, CASE WHEN hn THEN dg || '|7' ELSE '' END AS numbers, claim_norm AS claim FROM rv""",
 }
 
 _OPENS = "CASE WHEN regexp_matches(line, '^\\d+\\.\\s+\\S') THEN 'h2' WHEN (line LIKE '[%' AND line LIKE '%]') OR (line LIKE '【%' AND line LIKE '%】') THEN 'h3' WHEN regexp_matches(line, '^[oO•-]\\s+') THEN 'list' WHEN contains(line, chr(9)) THEN 'table' ELSE 'paragraph' END"
 ORACLES["segment_blocks"] = f"""
-WITH l AS (SELECT doc_id AS case_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split({_trim(_norm("coalesce(text, '')"))}, chr(10)) AS ls FROM documents)),
+WITH {REPORTS}, l AS (SELECT {{'k': kind, 'i': case_id}} AS case_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT kind, case_id, string_split({_trim(_norm("coalesce(text, '')"))}, chr(10)) AS ls FROM rp)),
 n AS (SELECT case_id, pos, raw, {_trim('raw')} AS line FROM l),
 o AS (SELECT *, {_OPENS} AS opens, contains(raw, chr(9)) AS tabbed, sum(CAST(line = '' AS INT)) OVER w AS run, sum(CAST(NOT contains(raw, chr(9)) AS INT)) OVER w AS tabs FROM n WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
 t AS (SELECT * REPLACE (CASE WHEN tabbed AND bool_or(opens = 'table') OVER (PARTITION BY case_id, run, tabs ORDER BY pos) THEN 'table' ELSE opens END AS opens) FROM o WHERE line <> ''),
 k AS (SELECT *, CASE WHEN bool_or(opens = 'paragraph') OVER (PARTITION BY case_id, run ORDER BY pos) THEN 'paragraph' ELSE opens END AS kind FROM t),
 s AS (SELECT *, CAST(kind IN ('h2', 'h3') OR lag(kind) OVER w IS DISTINCT FROM kind OR lag(run) OVER w IS DISTINCT FROM run AS INT) AS starts FROM k WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
 b AS (SELECT *, sum(starts) OVER (PARTITION BY case_id ORDER BY pos) AS block_id, CASE kind WHEN 'list' THEN regexp_replace(line, '^[oO•-]\\s+', '') WHEN 'table' THEN array_to_string(list_transform(string_split(raw, chr(9)), lambda c: {_trim('c')}), chr(9)) ELSE line END AS part FROM s)
-SELECT case_id, CAST(block_id AS BIGINT) AS block_id, kind, CAST(CASE WHEN kind = 'paragraph' THEN 1 ELSE count(*) END AS BIGINT) AS n_rows, md5(CASE WHEN kind = 'paragraph' THEN string_agg(part, ' ' ORDER BY pos) ELSE string_agg(part, chr(10) ORDER BY pos) END) AS md5 FROM b GROUP BY case_id, block_id, kind"""
-ORACLES["locate_claims"] = f"""WITH {SENTENCES}, n AS (SELECT case_id, o_orderkey, claim, row_number() OVER (PARTITION BY case_id ORDER BY o_orderkey) AS r FROM s)
-SELECT case_id, o_orderkey AS claim_id, 'must_review' AS mark, CAST(min(r) OVER (PARTITION BY case_id, claim) AS BIGINT) AS block_id FROM n"""
+SELECT b.case_id.k AS kind, b.case_id.i AS case_id, CAST(b.block_id AS BIGINT) AS block_id, b.kind AS block_kind, CAST(CASE WHEN b.kind = 'paragraph' THEN 1 ELSE count(*) END AS BIGINT) AS n_rows, md5(CASE WHEN b.kind = 'paragraph' THEN string_agg(part, ' ' ORDER BY pos) ELSE string_agg(part, chr(10) ORDER BY pos) END) AS md5 FROM b GROUP BY b.case_id, b.block_id, b.kind"""
+ORACLES["locate_claims"] = f"""WITH {SENTENCES}, n AS (SELECT case_id, o_orderkey, claim, row_number() OVER (PARTITION BY case_id ORDER BY o_orderkey) AS r FROM s), m AS (SELECT *, min(r) OVER (PARTITION BY case_id, claim) AS first FROM n)
+SELECT case_id, o_orderkey AS claim_id, ['must_review', 'confirmed', 'edit', 'delete', 'must_review'][o_orderkey % 5 + 1] AS mark, CAST(first AS BIGINT) AS block_id FROM m WHERE o_orderkey % 3 > 0"""

@@ -8,6 +8,7 @@ from veritrail import rules
 from veritrail.functions.numbers import digits_only
 from veritrail.functions.text import col
 
+#: Tags that call for attention, and the severe ones; further down the actions and reasons as they are shown.
 ATTENTION = ["NUM_MISSING", "BIG_NUM_MISSING", "DIR_CONFLICT", "UNIT_MISMATCH", "NUM_CONFLICT"]
 SEVERE = ["BIG_NUM_MISSING", "DIR_CONFLICT", "NUM_CONFLICT", "UNIT_MISMATCH"]
 
@@ -161,13 +162,15 @@ def report_grade(score: Column | str) -> Column:
     return F.coalesce(*[F.when(col(score) >= at, F.lit(g)) for at, g in rules.GRADES], F.lit("F"))
 
 
-def kpi_drilldown(rows: DataFrame, kind: str) -> DataFrame:
+def kpi_drilldown(rows: DataFrame, *kinds: str) -> DataFrame:
+    """kind, case_id, claim_id: the claims behind each of these figures, in one pass over the rows."""
     d = F.col("decision")
     tests = {
         "quality_kept": d != "DELETE", "completion_unreviewed": d == "NONE", "edit": d == "EDIT", "delete": d == "DELETE", "mismatch": F.col("mismatch") == 1.0,
         "audit_risk": (F.col("status_overall") == "UNSUPPORTED") & (d == "CONFIRMED") & _numbers(),
     }
-    return rows.where(tests[kind]).select("case_id", "claim_id")
+    held = F.array_compact(F.array(*[F.when(tests[k], F.lit(k)) for k in kinds or tests]))
+    return rows.select(F.explode_outer(held).alias("kind"), "case_id", "claim_id").where("kind is not null")
 
 
 def id_ranges(spec: str | None) -> list[tuple[int, int]]:
@@ -222,7 +225,9 @@ def review_export(rows: DataFrame) -> DataFrame:
 def locate_claims(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """blocks: case_id, block_id, text. Claims short of evidence with the first block of their report that holds them, and how to mark them."""
     from veritrail.functions.text import collapsed
+    from veritrail.operators.match import first_text
 
-    asked = rows.where("insufficient").select("case_id", "claim_id", collapsed(F.col("claim_norm")).alias("needle"), F.when(F.col("decision").isin("CONFIRMED", "EDIT", "DELETE"), F.lower("decision")).otherwise("must_review").alias("mark"))
-    held = blocks.select("case_id", "block_id", collapsed(F.col("text")).alias("text"))
-    return asked.join(held, (asked["case_id"] == held["case_id"]) & F.contains(held["text"], asked["needle"])).groupBy(asked["case_id"], "claim_id", "mark").agg(F.min("block_id").alias("block_id"))
+    asked = rows.where("insufficient").select("case_id", F.lit("").alias("source"), "claim_id", collapsed(F.col("claim_norm")).alias("needle"), F.when(F.col("decision").isin("CONFIRMED", "EDIT", "DELETE"), F.lower("decision")).otherwise("must_review").alias("mark"))
+    held = blocks.select("case_id", F.lit("").alias("source"), F.col("block_id").alias("at"), collapsed(F.col("text")).alias("text"))
+    found = first_text(asked.where("needle <> ''").select("case_id", "source", "needle").distinct(), held)
+    return asked.join(found, ["case_id", "source", "needle"]).select("case_id", "claim_id", "mark", F.col("at").alias("block_id"))

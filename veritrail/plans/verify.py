@@ -29,19 +29,23 @@ def coverage(claims: DataFrame, found: DataFrame, pages: DataFrame, idf: DataFra
     asked = asked_tokens(claims)
     normal = pages.select("case_id", "source", norm_for_match("text").alias("text"))
     per_source = asked.join(found.select(*KEYS, "source", norm_for_match("evidence_text").alias("near")), KEYS)
+    per_source = staged(per_source, "asked")
     needles = per_source.select("case_id", "source", F.explode("needles").alias("needle")).distinct()
-    held = M.present(needles, normal).groupBy("case_id", "source").agg(F.collect_set("needle").alias("held"))
-    rated = per_source.join(idf, (per_source["case_id"] == idf["case_id"]) & (per_source["source"] == idf["source"]) & ~per_source["numeric"] & (norm_for_match(per_source["token"]) == idf["token"]), "left").select(per_source["*"], (F.col("weight") * F.when(F.col("numeric"), 1.0).otherwise(F.coalesce("idf", F.lit(1.0)))).alias("w")).join(held, ["case_id", "source"], "left")
+    held = M.present(needles, normal).withColumn("held", F.lit(True))
+    token_keys = ["case_id", "source", "claim_id", "token"]
+    far = per_source.select(*token_keys, F.explode("needles").alias("needle")).join(held, ["case_id", "source", "needle"]).groupBy(*token_keys).agg(F.max("held").alias("far"))
+    normed = idf.withColumnRenamed("token", "word")
+    rated = per_source.withColumn("word", F.when(~F.col("numeric"), norm_for_match("token"))).join(normed, ["case_id", "source", "word"], "left").join(far, token_keys, "left")
+    weighed = rated.withColumn("w", F.col("weight") * F.when(F.col("numeric"), 1.0).otherwise(F.coalesce("idf", F.lit(1.0))))
     near = F.exists("needles", lambda n: F.contains(F.col("near"), n))
-    far = F.arrays_overlap("needles", F.coalesce("held", F.array().cast("array<string>")))
-    shares = rated.groupBy("case_id", "source", "claim_id").agg((F.sum(F.when(near, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("local"), (F.sum(F.when(far, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("whole"))
+    shares = weighed.groupBy("case_id", "source", "claim_id").agg((F.sum(F.when(near, F.col("w")).otherwise(0.0)) / F.sum("w")).alias("local"), (F.sum(F.when(F.col("far"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("whole"))
     return shares.select("case_id", "source", "claim_id", F.least(F.greatest("local", 0.85 * F.col("whole") + 0.15 * F.col("local"), F.lit(0.0)), F.lit(1.0)).alias("coverage"))
 
 
 def matched_anywhere(claims: DataFrame, pages: DataFrame, amounts: DataFrame | None) -> DataFrame:
     """case_id, source, claim_id, matched: a claim's numbers that the whole source has, as text or as an amount."""
     each = claims.select(*KEYS, F.posexplode("numbers").alias("at", "number"))
-    needles = each.select("case_id", "number").distinct().select("case_id", "number", F.explode(N.number_variants("number")).alias("needle"))
+    needles = staged(each.select("case_id", "number").distinct().select("case_id", "number", F.explode(N.number_variants("number")).alias("needle")), "needles")
     sources = pages.select("case_id", "source").distinct()
     asked = needles.join(sources, "case_id").select("case_id", "source", "needle").distinct()
     normal = pages.select("case_id", "source", normalize_invisibles("text").alias("text"))
@@ -53,12 +57,13 @@ def matched_anywhere(claims: DataFrame, pages: DataFrame, amounts: DataFrame | N
     else:
         held = held.withColumn("amount", F.lit(False))
     rows = F.array_sort(F.collect_list(F.struct("at", "number", "amount")))
-    return each.join(held, ["case_id", "number"]).groupBy("case_id", "source", "claim_id").agg(rows.alias("rows")).select("case_id", "source", "claim_id", F.col("rows.number").alias("matched"), F.transform(F.filter("rows", lambda r: r["amount"]), lambda r: r["number"]).alias("matched_amounts"))
+    amounts_of = F.transform(F.filter("rows", lambda r: r["amount"]), lambda r: r["number"])  # before the others, as they are listed
+    return each.join(held, ["case_id", "number"]).groupBy("case_id", "source", "claim_id").agg(rows.alias("rows")).select("case_id", "source", "claim_id", F.array_distinct(F.concat(amounts_of, F.col("rows.number"))).alias("matched"), amounts_of.alias("matched_amounts"))
 
 
-def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None) -> DataFrame:
-    """A row for each claim and source it has: similarity, evidence, features, score and status."""
-    found = staged(R.evidence(R.topk_evidence(claims, chunks, top_k), chunks), "evidence")
+def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None, files: DataFrame | None = None) -> DataFrame:
+    """A row for each claim and source it has: similarity, evidence, features, score and status. files: case_id, file_idx, file_name of the sheets, where they have names."""
+    found = staged(R.evidence(R.topk_evidence(claims, chunks, top_k), chunks, files), "evidence")
     base = claims.join(found, KEYS)
     covered = base.join(staged(coverage(claims, found, pages, R.word_idf(chunks)), "coverage"), [*KEYS, "source"], "left").join(staged(matched_anywhere(claims, pages, amounts), "matched"), [*KEYS, "source"], "left")
     none = F.array().cast("array<string>")
@@ -68,7 +73,7 @@ def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: Da
     rich = (
         matched.withColumn("near", F.when(F.col("source") == "xlsx", F.array_intersect(asked, "matched_amounts")).otherwise(near))
         .withColumn("big_num_recall", S.big_number_recall(F.col("numbers"), F.col("big"), F.col("near")))
-        .withColumn("exact_big", F.size(F.array_intersect("big", "near")))
+        .withColumn("exact_big_num_matches", F.size(F.array_intersect("big", "near")))
         .withColumn("proximity", S.proximity("claim_norm", "evidence_text", "numbers"))
         .withColumn("unit_match", S.unit_match("claim_norm", "evidence_text"))
         .withColumn("direction_score", S.direction_score("claim_norm", "evidence_text"))
@@ -78,7 +83,7 @@ def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: Da
     )
     c = F.col
     scored = rich.withColumn("score", S.final_score(c("sim_best"), c("coverage"), c("fact_block"), c("proximity"), c("big_num_recall"), c("unit_match"), c("direction_score"), c("direction_conflict"), c("has_numbers")))
-    status = S.decide_status(c("score"), c("sim_best"), c("coverage"), c("big_num_recall"), c("exact_big"), c("has_numbers"), c("direction_conflict"), c("fact_block"), N.has_metric("claim_text"), **(thresholds or {}))
+    status = S.decide_status(c("score"), c("sim_best"), c("coverage"), c("big_num_recall"), c("exact_big_num_matches"), c("has_numbers"), c("direction_conflict"), c("fact_block"), N.has_metric("claim_text"), **(thresholds or {}))
     return scored.withColumn("status", status)
 
 
@@ -92,18 +97,20 @@ def verify_cases(reports: DataFrame, pages: DataFrame, cells: DataFrame | None =
 
     claims = staged(prepared(reports), "claims")
     texts = pages.select("case_id", F.lit("pdf").alias("source"), F.col("page").alias("place"), F.lit(0).alias("file_idx"), clean_page("text").alias("text"))
-    amounts = None
+    amounts = files = None
     if cells is not None:
         amounts = staged(sheet_amounts(cells), "amounts")
-        texts = texts.unionByName(sheet_rows(cells).select("case_id", F.lit("xlsx").alias("source"), F.col("row_no").alias("place"), "file_idx", "text"))
+        texts = texts.withColumn("sheet", F.lit("")).unionByName(sheet_rows(cells).select("case_id", F.lit("xlsx").alias("source"), F.col("row_no").alias("place"), "file_idx", "text", "sheet"))
+        if "file_name" in cells.columns:
+            files = cells.groupBy("case_id", "file_idx").agg(F.min("file_name").alias("file_name"))
     texts = staged(texts, "texts")
     chunks = staged(C.chunks(texts.where("source = 'pdf'"), "pdf", "place").unionByName(C.chunks(texts.where("source = 'xlsx'"), "xlsx", "place")), "chunks")
-    each = features(claims, chunks, texts.select("case_id", "source", "text"), amounts, top_k, thresholds)
+    each = features(claims, chunks, texts.select("case_id", "source", "text"), amounts, top_k, thresholds, files)
     each = staged(each, "features")
-    kept = ["status", "score", "sim_best", "coverage", "proximity", "big_num_recall", "exact_big", "unit_match", "direction_score", "direction_conflict", "matched", "evidence"]
+    kept = ["status", "score", "sim_best", "coverage", "proximity", "big_num_recall", "exact_big_num_matches", "unit_match", "direction_score", "direction_conflict", "matched", "evidence"]
     of = lambda s: each.where(F.col("source") == s).select(*KEYS, *[F.col(k).alias(f"{k}_{s}") for k in kept])
     both = claims.join(of("pdf"), KEYS).join(of("xlsx"), KEYS, "left")
-    defaults = {"status_xlsx": "UNSUPPORTED", "score_xlsx": 0.0, "sim_best_xlsx": 0.0, "coverage_xlsx": 0.0, "proximity_xlsx": 0.0, "big_num_recall_xlsx": 0.5, "exact_big_xlsx": 0, "unit_match_xlsx": 0.5, "direction_score_xlsx": 0.5, "direction_conflict_xlsx": False}
+    defaults = {"status_xlsx": "UNSUPPORTED", "score_xlsx": 0.0, "sim_best_xlsx": 0.0, "coverage_xlsx": 0.0, "proximity_xlsx": 0.0, "big_num_recall_xlsx": 0.5, "exact_big_num_matches_xlsx": 0, "unit_match_xlsx": 0.5, "direction_score_xlsx": 0.5, "direction_conflict_xlsx": False}
     both = both.fillna(defaults).withColumn("matched_xlsx", F.coalesce("matched_xlsx", F.array().cast("array<string>")))
     low = (thresholds or {}).get("number_partial", 0.22)
     union = F.array_union("matched_pdf", "matched_xlsx")
@@ -125,17 +132,18 @@ def cases_without_text(reports: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def flat_report(results: DataFrame) -> DataFrame:
-    """One plain row for each claim."""
+    """One plain row for each claim, in the columns of the shared report, case_id ahead; those of the first evidence are null, and blank in a CSV file, where there is none."""
     listed = lambda c: F.array_join(c, " | ")
     first = lambda s, f: F.get(f"evidence_{s}", F.lit(0))[f]
+    pairs = lambda *names: [F.col(f"{k}_{s}") for k in names for s in ("pdf", "xlsx")]
+    flags = lambda name: [F.col(f"{name}_{s}").cast("int").alias(f"{name}_{s}") for s in ("pdf", "xlsx")]
     out = [F.col("case_id"), F.col("claim_id")]
     for s in ("overall", "pdf", "xlsx"):
-        out += [status_label(f"status_{s}").alias(f"status_{s}"), F.col(f"status_{s}").alias(f"raw_status_{s}"), F.col(f"score_{s}").alias(f"best_score_{s}")]
-    for k in ("sim_best", "coverage", "proximity", "big_num_recall", "exact_big", "unit_match", "direction_score"):
-        out += [F.col(f"{k}_pdf"), F.col(f"{k}_xlsx")]
-    out += [F.col(f"{k}_{s}").cast("int").alias(f"{k}_{s}") for k in ("direction_conflict", "num_conflict") for s in ("pdf", "xlsx")]
+        out += [status_label(f"status_{s}").alias(f"status_{s}"), F.col(f"status_{s}").alias(f"raw_status_{s}")]
+    out += [F.col(f"score_{s}").alias(f"best_score_{s}") for s in ("overall", "pdf", "xlsx")]
+    out += pairs("sim_best", "coverage", "proximity", "big_num_recall", "exact_big_num_matches", "unit_match", "direction_score") + flags("direction_conflict")
     out += [F.size("numbers").alias("num_total"), F.size("matched_pdf").alias("pdf_num_matched"), F.size("matched_xlsx").alias("xlsx_num_matched"), F.size("missing_all").alias("num_missing_all")]
-    out += [listed("numbers").alias("numbers_in_claim"), listed("matched_pdf").alias("matched_numbers_pdf"), listed("matched_xlsx").alias("matched_numbers_xlsx"), listed("missing_all").alias("missing_numbers_all"), F.col("claim_norm").alias("claim_text")]
+    out += [listed("numbers").alias("numbers_in_claim"), listed("matched_pdf").alias("matched_numbers_pdf"), listed("matched_xlsx").alias("matched_numbers_xlsx"), listed("missing_all").alias("missing_numbers_all"), *flags("num_conflict"), F.col("claim_norm").alias("claim_text")]
     for s, place in (("pdf", "page"), ("xlsx", "row")):
         out += [first(s, "page").alias(f"{s}_top_{place}"), first(s, "chunk_id").alias(f"{s}_top_chunk"), first(s, "score").alias(f"{s}_top_score"), first(s, "snippet").alias(f"{s}_top_snippet")]
     return results.select(*out)

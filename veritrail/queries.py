@@ -10,6 +10,7 @@ from veritrail.functions import numbers as N, scoring as S, text as T
 from veritrail.operators import blocks as B, claims as C, match as M, retrieve as R
 from veritrail.plans import payload as O, review as V, verify as P
 from veritrail.sources import tables as X
+from veritrail.sources.staging import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,44 +50,107 @@ SENTENCES = """s AS (SELECT o_orderkey, o_custkey AS case_id, y || '년 매출
  FROM (SELECT o_orderkey, o_custkey, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(floor(o_totalprice) AS BIGINT) AS v, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS p FROM orders))"""
 
 
-def of_documents(name: str, make: Callable[[], list[Column]]):
+#: Lines of every kind that the claims', blocks' and text functions tell apart; {n} is an order's amount.
+LINES = (
+    "# Head {n}", "- ## under {n}", "* + # deep", "\\# escaped", "plain # inside {n}", "  ### spaced", "-# no space", "1. Title words", "12. 매출 현황", "{n}. Outlook", "3. Title with 9 digits", "4. a title that is far too long to be one of them",
+    "---", "   ***", "    ***", "____  ", "-- -", "--- x", "| 거래구분 | 과목 | 금액 | 기한 | 담보 | 신용 | 보증인 |", "| 거래구분 | 과목 | 금액 | 기한 | 담보 | 신용 |", "- | 거래구분 | 과목 | 금액 | 기한 | 담보 | 신용 | 보증인 | x |", "거래구분 | 과목 | 금액 | 기한 | 담보 | 신용 | 보증인 |",
+    "| 총자산 | 자기자본 | 매출액 | 영업이익 | x |", "| 총자산 | 총자산 | 총자산 | 총자산 |", "| 총자산 | 자기자본 | 매출액 | y |", "| 2020 | {n} | 1,234 | 5.6% | 7 | 8 | 9 |", "| 2021 | {n} | 2 | 3 | 4 | 5 | 6 | 7 |", "| 1999 | 1 | 2 | 3 | 4 | 5 | 6 |", "| 2020 | - | ? | 3% | 4 | 5 | 6 | 7 |", "| 1820 | 1% | 2 | 3 | 4 | 5 | 6 |", "| 2022 | a | b | 3% | 4 | 5 | 6 |",
+    "a\u00a0b\u2009c％ of {n}", "zero\u200bwidth\ufeff", "what?is?this? no? x", "full．stop，comma＃", "\ufffd bad <tag> & 'quoted' \"twice\"", "U.S. output rose a lot. It fell by 3.5 then.", "Sales rose (+) to {n}. Costs fell ( - ) again - and again", "one - two + three words here", "code ```inside it``` and a note[^1] after?[^2]b",
+    "[bracketed {n}]", "【둘】", "o item {n}", "• dot", "name\tsum\t{n}", "\tleft\t1", "", "plain words of some length, {n} of them", "", "| name | value of {n} |", "|---|---|", "| alpha | 12345 |", "Revenue of 5만원, 12%p and 3 배 in 2023 년! Was it 1,234,567원?", "",
+)
+
+
+def line_of(key: str, amount: Column) -> Column:
+    return F.replace(F.element_at(F.array(*map(F.lit, LINES)), (F.col(key) % len(LINES) + 1).cast("int")), F.lit("{n}"), amount)
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("case_id"), line_of("o_orderkey", F.floor("o_totalprice").cast("long").cast("string")).alias("line"))
+
+
+LINE_SQL = "replace([" + ", ".join("'" + x.replace("'", "''") + "'" for x in LINES) + f"][o_orderkey % {len(LINES)} + 1], '{{n}}', CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR))"
+TEXTS = f"t AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'line', o_orderkey, {LINE_SQL} FROM orders)"
+REPORTS = f"""rp AS (SELECT 'document' AS kind, doc_id AS case_id, text FROM documents UNION ALL SELECT 'lines', o_custkey, string_agg(line, chr(10) ORDER BY o_orderkey) FROM (SELECT o_custkey, o_orderkey, {LINE_SQL} AS line FROM orders) GROUP BY o_custkey)"""
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, id, text: the documents, and lines of all kinds, one for each order."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    return docs.unionByName(order_lines(spark, sf_dir).select(F.lit("line").alias("kind"), F.col("o_orderkey").alias("id"), F.col("line").alias("text")))
+
+
+def line_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kind, case_id, text: the documents, and each customer's lines as a report."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("case_id"), "text")
+    own = order_lines(spark, sf_dir).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("t"))
+    return docs.unionByName(own.select(F.lit("lines").alias("kind"), "case_id", F.array_join("t.line", "\n").alias("text")))
+
+
+def tales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order told as a claim and as evidence: metrics, numbers, units and trends that agree, differ, stand apart or are missing."""
+    c = F.col
+    pick = lambda n, *xs: F.element_at(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), (c("o_orderkey") % n + 1).cast("int"))
+    base = table(spark, sf_dir, "orders").select("o_orderkey", c("o_custkey").alias("case_id"), F.year("o_orderdate").alias("y"), F.floor("o_totalprice").cast("long").alias("v"))
+    full = base.withColumn("p", F.format_number("v", 0)).withColumn("m", pick(7, *METRIC_WORDS)).withColumn("d", pick(3, *TRENDS)).withColumn("od", pick(2, *TRENDS))
+    full = full.withColumn("num", pick(5, F.concat("p", F.lit("백만원")), F.concat(F.floor(c("v") / 100).cast("string"), F.lit("억원")), F.concat(F.format_number(c("v") * 1000000, 0), F.lit("원")), F.concat((c("v") % 100).cast("string"), F.lit(".5%")), F.concat((c("v") % 50).cast("string"), F.lit("배"))))
+    claim = F.when(c("o_orderkey") % 11 == 0, F.concat(F.lit("The outlook of the company is "), "d", F.lit(" as before."))).when(c("o_orderkey") % 13 == 0, F.concat(c("y").cast("string"), F.lit("년 부채비율은 12 %로 "), "d", F.lit("했다."))).otherwise(F.concat(c("y").cast("string"), F.lit("년 "), "m", F.lit("은 "), "num", F.lit("으로 전년 대비 "), "d", F.lit("했다.")))
+    evidence = pick(
+        4, F.concat(c("y").cast("string"), F.lit("년 "), "m", F.lit("은 "), "p", F.lit("백만원으로 "), "d", F.lit("했다.")),
+        F.concat((c("y") - 1).cast("string"), F.lit("년 "), "m", F.lit(" 현황. 하나. 둘! 셋? The outlook of the company. "), "num", F.lit("였다.")),
+        F.concat(F.lit("회사는 "), "p", F.lit("백만원을 기록하고 "), "od", F.lit("했다.\n12 % of all")), F.concat("m", F.lit("은 "), F.repeat(F.lit("긴 글 "), 14), "num", F.lit(" and "), "od"),
+    )
+    return full.select("o_orderkey", "case_id", claim.alias("claim"), evidence.alias("evidence"), F.when(c("o_orderkey") % 13 == 0, "12%").otherwise(c("num")).alias("token"), c("v").cast("double").alias("price"))
+
+
+METRIC_WORDS = ("매출액", "영업이익", "부채비율", "ROE", "총자산", "매출", "유동비율")
+TRENDS = ("증가", "감소", "유지")
+_pick = lambda n, *xs: f"[{', '.join(xs)}][o_orderkey % {n} + 1]"
+_quoted = lambda *xs: [f"'{x}'" for x in xs]
+TALES = f"""ta AS (SELECT o_orderkey, o_custkey AS case_id, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(floor(o_totalprice) AS BIGINT) AS v, format('{{:,}}', CAST(floor(o_totalprice) AS BIGINT)) AS p, {_pick(7, *_quoted(*METRIC_WORDS))} AS m, {_pick(3, *_quoted(*TRENDS))} AS d, {_pick(2, *_quoted(*TRENDS[:2]))} AS od FROM orders),
+tb AS (SELECT *, {_pick(5, "p || '백만원'", "CAST(v // 100 AS VARCHAR) || '억원'", "format('{:,}', v * 1000000) || '원'", "CAST(v % 100 AS VARCHAR) || '.5%'", "CAST(v % 50 AS VARCHAR) || '배'")} AS num FROM ta),
+s AS (SELECT o_orderkey, case_id, CASE WHEN o_orderkey % 11 = 0 THEN 'The outlook of the company is ' || d || ' as before.' WHEN o_orderkey % 13 = 0 THEN y || '년 부채비율은 12 %로 ' || d || '했다.' ELSE y || '년 ' || m || '은 ' || num || '으로 전년 대비 ' || d || '했다.' END AS claim,
+ {_pick(4, "y || '년 ' || m || '은 ' || p || '백만원으로 ' || d || '했다.'", "(y - 1) || '년 ' || m || ' 현황. 하나. 둘! 셋? The outlook of the company. ' || num || '였다.'", "'회사는 ' || p || '백만원을 기록하고 ' || od || '했다.' || chr(10) || '12 % of all'", "m || '은 ' || repeat('긴 글 ', 14) || num || ' and ' || od")} AS evidence,
+ CASE WHEN o_orderkey % 13 = 0 THEN '12%' ELSE num END AS token, CAST(v AS DOUBLE) AS price FROM tb)"""
+
+
+def of_texts(name: str, make: Callable[[], list[Column]]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", *make())
+        return texts(spark, sf_dir).select("kind", "id", *make())
 
     run.__name__ = name
     return run
 
 
-def of_sentences(name: str, make: Callable[[], list[Column]]):
+def of_tales(name: str, make: Callable[[], list[Column]]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return sentences(spark, sf_dir).select("o_orderkey", *make())
+        return tales(spark, sf_dir).select("o_orderkey", *make())
 
     run.__name__ = name
     return run
 
 
 def lines(test, name: str):
-    return of_documents(name, lambda: [F.size(F.filter(F.split("text", "\n"), test)).cast("long").alias("n_lines")])
+    return of_texts(name, lambda: [F.size(F.filter(F.split("text", "\n"), test)).cast("long").alias("n_lines")])
 
 
 def index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = C.chunks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.lit(1).alias("page"), "text"), "pdf")
-    return cut.select("case_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("ord").cast("long").alias("ord"), F.length("text").cast("long").alias("n"), F.md5("text").alias("md5"))
+    return cut.select("case_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.length("text").cast("long").alias("n"), F.md5("text").alias("md5"))
 
 
 def split_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text")
-    return C.split_claims(docs)
+    found = line_reports(spark, sf_dir).select("kind", "case_id", F.posexplode_outer(C.claims_of("text")).alias("at", "claim")).where("claim is not null")
+    return found.select("kind", "case_id", (F.col("at") + 1).cast("long").alias("claim_id"), F.col("claim").alias("claim_text"), T.normalize_invisibles("claim").alias("claim_norm"))
 
 
 def char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, _ = R.char_tfidf(page_chunks(spark, sf_dir))
-    return weights.groupBy("case_id", F.col("ord").cast("long").alias("ord")).agg(F.count("*").alias("n_ngrams"), F.round(F.sum("w"), 6).alias("w_sum"))
+    return weights.groupBy("case_id", F.col("ord.place").cast("long").alias("page"), F.col("ord.chunk_id").cast("long").alias("chunk_id")).agg(F.count("*").alias("n_ngrams"), F.round(F.sum("w"), 6).alias("w_sum"))
 
 
 def topk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = R.topk_evidence(turn_claims(spark, sf_dir), page_chunks(spark, sf_dir))
-    return top.select("case_id", F.col("claim_id").cast("long").alias("claim_id"), F.col("rank").cast("long").alias("rank"), F.col("ord").cast("long").alias("ord"), F.round("score", 6).alias("score"))
+    return top.select("case_id", F.col("claim_id").cast("long").alias("claim_id"), F.col("rank").cast("long").alias("rank"), F.col("ord.place").cast("long").alias("page"), F.col("ord.chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +165,12 @@ def word_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def number_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which orders' amounts, in any spelling, some sentence of the same customer's other trend has."""
-    told = sentences(spark, sf_dir)
-    needles = told.select("o_orderkey", "case_id", F.explode(N.number_variants("token")).alias("needle"))
+    """Which orders' numbers, in which spellings, some evidence of the same customer has."""
+    told = tales(spark, sf_dir)
+    needles = staged(told.select("o_orderkey", "case_id", F.explode(N.number_variants("token")).alias("needle")), "needles")
     asked = needles.select("case_id", F.lit("pdf").alias("source"), "needle").distinct()
     held = M.present(asked, told.select("case_id", F.lit("pdf").alias("source"), F.col("evidence").alias("text")))
-    return needles.join(held, ["case_id", "needle"], "left_semi").groupBy("o_orderkey").agg(F.count("*").alias("n_spellings"))
+    return needles.join(held, ["case_id", "needle"]).select("o_orderkey", "needle")
 
 
 def amount_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +199,11 @@ def sheet_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("case_id"), F.concat(F.lit('{"rows": [{"t": "'), "event_type", F.lit('", "props": '), F.coalesce("props", F.lit("null")), F.lit("}]}")).alias("json"))
+    """Events as documents of four shapes: rows under a key, a list of strings, one object, and no JSON at all."""
+    of = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    kind, props = F.col("event_type"), F.coalesce("props", F.lit("null"))
+    shapes = F.array(of('{"skip": "no", "items": [{"t": " ', kind, '  now", "props": ', props, '}, {"n": 1}, {"a": ["x\\t\\ty", {"b": "z\\nw"}]}, "\\u200b", {"u": "\\u200b"}, "last"]}'), of('["', kind, '", "two  words", " "]'), of('{"rows": 5, "t": "', kind, '", "deep": {"e": ["f", 2, true]}}'), of("no json: ", kind))
+    docs = table(spark, sf_dir, "events").select(F.col("event_id").alias("case_id"), F.element_at(shapes, (F.col("event_id") % 4 + 1).cast("int")).alias("json"))
     return X.json_text_rows(docs).select("case_id", F.col("row_no").cast("long").alias("row_no"), "text")
 
 
@@ -209,12 +277,7 @@ def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kpi_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reviewed(spark, sf_dir)
-    out = None
-    for kind in ("quality_kept", "completion_unreviewed", "audit_risk", "edit", "mismatch", "delete"):
-        part = V.kpi_drilldown(rows, kind).select(F.lit(kind).alias("kind"), "case_id", "claim_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return V.kpi_drilldown(reviewed(spark, sf_dir))
 
 
 def filter_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +285,7 @@ def filter_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.review_export(reviewed(spark, sf_dir)).select("case_id", "claim_id", "claim_text", "quality_tags", "risk_tags", "decision", "note", "missing_numbers", "numbers", "overall", "overall_raw")
+    return V.review_export(reviewed(spark, sf_dir).withColumn("quality", F.round("quality", 9))).withColumn("updated_at", F.unix_timestamp("updated_at"))
 
 
 def verify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,8 +309,8 @@ def verify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.segment_blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), "text"))
-    return found.select("case_id", F.col("block_id").cast("long").alias("block_id"), "kind", F.size("rows").cast("long").alias("n_rows"), F.md5("text").alias("md5"))
+    found = B.segment_blocks(line_reports(spark, sf_dir).select(F.struct("kind", F.col("case_id").alias("id")).alias("case_id"), "text"))
+    return found.select("case_id.kind", F.col("case_id.id").alias("case_id"), F.col("block_id").cast("long").alias("block_id"), F.col("kind").alias("block_kind"), F.size("rows").cast("long").alias("n_rows"), F.md5("text").alias("md5"))
 
 
 def locate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,13 +318,14 @@ def locate_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = sentences(spark, sf_dir)
     by = F.array_sort(F.collect_list(F.struct("o_orderkey", "claim")))
     blocks = B.segment_blocks(told.groupBy("case_id").agg(by.alias("t")).select("case_id", F.array_join("t.claim", "\n\n").alias("text")))
-    rows = told.select("case_id", F.col("o_orderkey").alias("claim_id"), F.col("claim").alias("claim_norm"), F.lit("NONE").alias("decision"), F.lit(True).alias("insufficient"))
+    decided = F.element_at(F.array(*map(F.lit, ("NONE", "CONFIRMED", "EDIT", "DELETE", "HOLD"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = told.select("case_id", F.col("o_orderkey").alias("claim_id"), F.col("claim").alias("claim_norm"), decided.alias("decision"), (F.col("o_orderkey") % 3 > 0).alias("insufficient"))
     return V.locate_claims(rows, blocks).select("case_id", "claim_id", "mark", F.col("block_id").cast("long").alias("block_id"))
 
 
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's sentence marked with what the other trend's sentence asks."""
-    return sentences(spark, sf_dir).select("o_orderkey", F.md5(O.highlighted("claim", O.claim_tokens("evidence"))).alias("md5"))
+    """Each order's evidence marked with what its claim asks."""
+    return tales(spark, sf_dir).select("o_orderkey", O.highlighted(F.concat(F.lit("<a & b> "), "evidence"), O.claim_tokens("claim")).alias("html"))
 
 
 def evidence_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,26 +335,43 @@ def evidence_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select([F.round(k, 6).alias(k) if kinds[k] == "double" else F.to_json(k).alias(k) if kinds[k].startswith("array<struct") else k for k in rows.columns])
 
 
-_joined = lambda c, name: F.array_join(F.array_sort(c), "|").alias(name)
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of each claim found in its evidence, and what is made of them."""
+    told = tales(spark, sf_dir).withColumn("numbers", N.extract_numbers("claim")).withColumn("big", N.big_numbers("numbers")).withColumn("near", N.match_numbers_in_text("numbers", T.norm_for_match("evidence")))
+    return told.select("o_orderkey", _joined("near", "matched"), F.round(S.big_number_recall(F.col("numbers"), F.col("big"), F.col("near")), 6).alias("recall"), F.round(S.proximity("claim", "evidence", "numbers"), 6).alias("proximity"))
+
+
+def combine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).select("claim_id", S.combine_status("status_pdf", "status_xlsx").alias("status"))
+
+
+def unique_keep_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("kind", "id", F.md5(F.array_join(T.unique_keep_order(F.split("text", "[ \n]")), "|")).alias("md5"))
+
+
+_joined = lambda c, name: F.array_join(c, "|").alias(name)
 QUERIES = {
     "verify_cases": verify_cases,
     "verify_orders": verify_orders,
-    "normalize_invisibles": of_documents("normalize_invisibles", lambda: [F.md5(T.normalize_invisibles("text")).alias("md5")]),
-    "norm_for_match": of_documents("norm_for_match", lambda: [F.md5(T.norm_for_match("text")).alias("md5")]),
-    "word_tokens": of_documents("word_tokens", lambda: [F.size(T.word_tokens("text")).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(T.word_tokens("text")), "|")).alias("md5")]),
-    "split_sentences": of_documents("split_sentences", lambda: [F.size(T.split_sentences("text")).cast("long").alias("n"), F.md5(F.array_join(T.split_sentences("text"), "|")).alias("md5")]),
-    "html_escape": of_documents("html_escape", lambda: [F.md5(T.html_escape("text")).alias("md5")]),
+    "normalize_invisibles": of_texts("normalize_invisibles", lambda: [F.md5(T.normalize_invisibles("text")).alias("md5")]),
+    "norm_for_match": of_texts("norm_for_match", lambda: [F.md5(T.norm_for_match("text")).alias("md5")]),
+    "word_tokens": of_texts("word_tokens", lambda: [F.size(T.word_tokens("text")).cast("long").alias("n"), F.md5(F.array_join(T.word_tokens("text"), "|")).alias("md5")]),
+    "split_sentences": of_texts("split_sentences", lambda: [F.size(T.split_sentences("text")).cast("long").alias("n"), F.md5(F.array_join(T.split_sentences("text"), "|")).alias("md5")]),
+    "html_escape": of_texts("html_escape", lambda: [F.md5(T.html_escape("text")).alias("md5")]),
+    "acronym_dots": of_texts("acronym_dots", lambda: [F.md5(T.protect_acronym_dots("text")).alias("kept"), F.md5(T.restore_acronym_dots(T.protect_acronym_dots("text"))).alias("restored")]),
+    "unique_keep_order": unique_keep_order,
     "is_heading": lines(T.is_heading, "is_heading"),
     "is_numbered_title": lines(T.is_numbered_title, "is_numbered_title"),
     "is_rule_line": lines(T.is_rule_line, "is_rule_line"),
     "is_excluded_table_header": lines(T.is_excluded_table_header, "is_excluded_table_header"),
     "is_excluded_finance_row": lines(T.is_excluded_finance_row, "is_excluded_finance_row"),
-    "extract_numbers": of_documents("extract_numbers", lambda: [_joined(N.extract_numbers("text"), "numbers")]),
-    "number_tokens": of_sentences("number_tokens", lambda: [_joined(N.extract_numbers("claim"), "numbers"), _joined(N.extract_years("claim"), "years"), _joined(N.extract_units("claim"), "units"), _joined(N.extract_metrics("claim"), "metrics"), _joined(N.big_numbers(N.extract_numbers("claim")), "big"), N.claim_amount("token").alias("amount")]),
-    "number_variants": of_sentences("number_variants", lambda: [_joined(N.number_variants("token"), "variants")]),
-    "unit_match": of_sentences("unit_match", lambda: [F.round(S.unit_match("claim", "evidence"), 6).alias("unit_match")]),
-    "direction": of_sentences("direction", lambda: [S.direction_score("claim", "evidence").alias("score"), S.direction_conflict("claim", "evidence").alias("conflict")]),
-    "fact_block": of_sentences("fact_block", lambda: [S.fact_block("claim", "evidence").alias("score")]),
+    "extract_numbers": of_texts("extract_numbers", lambda: [_joined(N.extract_numbers("text"), "numbers")]),
+    "number_tokens": of_tales("number_tokens", lambda: [_joined(N.extract_numbers("claim"), "numbers"), _joined(N.extract_years("evidence"), "years"), _joined(N.extract_units("claim"), "units"), _joined(N.extract_metrics("claim"), "metrics"), _joined(N.big_numbers(N.extract_numbers("claim")), "big"), N.claim_amount("token").alias("amount")]),
+    "number_variants": of_tales("number_variants", lambda: [_joined(N.number_variants("token"), "variants")]),
+    "unit_match": of_tales("unit_match", lambda: [F.round(S.unit_match("claim", "evidence"), 6).alias("unit_match")]),
+    "direction": of_tales("direction", lambda: [S.direction_score("claim", "evidence").alias("score"), S.direction_conflict("claim", "evidence").alias("conflict")]),
+    "fact_block": of_tales("fact_block", lambda: [S.fact_block("claim", "evidence").alias("score")]),
+    "features": features, "combine_status": combine_status,
     "index_pages": index_documents, "split_claims": split_claims, "char_tfidf": char_tfidf, "topk_evidence": topk_evidence, "best_evidence": best_evidence, "word_idf": word_idf,
     "number_presence": number_presence, "amount_match": amount_match, "sheet_rows": sheet_rows, "sheet_amounts": sheet_amounts, "json_text_rows": json_text_rows, "clean_pages": clean_pages,
     "segment_blocks": segment_blocks, "locate_claims": locate_claims, "highlights": highlights, "evidence_payload": evidence_payload,

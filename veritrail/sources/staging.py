@@ -5,15 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The application's own folder in the one that spark.checkpoint.dir names; it may be deleted once the application has ended. Where that is unset, one of our own if all runs on this machine, and an error otherwise."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return f"{named.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    shared_folder.own = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    return shared_folder.own
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """Writes the rows to the folder that spark.checkpoint.dir names (to one of our own where it is unset) and reads them back."""
+    """Writes the rows to the shared folder and reads them back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = staged.own = getattr(staged, "own", None) or tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
