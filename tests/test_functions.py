@@ -66,8 +66,8 @@ def test_direction_unit_proximity(spark):
     assert value(spark, S.direction_score(F.lit("x"), F.lit("감소"))) == 0.5
     assert value(spark, S.unit_match(F.lit("x"), F.lit("y"))) == 0.5
     none = F.array().cast("array<string>")
-    assert value(spark, S.proximity(F.lit("매출 5"), F.lit(""), F.array(F.lit("5")))) == 0.0
-    assert value(spark, S.proximity(F.lit("매출 5"), F.lit(""), none)) == 0.5
+    assert value(spark, S.proximity(F.lit("매출 5"), F.lit(""), F.array(F.lit("5")), F.array(F.array(F.lit("5"))))) == 0.0
+    assert value(spark, S.proximity(F.lit("매출 5"), F.lit(""), none, F.array(none))) == 0.5
 
 
 def test_highlight(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from veritrail import rules
-from veritrail.functions.text import col, normalize_invisibles, trimmed, unique_keep_order
+from veritrail.functions.text import col, normalize_invisibles, once, trimmed, unique_keep_order
 
 #: A number with its unit as it is found in text, and as it is taken apart.
 NUMBER = r"(?:(?:\d{1,3}(?:,\d{3})+)|\d+)(?:\.\d+)?(?:\s?(?:%|배|개월|년|원|백만원|억원|%p|p))?"
@@ -20,27 +20,29 @@ def with_commas(digits: Column) -> Column:
     return F.regexp_replace(digits, r"(?<=\d)(?=(\d{3})+$)", ",")
 
 
-def _times(value: Column, unit: Column, into: str) -> Column:
-    """value in unit, in another money unit; null if unit is no money."""
+def _of_token(token: Column) -> Column:
+    parts = F.struct(F.regexp_extract(token, TOKEN, 1).alias("number"), F.regexp_extract(token, TOKEN, 2).alias("unit"))
     factor = F.create_map(*[x for k, v in rules.WON.items() for x in (F.lit(k), F.lit(float(v)))])
-    return value * F.try_element_at(factor, unit) / F.lit(float(rules.WON[into]))
+
+    def spelled(x: Column) -> Column:
+        plain, unit = F.replace(x["number"], F.lit(","), F.lit("")), x["unit"]
+        whole, rest = F.regexp_extract(plain, r"^(\d+)", 1), F.regexp_extract(plain, r"(\.\d+)$", 1)
+        base = F.array(F.concat(x["number"], unit), F.concat(plain, unit), F.concat(with_commas(whole), rest, unit))
+        signs = F.flatten(F.transform(base, lambda b: F.array(b, F.when(b.contains("%"), F.replace(b, F.lit("%"), F.lit("％"))), F.when(b.contains("％"), F.replace(b, F.lit("％"), F.lit("%"))))))
+        into = lambda won, k, v: F.when(unit == k, F.array().cast("array<string>")).otherwise(once(won / F.lit(float(v)), lambda x: in_unit(x, F.lit(k))))
+        money = lambda won: F.concat(*[into(won, k, v) for k, v in rules.WON.items()])
+        return F.when(unit.isin(*rules.WON), F.concat(signs, once(plain.try_cast("double") * F.try_element_at(factor, unit), money))).otherwise(signs)
+
+    def in_unit(v: Column, unit: Column) -> Column:
+        digits = F.floor(v).cast("decimal(38,0)").cast("string")
+        return F.when(v >= 1, F.array(F.concat(digits, unit), F.concat(with_commas(digits), unit))).otherwise(F.array(F.concat(F.format_number(v, 3), unit)))
+
+    return F.when(token.rlike(TOKEN), once(parts, spelled)).otherwise(F.array(token))
 
 
 def number_variants(c: Column | str) -> Column:
     """Spellings of one number: with and without commas, either percent sign, and a money amount in each other unit."""
-    token = trimmed(normalize_invisibles(c))
-    number, unit = F.regexp_extract(token, TOKEN, 1), F.regexp_extract(token, TOKEN, 2)
-    plain = F.replace(number, F.lit(","), F.lit(""))
-    whole, rest = F.regexp_extract(plain, r"^(\d+)", 1), F.regexp_extract(plain, r"(\.\d+)$", 1)
-    base = F.array(F.concat(number, unit), F.concat(plain, unit), F.concat(with_commas(whole), rest, unit))
-    spelled = F.flatten(F.transform(base, lambda b: F.array(b, F.when(b.contains("%"), F.replace(b, F.lit("%"), F.lit("％"))), F.when(b.contains("％"), F.replace(b, F.lit("％"), F.lit("%"))))))
-    value = plain.try_cast("double")
-    parts = []
-    for into in rules.WON:
-        v = _times(value, unit, into)
-        digits = F.floor(v).cast("decimal(38,0)").cast("string")
-        parts.append(F.when((unit == into) | v.isNull(), F.array().cast("array<string>")).when(v >= 1, F.array(F.concat(digits, F.lit(into)), F.concat(with_commas(digits), F.lit(into)))).otherwise(F.array(F.concat(F.format_number(v, 3), F.lit(into)))))
-    return F.when(token.rlike(TOKEN), unique_keep_order(F.concat(spelled, *parts))).otherwise(unique_keep_order(F.array(token)))
+    return unique_keep_order(once(trimmed(normalize_invisibles(c)), _of_token))
 
 
 def extract_years(c: Column | str) -> Column:
@@ -48,14 +50,12 @@ def extract_years(c: Column | str) -> Column:
 
 
 def extract_units(c: Column | str) -> Column:
-    text = normalize_invisibles(c)
-    return F.filter(F.array(*map(F.lit, rules.UNITS)), lambda u: F.contains(text, u))
+    return once(normalize_invisibles(c), lambda text: F.filter(F.array(*map(F.lit, rules.UNITS)), lambda u: F.contains(text, u)))
 
 
 def extract_metrics(c: Column | str) -> Column:
-    text = F.lower(F.coalesce(col(c), F.lit("")))
-    held = [F.when(F.exists(F.array(*[F.lit(s.lower()) for s in syns]), lambda s: F.contains(text, s)), F.lit(canon)) for canon, syns in rules.METRICS.items()]
-    return F.array_compact(F.array(*held))
+    known = F.array(*[F.struct(F.lit(canon).alias("canon"), F.array(*[F.lit(x.lower()) for x in syns]).alias("syns")) for canon, syns in rules.METRICS.items()])
+    return once(F.lower(F.coalesce(col(c), F.lit(""))), lambda text: F.transform(F.filter(known, lambda m: F.exists(m["syns"], lambda x: F.contains(text, x))), lambda m: m["canon"]))
 
 
 def has_metric(c: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from veritrail import rules
 from veritrail.functions.numbers import extract_metrics, extract_numbers, extract_units, extract_years, match_numbers_in_text
-from veritrail.functions.text import col, norm_for_match, normalize_invisibles, split_sentences
+from veritrail.functions.text import col, norm_for_match, normalize_invisibles, once, split_sentences
 
 
 def _held(words: list[str], text: Column) -> Column:
@@ -18,38 +19,48 @@ def _held(words: list[str], text: Column) -> Column:
 
 
 def unit_match(claim: Column | str, evidence: Column | str) -> Column:
-    units, text = extract_units(claim), normalize_invisibles(evidence)
-    return F.when(F.size(units) == 0, 0.5).otherwise(F.size(F.filter(units, lambda u: F.contains(text, u))) / F.greatest(F.size(units), F.lit(1)))
+    share = lambda units: F.when(F.size(units) == 0, 0.5).otherwise(once(normalize_invisibles(evidence), lambda text: F.size(F.filter(units, lambda u: F.contains(text, u)))) / F.greatest(F.size(units), F.lit(1)))
+    return once(extract_units(claim), share)
 
 
-def direction_conflict(claim: Column | str, evidence: Column | str) -> Column:
-    c, e = normalize_invisibles(claim), normalize_invisibles(evidence)
+def _both(claim: Column | str, evidence: Column | str, f: Callable[[Column, Column], Column]) -> Column:
+    return once(F.struct(normalize_invisibles(claim).alias("c"), normalize_invisibles(evidence).alias("e")), lambda x: f(x["c"], x["e"]))
+
+
+def _conflict(c: Column, e: Column) -> Column:
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for x, y in rules.OPPOSITES for a, b in ((x, y), (y, x))])
     return F.exists(pairs, lambda p: F.contains(c, p["a"]) & F.contains(e, p["b"]))
 
 
+def direction_conflict(claim: Column | str, evidence: Column | str) -> Column:
+    return _both(claim, evidence, _conflict)
+
+
 def direction_score(claim: Column | str, evidence: Column | str) -> Column:
-    c, e = normalize_invisibles(claim), normalize_invisibles(evidence)
-    own = _held(rules.UP_WORDS + rules.DOWN_WORDS, c)
-    shared = F.size(F.filter(own, lambda w: F.contains(e, w))) / F.greatest(F.size(own), F.lit(1))
-    return F.when(F.size(own) == 0, 0.5).when(direction_conflict(claim, evidence), 0.0).otherwise(0.5 + 0.5 * shared)
+    def rated(c: Column, e: Column) -> Column:
+        share = lambda own: F.size(F.filter(own, lambda w: F.contains(e, w))) / F.greatest(F.size(own), F.lit(1))
+        return once(_held(rules.UP_WORDS + rules.DOWN_WORDS, c), lambda own: F.when(F.size(own) == 0, 0.5).when(_conflict(c, e), 0.0).otherwise(0.5 + 0.5 * share(own)))
+
+    return _both(claim, evidence, rated)
 
 
 def fact_block(claim: Column | str, evidence: Column | str, window: int = 3) -> Column:
     """How much of a claim's metric, number, year and unit stands within a few sentences of the evidence, at best."""
-    metrics, years, units = extract_metrics(claim), extract_years(claim), extract_units(claim)
-    numbers = match_numbers_in_text(extract_numbers(claim), norm_for_match(claim))
-    sentences = split_sentences(evidence)
-    windows = F.when(F.size(sentences) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(sentences), F.lit(1))), lambda i: F.array_join(F.slice(sentences, i, F.lit(window)), " ")))
+    told = F.struct(extract_metrics(claim).alias("m"), match_numbers_in_text(extract_numbers(claim), norm_for_match(claim)).alias("n"), extract_years(claim).alias("y"), extract_units(claim).alias("u"))
 
-    def rated(w: Column) -> Column:
-        metric, number = F.arrays_overlap(extract_metrics(w), metrics), F.arrays_overlap(match_numbers_in_text(extract_numbers(w), norm_for_match(w)), numbers)
-        year = (F.size(years) == 0) | F.arrays_overlap(extract_years(w), years)
-        unit = (F.size(units) == 0) | F.arrays_overlap(extract_units(w), units)
-        both = metric & number
-        return F.when(both & year & unit, 1.0).when(both & (year | unit), 0.85).when(both, 0.65).when(metric & (year | unit), 0.45).when(metric | number, 0.20).otherwise(0.0)
+    def rated(asked: Column, w: Column) -> Column:
+        held = F.struct(
+            F.arrays_overlap(extract_metrics(w), asked["m"]).alias("m"), F.arrays_overlap(match_numbers_in_text(extract_numbers(w), norm_for_match(w)), asked["n"]).alias("n"),
+            ((F.size(asked["y"]) == 0) | F.arrays_overlap(extract_years(w), asked["y"])).alias("y"), ((F.size(asked["u"]) == 0) | F.arrays_overlap(extract_units(w), asked["u"])).alias("u"),
+        )
+        return once(held, lambda h: F.when(h["m"] & h["n"], F.when(h["y"] & h["u"], 1.0).when(h["y"] | h["u"], 0.85).otherwise(0.65)).when(h["m"] & (h["y"] | h["u"]), 0.45).when(h["m"] | h["n"], 0.20).otherwise(0.0))
 
-    return F.when((F.size(metrics) == 0) | (F.size(numbers) == 0), 0.0).otherwise(F.coalesce(F.array_max(F.transform(windows, rated)), F.lit(0.0)))
+    def best(asked: Column) -> Column:
+        windows = lambda s: F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.array_join(F.slice(s, i, F.lit(window)), " ")))
+        top = once(split_sentences(evidence), lambda s: F.array_max(F.transform(windows(s), lambda w: rated(asked, w))))
+        return F.when((F.size(asked["m"]) == 0) | (F.size(asked["n"]) == 0), 0.0).otherwise(F.coalesce(top, F.lit(0.0)))
+
+    return once(told, best)
 
 
 @F.pandas_udf(DoubleType())
@@ -75,10 +86,9 @@ def _near(claims: pd.Series, evidence: pd.Series, numbers: pd.Series, variants:
     return pd.Series(out)
 
 
-def proximity(claim: Column | str, evidence: Column | str, numbers: Column | str) -> Column:
-    from veritrail.functions.numbers import number_variants
-
-    return _near(normalize_invisibles(claim), F.coalesce(normalize_invisibles(evidence), F.lit("")), col(numbers), F.transform(col(numbers), number_variants))
+def proximity(claim: Column | str, evidence: Column | str, numbers: Column | str, spellings: Column | str) -> Column:
+    """spellings: number_variants() of each of the numbers, as a column of a table."""
+    return _near(normalize_invisibles(claim), F.coalesce(normalize_invisibles(evidence), F.lit("")), col(numbers), col(spellings))
 
 
 def final_score(sim: Column, coverage: Column, block: Column, near: Column, big: Column, unit: Column, direction: Column, conflict: Column, has_numbers: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from veritrail.functions import numbers as N, scoring as S
-from veritrail.functions.text import norm_for_match, normalize_invisibles, status_label, word_tokens
+from veritrail.functions.text import norm_for_match, normalize_invisibles, once, status_label, word_tokens
 from veritrail.operators import claims as C, match as M, retrieve as R
 from veritrail.sources.staging import staged
 
@@ -68,13 +68,13 @@ def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: Da
     covered = base.join(staged(coverage(claims, found, pages, R.word_idf(chunks)), "coverage"), [*KEYS, "source"], "left").join(staged(matched_anywhere(claims, pages, amounts), "matched"), [*KEYS, "source"], "left")
     none = F.array().cast("array<string>")
     matched = covered.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("matched", F.coalesce("matched", none)).withColumn("matched_amounts", F.coalesce("matched_amounts", none))
-    near = N.match_numbers_in_text("numbers", norm_for_match("evidence_text"))
+    near = once(norm_for_match("evidence_text"), lambda e: F.filter("numbers", lambda n, i: F.exists(F.get("spellings", i), lambda v: F.contains(e, v))))
     asked = F.when(F.size("big") > 0, F.col("big")).otherwise(F.col("numbers"))
     rich = (
         matched.withColumn("near", F.when(F.col("source") == "xlsx", F.array_intersect(asked, "matched_amounts")).otherwise(near))
         .withColumn("big_num_recall", S.big_number_recall(F.col("numbers"), F.col("big"), F.col("near")))
         .withColumn("exact_big_num_matches", F.size(F.array_intersect("big", "near")))
-        .withColumn("proximity", S.proximity("claim_norm", "evidence_text", "numbers"))
+        .withColumn("proximity", S.proximity("claim_norm", "evidence_text", "numbers", "spellings"))
         .withColumn("unit_match", S.unit_match("claim_norm", "evidence_text"))
         .withColumn("direction_score", S.direction_score("claim_norm", "evidence_text"))
         .withColumn("direction_conflict", S.direction_conflict("claim_norm", "evidence_text"))
@@ -88,7 +88,7 @@ def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: Da
 
 
 def prepared(reports: DataFrame) -> DataFrame:
-    return C.split_claims(reports).withColumn("numbers", N.extract_numbers("claim_norm")).withColumn("big", N.big_numbers("numbers"))
+    return C.split_claims(reports).withColumn("numbers", N.extract_numbers("claim_norm")).withColumn("big", N.big_numbers("numbers")).withColumn("spellings", F.transform("numbers", N.number_variants))
 
 
 def verify_cases(reports: DataFrame, pages: DataFrame, cells: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None) -> DataFrame:

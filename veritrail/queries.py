@@ -337,8 +337,9 @@ def evidence_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of each claim found in its evidence, and what is made of them."""
-    told = tales(spark, sf_dir).withColumn("numbers", N.extract_numbers("claim")).withColumn("big", N.big_numbers("numbers")).withColumn("near", N.match_numbers_in_text("numbers", T.norm_for_match("evidence")))
-    return told.select("o_orderkey", _joined("near", "matched"), F.round(S.big_number_recall(F.col("numbers"), F.col("big"), F.col("near")), 6).alias("recall"), F.round(S.proximity("claim", "evidence", "numbers"), 6).alias("proximity"))
+    told = tales(spark, sf_dir).withColumn("numbers", N.extract_numbers("claim")).withColumn("big", N.big_numbers("numbers")).withColumn("near", N.match_numbers_in_text("numbers", T.norm_for_match("evidence"))).withColumn("spellings", F.transform("numbers", N.number_variants))
+    told = staged(told, "told")
+    return told.select("o_orderkey", _joined("near", "matched"), F.round(S.big_number_recall(F.col("numbers"), F.col("big"), F.col("near")), 6).alias("recall"), F.round(S.proximity("claim", "evidence", "numbers", "spellings"), 6).alias("proximity"))
 
 
 def combine_status(spark: SparkSession, sf_dir: str) -> DataFrame:
