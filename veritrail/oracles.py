@@ -238,3 +238,48 @@ b AS (SELECT *, sum(starts) OVER (PARTITION BY case_id ORDER BY pos) AS block_id
 SELECT b.case_id.k AS kind, b.case_id.i AS case_id, CAST(b.block_id AS BIGINT) AS block_id, b.kind AS block_kind, CAST(CASE WHEN b.kind = 'paragraph' THEN 1 ELSE count(*) END AS BIGINT) AS n_rows, md5(CASE WHEN b.kind = 'paragraph' THEN string_agg(part, ' ' ORDER BY pos) ELSE string_agg(part, chr(10) ORDER BY pos) END) AS md5 FROM b GROUP BY b.case_id, b.block_id, b.kind"""
 ORACLES["locate_claims"] = f"""WITH {SENTENCES}, n AS (SELECT case_id, o_orderkey, claim, row_number() OVER (PARTITION BY case_id ORDER BY o_orderkey) AS r FROM s), m AS (SELECT *, min(r) OVER (PARTITION BY case_id, claim) AS first FROM n)
 SELECT case_id, o_orderkey AS claim_id, ['must_review', 'confirmed', 'edit', 'delete', 'must_review'][o_orderkey % 5 + 1] AS mark, CAST(first AS BIGINT) AS block_id FROM m WHERE o_orderkey % 3 > 0"""
+
+#: The whole of a verification with one piece of evidence a source: of tl, the tales, each both a claim and a page, and a sheet of amounts.
+_weighted = lambda weights: " + ".join(f"{w} * {x}" for w, x in zip(weights, ("sim", "coverage", "block", "near_share", "recall", "unit", "direction"), strict=True))
+_words = _uniq("regexp_extract_all(claim, '[가-힣]{2,}|[A-Za-z]{2,}[A-Za-z0-9\\-_/]*')")
+_VERIFIED = f"""{TALES.replace("s AS (SELECT o_orderkey, case_id, CASE", "tl AS (SELECT o_orderkey, case_id, CASE")},
+cl AS (SELECT case_id, o_orderkey, row_number() OVER (PARTITION BY case_id ORDER BY o_orderkey) AS claim_id, claim, regexp_replace(lower(claim), '\\s\\s+', ' ', 'g') AS t FROM tl),
+ch AS (SELECT *, regexp_replace(lower(text), '\\s\\s+', ' ', 'g') AS t FROM (SELECT case_id, 'pdf' AS source, o_orderkey AS place, {_trim("regexp_replace(evidence, '[ \\t]+', ' ', 'g')")} AS text FROM tl UNION ALL SELECT case_id, 'xlsx', o_orderkey + 2, CAST(CAST(price AS BIGINT) AS VARCHAR) FROM tl UNION ALL SELECT DISTINCT case_id, 'xlsx', 1, '매출액' FROM tl)),
+tf AS (SELECT case_id, source, place, ngram, count(*) AS tf FROM (SELECT case_id, source, place, unnest({_GRAMS('t')}) AS ngram FROM ch) GROUP BY ALL),
+nn AS (SELECT case_id, source, count(*) AS n, string_agg({_matching('text')}, chr(10)) AS folded, string_agg({_norm('text')}, chr(10)) AS plain FROM ch GROUP BY case_id, source),
+idf AS (SELECT case_id, source, ngram, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf JOIN nn USING (case_id, source) GROUP BY case_id, source, ngram),
+rw AS (SELECT case_id, source, place, ngram, tf * idf AS r FROM tf JOIN idf USING (case_id, source, ngram)),
+nm AS (SELECT case_id, source, place, sqrt(sum(r * r)) AS m FROM rw GROUP BY ALL),
+ct AS (SELECT case_id, claim_id, source, ngram, count(*) * any_value(idf) AS r FROM (SELECT case_id, claim_id, unnest({_GRAMS('t')}) AS ngram FROM cl) JOIN idf USING (case_id, ngram) GROUP BY ALL),
+cq AS (SELECT case_id, claim_id, source, sqrt(sum(r * r)) AS m FROM ct GROUP BY ALL),
+sc AS (SELECT ct.case_id, ct.claim_id, ct.source, rw.place, sum(ct.r * rw.r) / any_value(nm.m) / any_value(cq.m) AS score FROM ct JOIN rw ON rw.case_id = ct.case_id AND rw.source = ct.source AND rw.ngram = ct.ngram JOIN nm ON nm.case_id = rw.case_id AND nm.source = rw.source AND nm.place = rw.place JOIN cq ON cq.case_id = ct.case_id AND cq.claim_id = ct.claim_id AND cq.source = ct.source GROUP BY ct.case_id, ct.claim_id, ct.source, rw.place),
+ev AS (SELECT cl.case_id, cl.claim_id, ch.source, cl.o_orderkey * 2 + CAST(ch.source = 'xlsx' AS INT) AS o_orderkey, claim, ch.text AS evidence, ch.place, coalesce(sc.score, 0.0) AS sim FROM cl JOIN ch ON ch.case_id = cl.case_id LEFT JOIN sc ON sc.case_id = cl.case_id AND sc.claim_id = cl.claim_id AND sc.source = ch.source AND sc.place = ch.place
+ QUALIFY row_number() OVER (PARTITION BY cl.case_id, cl.claim_id, ch.source ORDER BY round(coalesce(sc.score, 0.0), 9) DESC, ch.place DESC) = 1),
+s AS (SELECT o_orderkey, claim, evidence FROM ev), {_FACTS}, {_PROXIMITY},
+tk AS (SELECT o_orderkey, token, bool_or(numeric) AS numeric FROM (SELECT o_orderkey, unnest(list_filter({_words}, lambda w: NOT list_contains({_list(rules.STOP_WORDS)}, w))) AS token, false AS numeric FROM ev UNION ALL SELECT o_orderkey, unnest({_numbers('claim')}), true FROM ev) GROUP BY o_orderkey, token),
+tv AS (SELECT *, length(regexp_replace(token, '[^0-9]', '', 'g')) AS digits, CASE WHEN numeric THEN list_transform({_variants('token')}, lambda v: lower(v)) ELSE [{_matching('token')}] END AS needles FROM tk),
+wi AS (SELECT case_id, source, token, ln((1 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM (SELECT case_id, source, unnest(list_distinct(regexp_extract_all(lower({_norm('text')}), '[가-힣]{{2,}}|[a-z]{{2,}}[a-z0-9\\-_/]*|\\d+(?:\\.\\d+)?'))) AS token FROM ch) JOIN nn USING (case_id, source) GROUP BY ALL),
+tw AS (SELECT tv.o_orderkey, CASE WHEN numeric THEN CASE WHEN digits >= 3 THEN 2 ELSE 1 END * greatest(CASE WHEN digits > 0 THEN digits ELSE length(tv.token) END, 1) ELSE greatest(length(tv.token), 1) * coalesce(wi.idf, 1.0) END AS w, len(list_filter(needles, lambda v: contains({_matching('ev.evidence')}, v))) > 0 AS near, len(list_filter(needles, lambda v: contains(nn.folded, v))) > 0 AS far
+ FROM tv JOIN ev ON ev.o_orderkey = tv.o_orderkey JOIN nn ON nn.case_id = ev.case_id AND nn.source = ev.source LEFT JOIN wi ON NOT tv.numeric AND wi.case_id = ev.case_id AND wi.source = ev.source AND wi.token = {_matching('tv.token')}),
+co AS (SELECT o_orderkey, sum(CASE WHEN near THEN w ELSE 0 END) / sum(w) AS here, sum(CASE WHEN far THEN w ELSE 0 END) / sum(w) AS whole FROM tw GROUP BY o_orderkey),
+nu AS (SELECT ev.*, ns, list_filter(ns, lambda n: length(regexp_replace(n, '[^0-9]', '', 'g')) >= 3) AS big, folded, plain, least(greatest(coalesce(here, 0), coalesce(0.85 * whole + 0.15 * here, 0), 0), 1) AS coverage FROM ev JOIN (SELECT o_orderkey, {_numbers('claim')} AS ns FROM ev) USING (o_orderkey) JOIN nn USING (case_id, source) LEFT JOIN co USING (o_orderkey)),
+na AS (SELECT o_orderkey, n, replace(regexp_extract(n, '^[0-9][0-9,]*(?:\\.[0-9]+)?'), ',', '')::DOUBLE * CASE regexp_extract(n, '^[0-9][0-9,.]*(.*)$', 1) WHEN '백만원' THEN 1.0 WHEN '억원' THEN 100.0 WHEN '원' THEN 0.000001::DOUBLE END AS v, case_id FROM (SELECT o_orderkey, case_id, unnest(ns) AS n FROM nu WHERE source = 'xlsx')),
+nb AS (SELECT o_orderkey, list(n) AS hits FROM na WHERE EXISTS (SELECT 1 FROM tl WHERE tl.case_id = na.case_id AND (abs(price - v) < 0.01 OR (price <> 0 AND abs((price - v) / price) < 0.01))) GROUP BY o_orderkey),
+nc AS (SELECT nu.*, CASE WHEN len(big) > 0 THEN big ELSE ns END AS asked, list_filter(ns, lambda n: list_contains(coalesce(hits, []), n)) AS amounts, {_spelled_in('ns', 'plain')} AS textual, {_spelled_in('ns', _matching('evidence'))} AS close FROM nu LEFT JOIN nb USING (o_orderkey)),
+nd AS (SELECT *, CASE WHEN source = 'xlsx' THEN list_filter(asked, lambda n: list_contains(amounts, n)) ELSE close END AS found, list_concat(amounts, list_filter(textual, lambda n: NOT list_contains(amounts, n))) AS matched FROM nc),
+ne AS (SELECT nd.*, len(ns) > 0 AS numbered, CASE WHEN len(ns) = 0 THEN 0.5 ELSE len(list_filter(asked, lambda n: list_contains(found, n))) / len(asked) END AS recall, len(list_filter(big, lambda n: list_contains(found, n))) AS exact, px.proximity AS near_share, fb.score AS block, len({_metrics('claim')}) > 0 AS metric,
+ CASE WHEN len({_units('claim')}) = 0 THEN 0.5 ELSE len(list_filter({_units('claim')}, lambda u: contains(evidence, u))) / len({_units('claim')}) END AS unit, {_CONFLICT} AS conflict,
+ CASE WHEN len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w))) = 0 THEN 0.5 WHEN {_CONFLICT} THEN 0.0 ELSE 0.5 + 0.5 * len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w) AND contains(evidence, w))) / len(list_filter({_DIRECTIONS}, lambda w: contains(claim, w))) END AS direction
+ FROM nd JOIN px USING (o_orderkey) JOIN fb USING (o_orderkey)),
+nf AS (SELECT *, least(greatest(CASE WHEN numbered THEN {_weighted(rules.NUMBER_WEIGHTS)} ELSE {_weighted(rules.TEXT_WEIGHTS)} END - CASE WHEN conflict THEN 0.15 ELSE 0 END, 0), 1) AS score FROM ne),
+ng AS (SELECT *, CASE WHEN conflict THEN CASE WHEN score >= 0.22 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END
+ WHEN numbered THEN CASE WHEN score >= 0.30 AND (block >= 0.65 OR (metric AND recall > 0 AND coverage >= 0.45) OR exact >= 1) THEN 'SUPPORTED' WHEN score >= 0.22 AND (block >= 0.35 OR recall > 0 OR coverage >= 0.30 OR sim >= 0.20) THEN 'PARTIAL' WHEN block >= 0.55 AND (coverage >= 0.35 OR sim >= 0.25) THEN 'PARTIAL' ELSE 'UNSUPPORTED' END
+ WHEN score >= 0.30 AND coverage >= 0.45 THEN 'SUPPORTED' WHEN (score >= 0.22 AND coverage >= 0.30) OR (coverage >= 0.55 AND sim >= 0.18) THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS status,
+ numbered AND score >= 0.22 AND len(list_filter(ns, lambda n: NOT list_contains(matched, n))) > 0 AS doubt FROM nf),
+vo AS (SELECT p.*, x.status AS xstatus, x.score AS xscore, CASE WHEN p.status = 'SUPPORTED' OR x.status = 'SUPPORTED' THEN 'SUPPORTED' WHEN p.status = 'PARTIAL' OR x.status = 'PARTIAL' THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS overall, list_filter(p.ns, lambda n: NOT list_contains(p.matched, n) AND NOT list_contains(x.matched, n)) AS missing, x AS x FROM ng p JOIN ng x ON x.o_orderkey = p.o_orderkey + 1 WHERE p.source = 'pdf')"""
+_bar = lambda c: f"array_to_string({c}, ' | ')"
+_two = lambda name, c: f"round({c}, 6) AS {name}_pdf, round(x.{c}, 6) AS {name}_xlsx"
+ORACLES["verify_orders"] = f"""WITH {_VERIFIED} SELECT case_id, claim_id, {_status('overall')} AS status_overall, overall AS raw_status_overall, {_status('status')} AS status_pdf, status AS raw_status_pdf, {_status('xstatus')} AS status_xlsx, xstatus AS raw_status_xlsx, round(greatest(score, xscore), 6) AS best_score_overall, round(score, 6) AS best_score_pdf, round(xscore, 6) AS best_score_xlsx,
+ {', '.join(_two(*x) for x in (('sim_best', 'sim'), ('coverage', 'coverage'), ('proximity', 'near_share'), ('big_num_recall', 'recall'), ('unit_match', 'unit'), ('direction_score', 'direction')))}, exact AS exact_big_num_matches_pdf, x.exact AS exact_big_num_matches_xlsx, CAST(conflict AS BIGINT) AS direction_conflict_pdf, CAST(x.conflict AS BIGINT) AS direction_conflict_xlsx,
+ len(ns) AS num_total, len(matched) AS pdf_num_matched, len(x.matched) AS xlsx_num_matched, len(missing) AS num_missing_all, {_bar('ns')} AS numbers_in_claim, {_bar('matched')} AS matched_numbers_pdf, {_bar('x.matched')} AS matched_numbers_xlsx, {_bar('missing')} AS missing_numbers_all, CAST(doubt AS BIGINT) AS num_conflict_pdf, CAST(x.doubt AS BIGINT) AS num_conflict_xlsx, claim AS claim_text,
+ place AS pdf_top_page, CAST(0 AS BIGINT) AS pdf_top_chunk, round(sim, 6) AS pdf_top_score, replace(evidence, chr(10), ' ') AS pdf_top_snippet, x.place AS xlsx_top_row, CAST(0 AS BIGINT) AS xlsx_top_chunk, round(x.sim, 6) AS xlsx_top_score, '[sales.xlsx] row ' || x.place || ': ' || x.evidence AS xlsx_top_snippet FROM vo"""

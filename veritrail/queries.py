@@ -295,17 +295,21 @@ def verify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select([F.round(k, 6).alias(k) if kinds[k] == "double" else k for k in flat.columns])
 
 
-def verify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' orders told as reports and verified against sentences of the same orders, and a sheet of their amounts."""
-    told = sentences(spark, sf_dir)
+def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders told as reports and verified against the evidence of all of a customer's orders, and a sheet of their amounts."""
+    told = tales(spark, sf_dir)
     by = F.array_sort(F.collect_list(F.struct("o_orderkey", "claim")))
     own = told.groupBy("case_id").agg(by.alias("t")).select("case_id", F.array_join("t.claim", "\n\n").alias("text"))
     source = told.select("case_id", F.col("o_orderkey").cast("int").alias("page"), F.col("evidence").alias("text"))
     base = [F.col("case_id"), F.lit(0).alias("file_idx"), F.lit("s1").alias("sheet")]
     sheet = told.select("case_id").distinct().select(*base, F.lit(1).alias("row_no"), F.lit(0).alias("col_no"), F.lit("매출액").alias("value")).unionByName(told.select(*base, (F.col("o_orderkey") + 2).cast("int").alias("row_no"), F.lit(0).alias("col_no"), F.col("price").cast("long").cast("string").alias("value")))
-    flat = P.flat_report(P.verify_cases(own, source, sheet, top_k=1))
+    return P.verify_cases(own, source, sheet.withColumn("file_name", F.lit("sales.xlsx")), top_k=1)
+
+
+def verify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = P.flat_report(order_results(spark, sf_dir))
     kinds = dict(flat.dtypes)
-    return flat.select([F.round(k, 6).alias(k) if kinds[k] == "double" else k for k in flat.columns])
+    return flat.select([F.round(k, 6).alias(k) if kinds[k] == "double" else F.col(k).cast("long").alias(k) if kinds[k] == "int" else k for k in flat.columns])
 
 
 def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
