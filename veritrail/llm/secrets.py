@@ -177,13 +177,14 @@ def scan(docs: DataFrame, false: float = FALSE) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[secret]", false: float = FALSE) -> DataFrame:
     """docs: text and any other columns. The same rows with every span of scan() replaced; what touches or overlaps is replaced once."""
-    found = staged(in_small_batches(docs).select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"), tested(F.col("text").cast("string")).alias("spans")), "secrets")
+    others = [c for c in docs.columns if c != "text"]
+    found = staged(in_small_batches(docs).select(F.struct(F.lit(0).alias("held"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)]).alias("row"), F.col("text").cast("string").alias("text"), tested(F.col("text").cast("string")).alias("spans")), "secrets")
     piece = lambda a, b: F.substring("text", a + 1, b - a)
     begun = F.struct(F.lit("").alias("out"), F.lit(-1).cast("long").alias("done"))
     step = lambda acc, s: F.struct(F.when(s["start"] > acc["done"], F.concat(acc["out"], piece(F.greatest(acc["done"], F.lit(0).cast("long")), s["start"]), F.lit(mask))).otherwise(acc["out"]).alias("out"), F.greatest(acc["done"], s["end"]).alias("done"))
     clean = F.aggregate("held", begun, step, lambda acc: F.concat(acc["out"], piece(acc["done"], F.length("text").cast("long"))))
     held = found.select("row", "text", kept(found, false).alias("held"))
-    return held.select(F.when(F.size("held") > 0, clean).otherwise(F.col("text")).alias("clean"), "row").select(*[F.col("clean").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return held.select(F.when(F.size("held") > 0, clean).otherwise(F.col("text")).alias("clean"), "row").select(*[F.col("clean").alias("text") if c == "text" else F.col("row")[f"c{others.index(c)}"].alias(c) for c in docs.columns])
 
 
 def listed(spans: Column) -> Column:
