@@ -41,6 +41,8 @@ BANDS, ROWS = 25, 5
 SKETCH_BITS = 512
 #: Members that are compared in one task, and those that a block of them is held against.
 BLOCK, TOLD = 256, 2048
+#: Members from which on a shingle is no key of a join.
+HOT = 256
 ASKS, LEADS, MEETS, HEARS = range(4)
 SLACK = 0.2
 _random = np.random.Generator(np.random.PCG64(20240607))
@@ -163,9 +165,13 @@ def rarest(members: DataFrame, percent: int) -> DataFrame:
                     part = h[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(part), x, np.int64)) for x in (rep, label, own, len(h))), pa.array(part)], ["rep", "label", "own", "n", "h"])
 
-    each = members.select("rep", "label", F.xxhash64("shingles").alias("own"), "shingles").mapInArrow(run, "rep long, label long, own long, n long, h long")
-    often = each.groupBy("h").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "h").groupBy("rep", "label", "own", "n").agg(F.array_sort(F.collect_set(F.struct("often", "h"))).alias("of"))
+    each = staged(members.select("rep", "label", F.xxhash64("shingles").alias("own"), "shingles").mapInArrow(run, "rep long, label long, own long, n long, h long"), "shingles")
+    often = staged(each.groupBy("h").agg(F.count("*").alias("often")), "often")
+    # Shingles of very many members would be one key: there are few of them, so they are sent to the rows instead.
+    hot = sent_if_small(often.where(F.col("often") > HOT).withColumnRenamed("often", "hot"))
+    marked = each.join(hot, "h", "left")
+    counted = marked.where("hot is not null").withColumnRenamed("hot", "often").unionByName(marked.where("hot is null").drop("hot").join(often.where(F.col("often") <= HOT), "h"))
+    ranked = counted.groupBy("rep", "label", "own", "n").agg(F.array_sort(F.collect_set(F.struct("often", "h"))).alias("of"))
     prefix, shorter = (F.col("n") - F.ceil(F.col("n") * a / b) + 1 for a, b in ((percent, 100), (2 * percent, 100 + percent)))
     return ranked.select("rep", "label", shorter.alias("few"), F.posexplode(F.slice("of", F.lit(1), prefix.cast("int"))).alias("at", "x")).select("rep", "label", "x.h", (F.col("at") < F.col("few")).alias("first"))
 
@@ -182,8 +188,8 @@ def unsettled(met: DataFrame, labels: DataFrame, full: DataFrame, percent: int)
         return None
     sets = members.join(full, "rep")
     keyed = staged(rarest(sets, percent), "rarest")
-    shared = keyed.groupBy("h").agg(F.min("rep").alias("leader"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("first").alias("any")).where("x <> y and any").select("h", "leader")
-    again = staged(keyed.join(shared, "h").groupBy("leader", "rep", "label").agg(F.max("first").alias("first")), "again")
+    shared = staged(keyed.groupBy("h").agg(F.min("rep").alias("leader"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("first").alias("any")).where("x <> y and any").select("h", "leader"), "shared")
+    again = staged(keyed.join(sent_if_small(shared), "h").groupBy("leader", "rep", "label").agg(F.max("first").alias("first")), "again")
     sizes = again.groupBy("leader", "label").agg(F.count("*").alias("n")).groupBy("leader").agg(F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("most"))
     placed = again.join(sizes, "leader")
     few = placed.where(F.col("n") <= BLOCK).select("leader", F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(MEETS).alias("role"), "rep", "label")
