@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from veritrail.sources.staging import staged  # noqa: F401
+
 #: Words of letters and digits, and words between white space, on lower-cased UTF-8 bytes: bytes over 0x7F all belong to words, as their code points do.
 ALNUM_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACE_WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -26,29 +26,12 @@ def low_bytes(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="spark-shared-")
-        shared_folder.own = folder
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: cuts lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Texts in an Arrow batch; they may be long, and both sides hold a whole batch in memory.
 BATCH = 1000
 
 
 def in_small_batches(docs: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends BATCH of them to Python at a time at most."""
+    """The same rows; from now on the session sends BATCH of them to Python at a time at most. It stays so for later queries of the session, whose results don't hang on it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = docs.sparkSession.conf
     if not 0 < int(conf.get(key)) <= BATCH:
@@ -107,7 +90,7 @@ def in_order(df: DataFrame, order: list, step: Callable[[Iterator[pd.DataFrame],
 
 
 #: doc_ids that are sent to all executors at most; more are joined by a shuffle.
-MAX_SENT = 1_000_000
+MAX_SENT = 500_000
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
