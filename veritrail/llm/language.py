@@ -7,8 +7,8 @@ aggregation and smoothed towards its domain's, and that towards all texts'. A te
 without language, and is rejected where no language reaches ACCEPT of the evidence, which takes a text that looks like
 none and nothing else to say what it is.
 
-Null, empty and letterless texts have no text evidence and rest on the others; without any they keep the prior of all
-texts. Unknown declared languages, suffixes and null hosts say nothing. Repeated rows get a row each, and count as often
+Null, empty and letterless texts have no text evidence and rest on the others, and are accepted as what these say;
+without any they keep the prior of all texts. Unknown declared languages, suffixes and null hosts say nothing. Repeated rows get a row each, and count as often
 for their host. Texts of any length are read whole. Of languages equally likely the first by name is told. Without
 labelled texts every language is "und" and nothing is rejected; an empty table gives no rows. Only the columns named are
 read, whatever others are called.
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, labelled: DataFrame, markup: bool = False) -> Data
     scored = fused.select("id", "text_lang", F.array(*logs_of).alias("v")).withColumn("top", F.array_max("v"))
     mass = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
     best = scored.select("id", "text_lang", F.element_at(F.array(*map(F.lit, langs)), F.array_position("v", F.col("top")).cast("int")).alias("lang"), (1 / mass).alias("probability"))
-    return best.select("id", "lang", "probability", "text_lang", ((F.col("lang") != UND) & (F.col("probability") >= ACCEPT) | F.lit(n < 2)).alias("accepted"))
+    return best.select("id", "lang", "probability", "text_lang", ((F.col("lang") != UND) & ((F.col("probability") >= ACCEPT) | F.col("text_lang").isNull()) | F.lit(n < 2)).alias("accepted"))
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
