@@ -52,21 +52,21 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     sizes, blocks = sorted(bound["k"]), -(-bound["n"] // BLOCK)
     if not blocks:
         return base.select("*", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("item_ids"))
-    # Shingles of all sizes in one array, so that a text is hashed in one pass; the size is part of the hash. The outer
-    # forms of explode below: a plain one would have Spark test the hashes' size ahead of it, and hash every text twice.
-    placed_in = lambda k: F.transform(shingles("w", k), lambda h, i: F.struct(h.alias("h"), i.alias("at")))
-    hashed = split.select("row_key", "w", (F.concat(*[placed_in(k) for k in sizes]) if len(sizes) > 1 else placed_in(sizes[0])).alias("s"))
+    # Shingles of all sizes stand in one array, so that a text is hashed in one pass; the size is part of the hash. The
+    # outer forms of explode below: a plain one would have Spark test the hashes' size ahead of it, and hash every text twice.
+    hashed = split.select("row_key", "w", (F.concat(*[shingles("w", k) for k in sizes]) if len(sizes) > 1 else shingles("w", sizes[0])).alias("s"))
     own_shingles = F.coalesce(*[F.when(F.col("k") == k, shingles("window", k)) for k in sizes])
+    ahead = sum((F.when(F.col("a.k") > k, F.greatest(F.size("w") - k + 1, F.lit(0))).otherwise(0) for k in sizes[:-1]), F.lit(0))  # shingles of smaller sizes stand first
     placed = None
     for block in range(blocks):
-        own = found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).select("window", "item_ids", "n", own_shingles.alias("s"))
+        own = found.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).select("window", "item_ids", "n", "k", own_shingles.alias("s"))
         asked = F.broadcast(own.select(F.explode("s").alias("h")).distinct())
-        count = hashed.select(F.explode_outer("s").alias("x")).select("x.h").join(asked, "h", "left_semi").groupBy("h").agg(F.count("*").alias("freq"))
-        rated = own.select("window", "item_ids", "n", F.posexplode("s").alias("o", "h")).join(F.broadcast(count), "h")
-        prefix = rated.groupBy("window", "item_ids", "n").agg(F.min_by(F.struct("h", "o"), F.struct("freq", "h", "o")).alias("p"))
-        probe = F.broadcast(staged(prefix.select("window", "item_ids", "n", "p.h", "p.o"), "prefixes").groupBy("h").agg(F.collect_list(F.struct("window", "item_ids", "n", "o")).alias("asks")))
-        at = hashed.select("row_key", "w", F.explode_outer("s").alias("x")).select("row_key", "w", "x.at", "x.h")
-        near = at.join(probe, "h").select("row_key", "w", "at", F.explode("asks").alias("a")).withColumn("start", F.col("at") - F.col("a.o"))
+        count = hashed.select(F.explode_outer("s").alias("h")).join(asked, "h", "left_semi").groupBy("h").agg(F.count("*").alias("freq"))
+        rated = own.select("window", "item_ids", "n", "k", F.posexplode("s").alias("o", "h")).join(F.broadcast(count), "h")
+        prefix = rated.groupBy("window", "item_ids", "n", "k").agg(F.min_by(F.struct("h", "o"), F.struct("freq", "h", "o")).alias("p"))
+        probe = F.broadcast(staged(prefix.select("window", "item_ids", "n", "k", "p.h", "p.o"), "prefixes").groupBy("h").agg(F.collect_list(F.struct("window", "item_ids", "n", "k", "o")).alias("asks")))
+        at = hashed.select("row_key", "w", F.posexplode_outer("s").alias("at", "h"))
+        near = at.join(probe, "h").select("row_key", "w", "at", F.explode("asks").alias("a")).withColumn("start", F.col("at") - ahead - F.col("a.o"))
         inside = near.where((F.col("start") >= 0) & (F.col("start") + F.col("a.n") <= F.size("w")))
         held = inside.where(F.slice("w", F.col("start") + 1, F.col("a.n")) == F.col("a.window")).select("row_key", "start", "a.n", "a.item_ids")
         placed = held if placed is None else placed.unionByName(held)
