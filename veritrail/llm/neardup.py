@@ -40,7 +40,7 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 SKETCH_BITS = 512
 #: Members that are compared in one task, and those that a block of them is held against.
-BLOCK, TOLD = 256, 2048
+BLOCK, TOLD = 256, 512
 #: Members from which on a shingle is no key of a join.
 HOT = 256
 ASKS, LEADS, MEETS, HEARS = range(4)
