@@ -57,8 +57,8 @@ def chunk_text(text: Column | str, size: int = 900, overlap: int = 120) -> Colum
     return F.filter(pieces, lambda x: x != "")
 
 
-def chunks(texts: DataFrame, source: str, place: str = "page", size: int = 900, overlap: int = 120) -> DataFrame:
-    """texts: case_id, place, text, and file_idx and sheet if there are any. case_id, source, place, file_idx, chunk_id, ord, text. ord is what a case's chunks are in order by: file, sheet (by name), place and chunk; no case is gathered to number them."""
+def chunks(texts: DataFrame, source: str, place: str = "page", size: int = 900, overlap: int = 120, keep: list[str] | None = None) -> DataFrame:
+    """texts: case_id, place, text, and file_idx and sheet if there are any. case_id, source, place, file_idx, chunk_id, ord, text. ord is what a case's chunks are in order by: file, sheet (by name), place and chunk; no case is gathered to number them. keep: more columns of texts to keep."""
     own = lambda name, kind, none: (F.coalesce(name, none) if name in texts.columns else none).cast(kind).alias(name)
-    cut = texts.select("case_id", F.lit(source).alias("source"), F.col(place).cast("int").alias("place"), own("file_idx", "int", F.lit(0)), own("sheet", "string", F.lit("")), F.posexplode_outer(chunk_text("text", size, overlap)).alias("chunk_id", "text")).where("text is not null")
-    return cut.select("case_id", "source", "place", "file_idx", "chunk_id", F.struct("file_idx", "sheet", "place", "chunk_id").alias("ord"), "text")
+    cut = texts.select("case_id", *(keep or []), F.lit(source).alias("source"), F.col(place).cast("int").alias("place"), own("file_idx", "int", F.lit(0)), own("sheet", "string", F.lit("")), F.posexplode_outer(chunk_text("text", size, overlap)).alias("chunk_id", "text")).where("text is not null")
+    return cut.select("case_id", *(keep or []), "source", "place", "file_idx", "chunk_id", F.struct("file_idx", "sheet", "place", "chunk_id").alias("ord"), "text")

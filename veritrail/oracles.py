@@ -283,3 +283,4 @@ ORACLES["verify_orders"] = f"""WITH {_VERIFIED} SELECT case_id, claim_id, {_stat
  {', '.join(_two(*x) for x in (('sim_best', 'sim'), ('coverage', 'coverage'), ('proximity', 'near_share'), ('big_num_recall', 'recall'), ('unit_match', 'unit'), ('direction_score', 'direction')))}, exact AS exact_big_num_matches_pdf, x.exact AS exact_big_num_matches_xlsx, CAST(conflict AS BIGINT) AS direction_conflict_pdf, CAST(x.conflict AS BIGINT) AS direction_conflict_xlsx,
  len(ns) AS num_total, len(matched) AS pdf_num_matched, len(x.matched) AS xlsx_num_matched, len(missing) AS num_missing_all, {_bar('ns')} AS numbers_in_claim, {_bar('matched')} AS matched_numbers_pdf, {_bar('x.matched')} AS matched_numbers_xlsx, {_bar('missing')} AS missing_numbers_all, CAST(doubt AS BIGINT) AS num_conflict_pdf, CAST(x.doubt AS BIGINT) AS num_conflict_xlsx, claim AS claim_text,
  place AS pdf_top_page, CAST(0 AS BIGINT) AS pdf_top_chunk, round(sim, 6) AS pdf_top_score, replace(evidence, chr(10), ' ') AS pdf_top_snippet, x.place AS xlsx_top_row, CAST(0 AS BIGINT) AS xlsx_top_chunk, round(x.sim, 6) AS xlsx_top_score, '[sales.xlsx] row ' || x.place || ': ' || x.evidence AS xlsx_top_snippet FROM vo"""
+ORACLES["verify_indexed"] = ORACLES["verify_orders"]

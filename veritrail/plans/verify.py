@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from veritrail.functions import numbers as N, scoring as S
 from veritrail.functions.text import norm_for_match, normalize_invisibles, once, status_label, word_tokens
 from veritrail.operators import claims as C, match as M, retrieve as R
+from veritrail.operators.index import Index
 from veritrail.sources.staging import staged
 
 KEYS = ["case_id", "claim_id"]
@@ -61,11 +62,12 @@ def matched_anywhere(claims: DataFrame, pages: DataFrame, amounts: DataFrame | N
     return each.join(held, ["case_id", "number"]).groupBy("case_id", "source", "claim_id").agg(rows.alias("rows")).select("case_id", "source", "claim_id", F.array_distinct(F.concat(amounts_of, F.col("rows.number"))).alias("matched"), amounts_of.alias("matched_amounts"))
 
 
-def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None, files: DataFrame | None = None) -> DataFrame:
-    """A row for each claim and source it has: similarity, evidence, features, score and status. files: case_id, file_idx, file_name of the sheets, where they have names."""
-    found = staged(R.evidence(R.topk_evidence(claims, chunks, top_k), chunks, files), "evidence")
+def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None, files: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """A row for each claim and source it has: similarity, evidence, features, score and status. files: case_id, file_idx, file_name of the sheets, where they have names. index: the sources' stored index, else their n-grams and words are counted."""
+    top, idf = (index.topk(claims, top_k), index.word_idf()) if index else (R.topk_evidence(claims, chunks, top_k), R.word_idf(chunks))
+    found = staged(R.evidence(top, chunks, files), "evidence")
     base = claims.join(found, KEYS)
-    covered = base.join(staged(coverage(claims, found, pages, R.word_idf(chunks)), "coverage"), [*KEYS, "source"], "left").join(staged(matched_anywhere(claims, pages, amounts), "matched"), [*KEYS, "source"], "left")
+    covered = base.join(staged(coverage(claims, found, pages, idf), "coverage"), [*KEYS, "source"], "left").join(staged(matched_anywhere(claims, pages, amounts), "matched"), [*KEYS, "source"], "left")
     none = F.array().cast("array<string>")
     matched = covered.withColumn("coverage", F.coalesce("coverage", F.lit(0.0))).withColumn("matched", F.coalesce("matched", none)).withColumn("matched_amounts", F.coalesce("matched_amounts", none))
     near = once(norm_for_match("evidence_text"), lambda e: F.filter("numbers", lambda n, i: F.exists(F.get("spellings", i), lambda v: F.contains(e, v))))
@@ -91,21 +93,45 @@ def prepared(reports: DataFrame) -> DataFrame:
     return C.split_claims(reports).withColumn("numbers", N.extract_numbers("claim_norm")).withColumn("big", N.big_numbers("numbers")).withColumn("spellings", F.transform("numbers", N.number_variants))
 
 
+def source_texts(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """case_id, source, file_idx, sheet, place, text of pages (case_id, page, text) and cells as in sources.tables."""
+    from veritrail.sources.tables import clean_page, sheet_rows
+
+    texts = pages.select("case_id", F.lit("pdf").alias("source"), F.lit(0).alias("file_idx"), F.lit("").alias("sheet"), F.col("page").alias("place"), clean_page("text").alias("text"))
+    return texts if cells is None else texts.unionByName(sheet_rows(cells).select("case_id", F.lit("xlsx").alias("source"), "file_idx", "sheet", F.col("row_no").alias("place"), "text"))
+
+
+def file_names(cells: DataFrame | None) -> DataFrame | None:
+    """case_id, file_idx, file_name, where the cells have names."""
+    return None if cells is None or "file_name" not in cells.columns else cells.groupBy("case_id", "file_idx").agg(F.min("file_name").alias("file_name"))
+
+
 def verify_cases(reports: DataFrame, pages: DataFrame, cells: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None) -> DataFrame:
     """reports: case_id, text; pages: case_id, page, text; cells as in sources.tables. A row for each claim of a case that has pages, with what each source says and the combined status. Cases without text in their pages come back in cases_without_text()."""
-    from veritrail.sources.tables import clean_page, sheet_amounts, sheet_rows
+    from veritrail.sources.tables import sheet_amounts
 
     claims = staged(prepared(reports), "claims")
-    texts = pages.select("case_id", F.lit("pdf").alias("source"), F.col("page").alias("place"), F.lit(0).alias("file_idx"), clean_page("text").alias("text"))
-    amounts = files = None
-    if cells is not None:
-        amounts = staged(sheet_amounts(cells), "amounts")
-        texts = texts.withColumn("sheet", F.lit("")).unionByName(sheet_rows(cells).select("case_id", F.lit("xlsx").alias("source"), F.col("row_no").alias("place"), "file_idx", "text", "sheet"))
-        if "file_name" in cells.columns:
-            files = cells.groupBy("case_id", "file_idx").agg(F.min("file_name").alias("file_name"))
-    texts = staged(texts, "texts")
+    amounts = staged(sheet_amounts(cells), "amounts") if cells is not None else None
+    texts = staged(source_texts(pages, cells), "texts")
     chunks = staged(C.chunks(texts.where("source = 'pdf'"), "pdf", "place").unionByName(C.chunks(texts.where("source = 'xlsx'"), "xlsx", "place")), "chunks")
-    each = features(claims, chunks, texts.select("case_id", "source", "text"), amounts, top_k, thresholds, files)
+    return _results(claims, features(claims, chunks, texts.select("case_id", "source", "text"), amounts, top_k, thresholds, file_names(cells)), thresholds)
+
+
+def index_sources(index: Index, pages: DataFrame, cells: DataFrame | None = None, removed: DataFrame | None = None) -> Index:
+    """The next version of the index, with these pages and cells; removed: case_id, source, file_idx, sheet, place."""
+    from veritrail.sources.tables import sheet_amounts
+
+    amounts = None if cells is None else sheet_amounts(cells).select("case_id", F.lit("xlsx").alias("source"), "file_idx", "sheet", F.col("row_no").alias("place"), "value_mkrw")
+    return index.updated(source_texts(pages, cells), removed, amounts, file_names(cells))
+
+
+def verify_against(reports: DataFrame, index: Index, top_k: int = 3, thresholds: dict | None = None) -> DataFrame:
+    """verify_cases() against sources of a stored index, without counting them again."""
+    claims = staged(prepared(reports), "claims")
+    return _results(claims, features(claims, index.chunks(), index.texts().select("case_id", "source", "text"), index.amounts(), top_k, thresholds, index.files(), index), thresholds)
+
+
+def _results(claims: DataFrame, each: DataFrame, thresholds: dict | None) -> DataFrame:
     each = staged(each, "features")
     kept = ["status", "score", "sim_best", "coverage", "proximity", "big_num_recall", "exact_big_num_matches", "unit_match", "direction_score", "direction_conflict", "matched", "evidence"]
     of = lambda s: each.where(F.col("source") == s).select(*KEYS, *[F.col(k).alias(f"{k}_{s}") for k in kept])

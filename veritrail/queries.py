@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritrail.functions import numbers as N, scoring as S, text as T
-from veritrail.operators import blocks as B, claims as C, match as M, retrieve as R
+from veritrail.operators import blocks as B, claims as C, index as I, match as M, retrieve as R
 from veritrail.plans import payload as O, review as V, verify as P
 from veritrail.sources import tables as X
-from veritrail.sources.staging import staged
+from veritrail.sources.staging import shared_folder, staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -295,23 +296,48 @@ def verify_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select([F.round(k, 6).alias(k) if kinds[k] == "double" else k for k in flat.columns])
 
 
-def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' orders told as reports and verified against the evidence of all of a customer's orders, and a sheet of their amounts."""
+def order_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers' orders told as reports; as pages the evidence of all of a customer's orders; a sheet of their amounts."""
     told = tales(spark, sf_dir)
     by = F.array_sort(F.collect_list(F.struct("o_orderkey", "claim")))
     own = told.groupBy("case_id").agg(by.alias("t")).select("case_id", F.array_join("t.claim", "\n\n").alias("text"))
     source = told.select("case_id", F.col("o_orderkey").cast("int").alias("page"), F.col("evidence").alias("text"))
     base = [F.col("case_id"), F.lit(0).alias("file_idx"), F.lit("s1").alias("sheet")]
     sheet = told.select("case_id").distinct().select(*base, F.lit(1).alias("row_no"), F.lit(0).alias("col_no"), F.lit("매출액").alias("value")).unionByName(told.select(*base, (F.col("o_orderkey") + 2).cast("int").alias("row_no"), F.lit(0).alias("col_no"), F.col("price").cast("long").cast("string").alias("value")))
-    return P.verify_cases(own, source, sheet.withColumn("file_name", F.lit("sales.xlsx")), top_k=1)
+    return own, source, sheet.withColumn("file_name", F.lit("sales.xlsx"))
 
 
-def verify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = P.flat_report(order_results(spark, sf_dir))
+def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.verify_cases(*order_sources(spark, sf_dir), top_k=1)
+
+
+def _report_columns(results: DataFrame) -> DataFrame:
+    flat = P.flat_report(results)
     kinds = dict(flat.dtypes)
     return flat.select([F.round(k, 6).alias(k) if kinds[k] == "double" else F.col(k).cast("long").alias(k) if kinds[k] == "int" else k for k in flat.columns])
 
 
+def verify_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report_columns(order_results(spark, sf_dir))
+
+
+def orders_index(spark: SparkSession, sf_dir: str) -> I.Index:
+    """An index of the orders' sources that has come about in two versions: the first lacks some pages, and has some that are wrong or of no order; the second removes and adds them."""
+    _, source, sheet = order_sources(spark, sf_dir)
+    source = staged(source, "pages")
+    late, wrong = F.col("page") % 3 == 0, F.col("page") % 5 == 1
+    first = source.where(~late).withColumn("text", F.when(wrong, F.concat(F.lit("draft: "), "text")).otherwise(F.col("text")))
+    extra = source.where(late).select("case_id", (-F.col("page") - 1).alias("page"), "text")
+    places = lambda df: df.select("case_id", F.lit("pdf").alias("source"), F.lit(0).alias("file_idx"), F.lit("").alias("sheet"), F.col("page").alias("place"))
+    index = P.index_sources(I.Index.at(spark, f"{shared_folder(spark)}/orders-index-{uuid.uuid4().hex}"), first.unionByName(extra), sheet)
+    return P.index_sources(index, source.where(late | wrong), removed=places(extra).unionByName(places(source.where(~late & wrong))))
+
+
+def verify_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verify_orders() against the stored index, after its update."""
+    return _report_columns(P.verify_against(order_sources(spark, sf_dir)[0], orders_index(spark, sf_dir), top_k=1))
+
+
 def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = B.segment_blocks(line_reports(spark, sf_dir).select(F.struct("kind", F.col("case_id").alias("id")).alias("case_id"), "text"))
     return found.select("case_id.kind", F.col("case_id.id").alias("case_id"), F.col("block_id").cast("long").alias("block_id"), F.col("kind").alias("block_kind"), F.size("rows").cast("long").alias("n_rows"), F.md5("text").alias("md5"))
@@ -357,7 +383,7 @@ def unique_keep_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _joined = lambda c, name: F.array_join(c, "|").alias(name)
 QUERIES = {
     "verify_cases": verify_cases,
-    "verify_orders": verify_orders,
+    "verify_orders": verify_orders, "verify_indexed": verify_indexed,
     "normalize_invisibles": of_texts("normalize_invisibles", lambda: [F.md5(T.normalize_invisibles("text")).alias("md5")]),
     "norm_for_match": of_texts("norm_for_match", lambda: [F.md5(T.norm_for_match("text")).alias("md5")]),
     "word_tokens": of_texts("word_tokens", lambda: [F.size(T.word_tokens("text")).cast("long").alias("n"), F.md5(F.array_join(T.word_tokens("text"), "|")).alias("md5")]),
