@@ -24,6 +24,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -41,15 +42,21 @@ MAGIC = b"TOKENDAC"
 #: Letters, digits and white space as the tokenizer's own pattern takes them, up to Latin Extended-B; texts beyond that and common punctuation go to the tokenizer whole.
 LETTERS, DIGITS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
-SPACED = re.compile(f" [{LETTERS}]+")
 ODD = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]|<\\|")
-MAX_CACHE = 300_000
+CONTROLS = bytes([*range(9), *range(14, 32), 127])
+MAX_CACHE = 600_000
 #: Characters whose pieces are held at once, unless one text has more.
 AT_ONCE = 4_000_000
 DONE = "part int, file int, path string, n_docs long, n_ids long, start_in_part long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def is_odd(text: str) -> bool:
+    if text.isascii():
+        return "<|" in text or len(text.encode().translate(None, CONTROLS)) < len(text)
+    return ODD.search(text) is not None
+
+
 class Encoder:
     """Ids of whole texts as bytes. The tokenizer never merges across its own pieces, and pieces repeat, so a piece's ids are kept: when MAX_CACHE are held they become the older ones, and the older ones before them go."""
 
@@ -71,18 +78,19 @@ class Encoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Words after a space are encoded many at once, one after another: each begins with the only id that has a space."""
-        words = [p for p in pieces if SPACED.fullmatch(p)]
+        after_space = [p[0] == " " and p[1:].isalpha() for p in pieces]
+        words = list(compress(pieces, after_space))
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
             data, cuts = ids.tobytes(), [*(4 * self.begins[ids].nonzero()[0]).tolist(), 4 * len(ids)]
             self.known.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        rest = [p for p in pieces if not SPACED.fullmatch(p)]
+        rest = [p for p, x in zip(pieces, after_space, strict=True) if not x]
         self.known.update(zip(rest, self.each(rest), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Of texts that are held in memory together with their pieces."""
-        odd = [bool(ODD.search(x)) for x in texts]
+        odd = [is_odd(x) for x in texts]
         pieces = [[] if o else PIECE.findall(x) for x, o in zip(texts, odd, strict=True)]
         if len(self.known) > MAX_CACHE:
             self.known, self.older = {}, self.known
