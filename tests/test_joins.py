@@ -38,19 +38,39 @@ def test_blocks_of_a_large_case_agree(spark, monkeypatch):
     assert ranked(R.topk_evidence(claims, chunks)) == want
 
 
-@pytest.mark.parametrize(("needles", "texts"), [(100_000, 4096), (3, 4)])
-def test_needles_in_blocks(spark, monkeypatch, needles, texts):
-    monkeypatch.setattr(M, "NEEDLES", needles)
-    monkeypatch.setattr(M, "TEXTS", texts)
+@pytest.mark.parametrize(("needles", "texts", "filters"), [(100_000, 4096, 1024), (3, 4, 1024), (3, 1, 2)])
+def test_needles_in_blocks(spark, monkeypatch, needles, texts, filters):
+    for name, value in (("NEEDLES", needles), ("TEXTS", texts), ("FILTERS", filters)):
+        monkeypatch.setattr(M, name, value)
     rng = random.Random(2)
-    word = lambda n: "".join(rng.choice("ab1매") for _ in range(n))
-    held = [(case, "pdf", at, word(rng.randint(0, 12)) if at % 5 else None) for case in (1, 2) for at in range(20)]
-    asked = sorted({(case, "pdf", word(rng.randint(1, 4))) for case in (1, 2, 3) for _ in range(40)})
-    got = M.first_text(spark.createDataFrame(asked, "case_id long, source string, needle string"), spark.createDataFrame(held, "case_id long, source string, at long, text string"))
+    word = lambda n: "".join(rng.choice("ab1매\0") for _ in range(n))
+    held = [(case, "pdf", at, word(rng.randint(0, 12)) if at % 5 else None) for case in (1, 2) for at in range(20)] + [(3, "pdf", 0, "ab")]
+    asked = sorted({(case, "pdf", word(rng.randint(1, 4))) for case in (1, 2, 3, 4) for _ in range(40)})
+    needles, texts = spark.createDataFrame(asked, "case_id long, source string, needle string"), spark.createDataFrame(held, "case_id long, source string, at long, text string")
     want = {(c, n): min(at for k, _, at, t in held if k == c and t and n in t) for c, _, n in asked if any(k == c and t and n in t for k, _, _, t in held)}
-    assert {(x["case_id"], x["needle"]): x["at"] for x in got.collect()} == want
-    empty = spark.createDataFrame([(1, "pdf", ""), (3, "pdf", "")], "case_id long, source string, needle string")
-    assert [x["case_id"] for x in M.present(empty, spark.createDataFrame(held, "case_id long, source string, at long, text string").drop("at")).collect()] == [1]
+    assert {(x["case_id"], x["needle"]): x["at"] for x in M.first_text(needles, texts).collect()} == want
+    assert sorted((x["case_id"], x["needle"]) for x in M.present(needles, texts.drop("at")).collect()) == sorted(want)
+    empty = spark.createDataFrame([(1, "pdf", ""), (4, "pdf", "")], "case_id long, source string, needle string")
+    assert [x["case_id"] for x in M.present(empty, texts.drop("at")).collect()] == [1]
+
+
+def test_needles_travel_to_blocks_that_can_hold_them(spark, monkeypatch):
+    """One case twice as large, in needles and in texts, shuffles twice the rows."""
+    monkeypatch.setattr(M, "TEXTS", 20)
+    shuffled = []
+    by_group = M.by_group
+    monkeypatch.setattr(M, "by_group", lambda df, *x, **y: (shuffled.append(df), by_group(df, *x, **y))[1])
+
+    def rows(n):
+        texts = spark.range(n).select(F.lit(1).alias("case_id"), F.lit("pdf").alias("source"), F.concat(F.lit("the common words, "), F.sha2(F.col("id").cast("string"), 256)).alias("text"))
+        some = spark.range(n).select(F.lit(1).alias("case_id"), F.lit("pdf").alias("source"), F.explode(F.array(F.substring(F.sha2(F.col("id").cast("string"), 256), 5, 12), F.concat(F.lit("absent "), F.col("id").cast("string")))).alias("needle"))
+        common = spark.createDataFrame([(1, "pdf", x) for x in ("the", "common", "words, ")], "case_id int, source string, needle string")
+        shuffled.clear()
+        assert M.present(some.unionByName(common), texts).count() == n + 3
+        return sum(x.count() for x in shuffled)
+
+    small, large = rows(600), rows(1200)
+    assert small < 600 * 8 and large < 2.3 * small
 
 
 def test_sheets_keep_their_rows_apart(spark):
