@@ -145,3 +145,22 @@ def test_a_cluster_needs_a_shared_folder(spark):
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         with pytest.raises(ValueError):
             staging.shared_folder(Away)
+
+
+def test_one_order_over_many_tasks(spark):
+    rng = random.Random(8)
+    rows = [(1 if k % 3 else rng.randint(2, 9), k, float(rng.randint(0, 5)), rng.random()) for k in range(500)]  # case 1 has two thirds
+    df = spark.createDataFrame(rows, "case_id long, claim_id long, priority double, score_overall double").repartition(5)
+    got = [(x["case_id"], x["claim_id"]) for x in V.whole_queue(df).orderBy("place").collect()]
+    want = [(c, k) for p, c, k in sorted((p, c, k) for c, k, p, _ in rows)]
+    assert got == want and {x["place"] for x in V.whole_queue(df).collect()} == set(range(1, 501))
+    own = {(x["case_id"], x["claim_id"]): x["place"] for x in V.review_queue(df, "score_desc").collect()}
+    for case in {c for c, *_ in rows}:
+        assert [own[case, k] for k, _ in sorted(((k, s) for c, k, _, s in rows if c == case), key=lambda x: (-x[1], x[0]))] == list(range(1, sum(c == case for c, *_ in rows) + 1))
+    pages, after = [], None
+    while part := V.queue_page(df, size=64, after=after).collect():
+        pages += part
+        after = (part[-1]["queue_key"], part[-1]["case_id"], part[-1]["claim_id"])
+    assert [(x["case_id"], x["claim_id"]) for x in pages] == want
+    assert "TakeOrdered" in V.queue_page(df)._jdf.queryExecution().executedPlan().toString()
+    assert V.whole_queue(df.limit(0)).count() == 0

@@ -284,3 +284,8 @@ ORACLES["verify_orders"] = f"""WITH {_VERIFIED} SELECT case_id, claim_id, {_stat
  len(ns) AS num_total, len(matched) AS pdf_num_matched, len(x.matched) AS xlsx_num_matched, len(missing) AS num_missing_all, {_bar('ns')} AS numbers_in_claim, {_bar('matched')} AS matched_numbers_pdf, {_bar('x.matched')} AS matched_numbers_xlsx, {_bar('missing')} AS missing_numbers_all, CAST(doubt AS BIGINT) AS num_conflict_pdf, CAST(x.doubt AS BIGINT) AS num_conflict_xlsx, claim AS claim_text,
  place AS pdf_top_page, CAST(0 AS BIGINT) AS pdf_top_chunk, round(sim, 6) AS pdf_top_score, replace(evidence, chr(10), ' ') AS pdf_top_snippet, x.place AS xlsx_top_row, CAST(0 AS BIGINT) AS xlsx_top_chunk, round(x.sim, 6) AS xlsx_top_score, '[sales.xlsx] row ' || x.place || ': ' || x.evidence AS xlsx_top_snippet FROM vo"""
 ORACLES["verify_indexed"] = ORACLES["verify_orders"]
+ORACLES["whole_queue"] = f"WITH {_REVIEW} SELECT case_id, claim_id, row_number() OVER (ORDER BY score DESC, case_id, claim_id) AS place FROM rv"
+_KEYED = "k AS (SELECT case_id, claim_id, round(CAST(priority AS DOUBLE), 9) AS queue_key FROM rv)"
+ORACLES["queue_page"] = f"""WITH {_REVIEW}, {_KEYED}, f AS (SELECT * FROM k WHERE case_id = 7 ORDER BY queue_key, claim_id LIMIT 1)
+SELECT k.* FROM k, f WHERE (k.queue_key, k.case_id, k.claim_id) > (f.queue_key, f.case_id, f.claim_id) ORDER BY k.queue_key, k.case_id, k.claim_id LIMIT 40"""
+ORACLES["grade_counts"] = f"SELECT grade, count(*) AS cases FROM ({ORACLES['review_scores']}) GROUP BY grade"

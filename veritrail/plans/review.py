@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veritrail import rules
 from veritrail.functions.numbers import digits_only
 from veritrail.functions.text import col
+from veritrail.operators.order import numbered, numbered_within, page
 
 #: Tags that call for attention, and the severe ones; further down the actions and reasons as they are shown.
 ATTENTION = ["NUM_MISSING", "BIG_NUM_MISSING", "DIR_CONFLICT", "UNIT_MISMATCH", "NUM_CONFLICT"]
@@ -200,10 +201,30 @@ def filter_results(rows: DataFrame, query: str = "", ids: str = "", status: str
     return rows.where(_has(risk)) if risk != "ALL" else rows
 
 
+def _queued(rows: DataFrame, by: str) -> DataFrame:
+    """The rows with the key that a queue is in ascending order of."""
+    key = {"priority": F.col("priority"), "id_asc": F.col("claim_id"), "score_desc": -F.col("score_overall"), "score_asc": F.col("score_overall")}[by]
+    return rows.withColumn("queue_key", key)
+
+
 def review_queue(rows: DataFrame, by: str = "priority") -> DataFrame:
-    """Each case's rows with their place in its queue; equal ones by claim."""
-    key = {"priority": F.asc("priority"), "id_asc": F.asc("claim_id"), "score_desc": F.desc("score_overall"), "score_asc": F.asc("score_overall")}[by]
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("case_id").orderBy(key, "claim_id")))
+    """Each case's rows with their place in its queue; equal ones by claim. A case's rows may be in many tasks."""
+    return numbered_within(_queued(rows, by), "case_id", ["queue_key", "claim_id"]).drop("queue_key")
+
+
+def whole_queue(rows: DataFrame, by: str = "priority") -> DataFrame:
+    """All rows with their place in one queue over all cases; equal ones by case and claim."""
+    return numbered(_queued(rows, by), ["queue_key", "case_id", "claim_id"])
+
+
+def queue_page(rows: DataFrame, by: str = "priority", size: int = 50, after: tuple | None = None) -> DataFrame:
+    """A page of the queue over all cases, in order. after: queue_key, case_id, claim_id of the last row of the page before."""
+    return page(_queued(rows, by), ["queue_key", "case_id", "claim_id"], size, after)
+
+
+def grade_counts(scores: DataFrame) -> DataFrame:
+    """grade, cases: how many cases have each grade. scores: quality_score."""
+    return scores.groupBy(report_grade("quality_score").alias("grade")).agg(F.count("*").alias("cases"))
 
 
 def review_export(rows: DataFrame) -> DataFrame:

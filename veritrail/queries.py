@@ -273,8 +273,28 @@ def review_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("case_id", "total", "reviewed", "audit_risk", "required_undecided", *[F.round(k, 4).alias(k) for k in ("weight_sum", "quality_score", "completion", "edit_share", "mismatch_share", "delete_share")], "grade")
 
 
+def queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviewed(spark, sf_dir).select("case_id", "claim_id", "score_overall", F.round("priority", 9).alias("priority"))
+
+
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.review_queue(reviewed(spark, sf_dir).withColumn("priority", F.round("priority", 9))).select("case_id", "claim_id", F.col("place").cast("long").alias("place"))
+    return V.review_queue(queued(spark, sf_dir)).select("case_id", "claim_id", F.col("place").cast("long").alias("place"))
+
+
+def whole_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cases' claims in one order, by score from the highest."""
+    return V.whole_queue(queued(spark, sf_dir), "score_desc").select("case_id", "claim_id", "place")
+
+
+def queue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue's page of 40 claims after the most urgent one of case 7."""
+    rows = queued(spark, sf_dir)
+    last = rows.where("case_id = 7").orderBy("priority", "claim_id").select("priority", "case_id", "claim_id").head()
+    return V.queue_page(rows, size=40, after=tuple(last)).select("case_id", "claim_id", F.col("priority").alias("queue_key"))
+
+
+def grade_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.grade_counts(V.review_scores(reviewed(spark, sf_dir)).withColumn("quality_score", F.round("quality_score", 9)))
 
 
 def kpi_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,5 +426,5 @@ QUERIES = {
     "index_pages": index_documents, "split_claims": split_claims, "char_tfidf": char_tfidf, "topk_evidence": topk_evidence, "best_evidence": best_evidence, "word_idf": word_idf,
     "number_presence": number_presence, "amount_match": amount_match, "sheet_rows": sheet_rows, "sheet_amounts": sheet_amounts, "json_text_rows": json_text_rows, "clean_pages": clean_pages,
     "segment_blocks": segment_blocks, "locate_claims": locate_claims, "highlights": highlights, "evidence_payload": evidence_payload,
-    "final_score": final_score, "decide_status": decide_status, "review_rows": review_rows, "review_kpis": review_kpis, "review_scores": review_scores, "review_queue": review_queue, "kpi_drilldown": kpi_drilldown, "filter_results": filter_results, "review_export": review_export,
+    "final_score": final_score, "decide_status": decide_status, "review_rows": review_rows, "review_kpis": review_kpis, "review_scores": review_scores, "review_queue": review_queue, "whole_queue": whole_queue, "queue_page": queue_page, "grade_counts": grade_counts, "kpi_drilldown": kpi_drilldown, "filter_results": filter_results, "review_export": review_export,
 }
