@@ -289,3 +289,7 @@ _KEYED = "k AS (SELECT case_id, claim_id, round(CAST(priority AS DOUBLE), 9) AS
 ORACLES["queue_page"] = f"""WITH {_REVIEW}, {_KEYED}, f AS (SELECT * FROM k WHERE case_id = 7 ORDER BY queue_key, claim_id LIMIT 1)
 SELECT k.* FROM k, f WHERE (k.queue_key, k.case_id, k.claim_id) > (f.queue_key, f.case_id, f.claim_id) ORDER BY k.queue_key, k.case_id, k.claim_id LIMIT 40"""
 ORACLES["grade_counts"] = f"SELECT grade, count(*) AS cases FROM ({ORACLES['review_scores']}) GROUP BY grade"
+ORACLES["report_files"] = f"SELECT case_id, claim_id, count(*) OVER (PARTITION BY case_id) AS total_claims, raw_status_overall, best_score_overall, numbers_in_claim, missing_numbers_all, pdf_top_snippet FROM ({ORACLES['verify_orders']})"
+ORACLES["report_csv"] = f"SELECT case_id, claim_id, claim_text, status_overall, num_total, pdf_num_matched, best_score_pdf FROM ({ORACLES['verify_orders']})"
+_TOLD = _norm("('매출％ ' || coalesce(text, ''))")
+ORACLES["read_reports"] = f"SELECT doc_id, CAST(length({_TOLD}) AS BIGINT) AS n, md5({_TOLD}) AS md5, true AS good FROM documents"

@@ -5,12 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritrail.functions import numbers as N, scoring as S, text as T
 from veritrail.operators import blocks as B, claims as C, index as I, match as M, retrieve as R
 from veritrail.plans import payload as O, review as V, verify as P
 from veritrail.sources import tables as X
+from veritrail.sources.encoded import read_encoded
+from veritrail.sources.objects import write_objects
 from veritrail.sources.staging import shared_folder, staged
 
 
@@ -358,6 +361,53 @@ def verify_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report_columns(P.verify_against(order_sources(spark, sf_dir)[0], orders_index(spark, sf_dir), top_k=1))
 
 
+def _own_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verify_orders()' results written as one JSON object for each case, and read back."""
+    path = _own_folder(spark, "reports")
+    O.write_reports_json(order_results(spark, sf_dir), path)
+    record = "claim_id: int, status_overall: string, best_score: double, numbers_in_claim: array<string>, missing_numbers_all: array<string>, evidence: array<struct<snippet: string>>"
+    held = spark.read.option("recursiveFileLookup", True).text(f"{path}/*", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).cast("long").alias("case_id"), F.from_json("value", f"total_claims long, results array<struct<{record}>>").alias("r"))
+    rows = held.select("case_id", "r.total_claims", F.inline("r.results"))
+    return rows.select("case_id", F.col("claim_id").cast("long").alias("claim_id"), "total_claims", F.col("status_overall").alias("raw_status_overall"), F.round("best_score", 6).alias("best_score_overall"), F.array_join("numbers_in_claim", " | ").alias("numbers_in_claim"), F.array_join("missing_numbers_all", " | ").alias("missing_numbers_all"), F.get("evidence.snippet", F.lit(0)).alias("pdf_top_snippet"))
+
+
+def report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as one CSV file for each case, and read back."""
+    path = _own_folder(spark, "reports")
+    O.write_reports_csv(order_results(spark, sf_dir), path)
+    kinds = {"num_total": "long", "pdf_num_matched": "long", "best_score_pdf": "double"}
+    held = spark.read.option("recursiveFileLookup", True).option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/*")
+    return held.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).cast("long").alias("case_id"), F.col("claim_id").cast("long").alias("claim_id"), "claim_text", "status_overall", *[F.round(F.col(k).cast(v), 6).alias(k) if v == "double" else F.col(k).cast(v).alias(k) for k, v in kinds.items()])
+
+
+def read_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, after a word that needs it, written as a file each in seven encodings (with a byte order mark, UTF-8, two of Hangul where they have the text's letters, three of UTF-16), and read back."""
+    path = _own_folder(spark, "texts")
+
+    @F.pandas_udf("binary")
+    def encoded_as(text: pd.Series, kind: pd.Series) -> pd.Series:
+        names = ("utf-8-sig", "utf-8", "cp949", "euc-kr", "utf-16", "utf-16-le", "utf-16-be")
+        of = lambda x, k: (b"\xfe\xff" if k == 6 else b"") + x.encode(names[k])
+
+        def any_of(x: str, k: int) -> bytes:
+            try:
+                return of(x, k)
+            except UnicodeEncodeError:
+                return of(x, 1)
+
+        return pd.Series([any_of(x, k) for x, k in zip(text, kind, strict=True)])
+
+    told = F.concat(F.lit("매출％ "), F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("kind"), encoded_as(told, (F.col("doc_id") % 7).cast("int")).alias("piece"))
+    write_objects(rows, path, "doc_id", [], ".md")
+    held = read_encoded(spark, path)
+    return held.select(F.regexp_extract("path", r"([^/]+)\.md$", 1).cast("long").alias("doc_id"), F.length("text").cast("long").alias("n"), F.md5("text").alias("md5"), F.col("error").isNull().alias("good"))
+
+
 def segment_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = B.segment_blocks(line_reports(spark, sf_dir).select(F.struct("kind", F.col("case_id").alias("id")).alias("case_id"), "text"))
     return found.select("case_id.kind", F.col("case_id.id").alias("case_id"), F.col("block_id").cast("long").alias("block_id"), F.col("kind").alias("block_kind"), F.size("rows").cast("long").alias("n_rows"), F.md5("text").alias("md5"))
@@ -403,7 +453,7 @@ def unique_keep_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _joined = lambda c, name: F.array_join(c, "|").alias(name)
 QUERIES = {
     "verify_cases": verify_cases,
-    "verify_orders": verify_orders, "verify_indexed": verify_indexed,
+    "verify_orders": verify_orders, "verify_indexed": verify_indexed, "report_files": report_files, "report_csv": report_csv, "read_reports": read_reports,
     "normalize_invisibles": of_texts("normalize_invisibles", lambda: [F.md5(T.normalize_invisibles("text")).alias("md5")]),
     "norm_for_match": of_texts("norm_for_match", lambda: [F.md5(T.norm_for_match("text")).alias("md5")]),
     "word_tokens": of_texts("word_tokens", lambda: [F.size(T.word_tokens("text")).cast("long").alias("n"), F.md5(F.array_join(T.word_tokens("text"), "|")).alias("md5")]),
