@@ -7,8 +7,9 @@ from pyspark.sql import Column, functions as F
 from veritrail import rules
 from veritrail.functions.text import col, normalize_invisibles, once, trimmed, unique_keep_order
 
-#: A number with its unit as it is found in text, and as it is taken apart.
-NUMBER = r"(?:(?:\d{1,3}(?:,\d{3})+)|\d+)(?:\.\d+)?(?:\s?(?:%|배|개월|년|원|백만원|억원|%p|p))?"
+#: Units of numbers, a number with its unit as it is found in text, and as it is taken apart.
+NUMBER_UNITS = ("%", "배", "개월", "년", "원", "백만원", "억원", "%p", "p")
+NUMBER = rf"(?:(?:\d{{1,3}}(?:,\d{{3}})+)|\d+)(?:\.\d+)?(?:\s?(?:{'|'.join(NUMBER_UNITS)}))?"
 TOKEN = r"^([0-9][0-9,]*(?:\.[0-9]+)?)(.*)$"
 
 
@@ -53,6 +54,12 @@ def extract_units(c: Column | str) -> Column:
     return once(normalize_invisibles(c), lambda text: F.filter(F.array(*map(F.lit, rules.UNITS)), lambda u: F.contains(text, u)))
 
 
+def metric_spellings(c: Column | str) -> Column:
+    """All spellings, in lower case, of the metrics that a text names."""
+    known = F.array(*[F.array(*[F.lit(x.lower()) for x in syns]) for syns in rules.METRICS.values()])
+    return once(F.lower(F.coalesce(col(c), F.lit(""))), lambda text: F.flatten(F.filter(known, lambda syns: F.exists(syns, lambda x: F.contains(text, x)))))
+
+
 def extract_metrics(c: Column | str) -> Column:
     known = F.array(*[F.struct(F.lit(canon).alias("canon"), F.array(*[F.lit(x.lower()) for x in syns]).alias("syns")) for canon, syns in rules.METRICS.items()])
     return once(F.lower(F.coalesce(col(c), F.lit(""))), lambda text: F.transform(F.filter(known, lambda m: F.exists(m["syns"], lambda x: F.contains(text, x))), lambda m: m["canon"]))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 from veritrail import rules
-from veritrail.functions.numbers import extract_metrics, extract_numbers, extract_units, extract_years, match_numbers_in_text
+from veritrail.functions.numbers import NUMBER_UNITS, extract_numbers, extract_units, extract_years, match_numbers_in_text, metric_spellings, number_variants
 from veritrail.functions.text import col, norm_for_match, normalize_invisibles, once, split_sentences
 
 
@@ -44,51 +41,75 @@ def direction_score(claim: Column | str, evidence: Column | str) -> Column:
     return _both(claim, evidence, rated)
 
 
+def _rung(h: Column) -> Column:
+    return F.when(h["m"] & h["n"], F.when(h["y"] & h["u"], 1.0).when(h["y"] | h["u"], 0.85).otherwise(0.65)).when(h["m"] & (h["y"] | h["u"]), 0.45).when(h["m"] | h["n"], 0.20).otherwise(0.0)
+
+
+def _facts(asked: Column, text: Column) -> Column:
+    """What of the asked facts a text has: m, y, u; e: asked numbers that are extracted from it, v: those of which it has a spelling."""
+    some = lambda wanted, test: (F.size(wanted) == 0) | test
+    plain = once(normalize_invisibles(text), lambda t: F.exists(asked["u"], lambda u: F.contains(t, u)))
+    low = once(F.lower(text), lambda t: F.exists(asked["m"], lambda x: F.contains(t, x)))
+    spelled = once(norm_for_match(text), lambda t: F.filter(asked["n"], lambda n: F.exists(n["v"], lambda v: F.contains(t, v))))
+    return F.struct(low.alias("m"), some(asked["y"], F.arrays_overlap(extract_years(text), asked["y"])).alias("y"), some(asked["u"], plain).alias("u"), F.array_intersect(extract_numbers(text), asked["n"]["t"]).alias("e"), F.transform(spelled, lambda n: n["t"]).alias("v"))
+
+
 def fact_block(claim: Column | str, evidence: Column | str, window: int = 3) -> Column:
-    """How much of a claim's metric, number, year and unit stands within a few sentences of the evidence, at best."""
-    told = F.struct(extract_metrics(claim).alias("m"), match_numbers_in_text(extract_numbers(claim), norm_for_match(claim)).alias("n"), extract_years(claim).alias("y"), extract_units(claim).alias("u"))
+    """How much of a claim's metric, number, year and unit stands within a few sentences of the evidence, at best.
 
-    def rated(asked: Column, w: Column) -> Column:
-        held = F.struct(
-            F.arrays_overlap(extract_metrics(w), asked["m"]).alias("m"), F.arrays_overlap(match_numbers_in_text(extract_numbers(w), norm_for_match(w)), asked["n"]).alias("n"),
-            ((F.size(asked["y"]) == 0) | F.arrays_overlap(extract_years(w), asked["y"])).alias("y"), ((F.size(asked["u"]) == 0) | F.arrays_overlap(extract_units(w), asked["u"])).alias("u"),
-        )
-        return once(held, lambda h: F.when(h["m"] & h["n"], F.when(h["y"] & h["u"], 1.0).when(h["y"] | h["u"], 0.85).otherwise(0.65)).when(h["m"] & (h["y"] | h["u"]), 0.45).when(h["m"] | h["n"], 0.20).otherwise(0.0))
+    Facts are looked for once in each sentence, and a window has what its sentences have: no metric, spelling, unit or year goes over the space between two. A number may take its unit from the next sentence; where one could, windows are searched as whole texts.
+    """
+    numbers = match_numbers_in_text(extract_numbers(claim), norm_for_match(claim))
+    told = F.struct(metric_spellings(claim).alias("m"), F.transform(numbers, lambda n: F.struct(n.alias("t"), number_variants(n).alias("v"))).alias("n"), extract_years(claim).alias("y"), extract_units(claim).alias("u"))
+    starts = lambda s: F.when(F.size(s) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))))
+    joined = lambda f: F.struct(F.exists(f, lambda x: x["m"]).alias("m"), F.exists(f, lambda x: x["y"]).alias("y"), F.exists(f, lambda x: x["u"]).alias("u"), F.arrays_overlap(F.flatten(f["e"]), F.flatten(f["v"])).alias("n"))
 
     def best(asked: Column) -> Column:
-        windows = lambda s: F.when(F.size(s) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1))), lambda i: F.array_join(F.slice(s, i, F.lit(window)), " ")))
-        top = once(split_sentences(evidence), lambda s: F.array_max(F.transform(windows(s), lambda w: rated(asked, w))))
+        by_sentence = lambda s: once(F.transform(s, lambda x: _facts(asked, x)), lambda f: F.array_max(F.transform(starts(s), lambda i: once(joined(F.slice(f, i, F.lit(window))), _rung))))
+        by_text = lambda s: F.array_max(F.transform(starts(s), lambda i: once(joined(F.array(_facts(asked, F.array_join(F.slice(s, i, F.lit(window)), " ")))), _rung)))
+        units, other = "|".join((*NUMBER_UNITS, "％")), "[^0-9A-Za-z가-힣%％]*"
+        meets = lambda s: F.exists(F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), lambda a, b: a.rlike(f"[0-9]{other}$") & b.rlike(f"^{other}(?:{units})")), lambda x: F.coalesce(x, F.lit(False)))
+        top = once(split_sentences(evidence), lambda s: F.when(meets(s), by_text(s)).otherwise(by_sentence(s)))
         return F.when((F.size(asked["m"]) == 0) | (F.size(asked["n"]) == 0), 0.0).otherwise(F.coalesce(top, F.lit(0.0)))
 
     return once(told, best)
 
 
-@F.pandas_udf(DoubleType())
-def _near(claims: pd.Series, evidence: pd.Series, numbers: pd.Series, variants: pd.Series) -> pd.Series:
-    """Share of (indicator, nearest number) pairs of a claim that stand within 40 characters of each other in the evidence."""
-    out = []
-    for c, e, nums, spellings in zip(claims, evidence, numbers, variants, strict=True):
-        if not e:
-            out.append(0.0 if len(nums) else 0.5)
-            continue
-        bare = c.replace(" ", "")
-        at = [(bare.find(n.replace(" ", "")), k) for k, n in enumerate(nums)]
-        at = [x for x in at if x[0] >= 0]
-        pairs = set()
-        for word in rules.INDICATORS:
-            place = c.find(word)
-            if place >= 0 and at:
-                far, _, k = min((abs(p - place), i, k) for i, (p, k) in enumerate(at))
-                if far <= 80:
-                    pairs.add((word, k))
-        near = sum(any(v and v in e[max(0, m.start() - 40) : m.end() + 40] for m in re.finditer(re.escape(w), e) for v in spellings[k]) for w, k in pairs)
-        out.append(near / len(pairs) if pairs else 0.5)
-    return pd.Series(out)
+#: Characters between an indicator and its number in a claim, and around an indicator in evidence.
+PAIR, AROUND = 80, 40
+
+
+def _occurrences(text: Column, word: Column) -> Column:
+    """Where a word begins in a text, from 0, each after the end of the one before."""
+    pieces = F.split(text, F.concat(F.lit("\\Q"), word, F.lit("\\E")), -1)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x) + F.length(word)).alias("at"), F.concat(acc["found"], F.array(acc["at"] + F.length(x))).alias("found"))
+    return once(pieces, lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), none, step, lambda acc: acc["found"]))
 
 
 def proximity(claim: Column | str, evidence: Column | str, numbers: Column | str, spellings: Column | str) -> Column:
-    """spellings: number_variants() of each of the numbers, as a column of a table."""
-    return _near(normalize_invisibles(claim), F.coalesce(normalize_invisibles(evidence), F.lit("")), col(numbers), col(spellings))
+    """Share of a claim's (indicator, nearest number) pairs of which the evidence has a spelling of the number about the indicator. spellings: number_variants() of each of the numbers, as a column of a table.
+
+    Places of the indicators that the claim has, and of its numbers, make the pairs; only spellings that the evidence has at all are looked for in the windows around an indicator there.
+    """
+    bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+
+    def paired(x: Column) -> Column:
+        placed = once(bare(x["c"]), lambda c: F.filter(F.transform(x["n"], lambda n, k: F.struct(F.position(bare(n), c).alias("p"), k.alias("k"))), lambda a: a["p"] > 0))
+        nearest = lambda w, at: F.array_min(F.transform(at, lambda a: F.struct(F.abs(a["p"] - F.position(w, x["c"])).alias("far"), a["k"].alias("k"))))
+        own = F.filter(F.array(*map(F.lit, rules.INDICATORS)), lambda w: F.contains(x["c"], w))
+        return F.filter(once(placed, lambda at: F.transform(own, lambda w: F.struct(w.alias("w"), nearest(w, at).alias("at")))), lambda p: p["at"]["far"] <= PAIR)
+
+    def held(x: Column, p: Column) -> Column:
+        spelled = F.filter(F.get(x["s"], p["at"]["k"]), lambda v: (v != "") & F.contains(x["e"], v))
+        first = lambda at: F.greatest(at - AROUND, F.lit(0))
+        around = lambda at: F.substring(x["e"], first(at) + 1, at + F.length(p["w"]) + AROUND - first(at))
+        about = lambda vs: F.exists(_occurrences(x["e"], p["w"]), lambda at: once(around(at), lambda text: F.exists(vs, lambda v: F.contains(text, v))))
+        return F.contains(x["e"], p["w"]) & once(spelled, lambda vs: F.when(F.size(vs) > 0, about(vs)).otherwise(False))
+
+    share = lambda x: once(paired(x), lambda pairs: F.when(F.size(pairs) == 0, 0.5).otherwise(F.size(F.filter(pairs, lambda p: held(x, p))) / F.greatest(F.size(pairs), F.lit(1))))
+    all_ = F.struct(normalize_invisibles(claim).alias("c"), F.coalesce(normalize_invisibles(evidence), F.lit("")).alias("e"), col(numbers).alias("n"), col(spellings).alias("s"))
+    return once(all_, lambda x: F.when(x["e"] == "", F.when(F.size(x["n"]) > 0, 0.0).otherwise(0.5)).otherwise(share(x)))
 
 
 def final_score(sim: Column, coverage: Column, block: Column, near: Column, big: Column, unit: Column, direction: Column, conflict: Column, has_numbers: Column) -> Column:

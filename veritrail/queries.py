@@ -14,11 +14,16 @@ from veritrail.plans import payload as O, review as V, verify as P
 from veritrail.sources import tables as X
 from veritrail.sources.encoded import read_encoded
 from veritrail.sources.objects import write_objects
-from veritrail.sources.staging import shared_folder, staged
+from veritrail.sources.staging import shared_folder, spread, staged
+
+
+#: Tables whose rows have work in them: texts, and what reports are made from.
+WORK = ("conversations", "documents", "orders", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in WORK else scan
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

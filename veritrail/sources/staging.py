@@ -25,3 +25,9 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt out over all cores if its files have fewer parts than those, as one small file has. A large table has more, and stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
