@@ -293,3 +293,4 @@ ORACLES["report_files"] = f"SELECT case_id, claim_id, count(*) OVER (PARTITION B
 ORACLES["report_csv"] = f"SELECT case_id, claim_id, claim_text, status_overall, num_total, pdf_num_matched, best_score_pdf FROM ({ORACLES['verify_orders']})"
 _TOLD = _norm("('매출％ ' || coalesce(text, ''))")
 ORACLES["read_reports"] = f"SELECT doc_id, CAST(length({_TOLD}) AS BIGINT) AS n, md5({_TOLD}) AS md5, true AS good FROM documents"
+ORACLES["running_decisions"] = f"WITH {_REVIEW} SELECT DISTINCT case_id, claim_id, decision, note, CAST(CASE WHEN claim_id % 7 = 0 THEN 2000 ELSE 1000 END AS BIGINT) AS updated_at FROM rv"

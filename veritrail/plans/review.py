@@ -119,8 +119,8 @@ def alignment_mismatch() -> Column:
 
 
 def latest_decision(decisions: DataFrame) -> DataFrame:
-    """decisions: case_id, claim_id, decision, note, updated_at. The last of each claim."""
-    order = Window.partitionBy("case_id", "claim_id").orderBy(F.desc("updated_at"), "decision")
+    """decisions: case_id, claim_id, decision, note, updated_at. The last of each claim; of several at one time the first by decision and note."""
+    order = Window.partitionBy("case_id", "claim_id").orderBy(F.desc("updated_at"), "decision", "note")
     return decisions.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veritrail.functions import numbers as N, scoring as S, text as T
 from veritrail.operators import blocks as B, claims as C, index as I, match as M, retrieve as R
-from veritrail.plans import payload as O, review as V, verify as P
+from veritrail.plans import decisions as D, payload as O, review as V, verify as P
 from veritrail.sources import tables as X
 from veritrail.sources.encoded import read_encoded
 from veritrail.sources.objects import write_objects
@@ -264,6 +264,17 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(again)
 
 
+def running_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in files whose order has nothing to do with time, read as a stream of as many batches into the running table."""
+    log, folder = decisions(spark, sf_dir), _own_folder(spark, "decisions")
+    for k in range(4):
+        log.where(F.pmod(F.xxhash64("case_id", "claim_id", "note"), F.lit(4)) == k).coalesce(1).write.parquet(f"{folder}/log/{k}")
+    kept = D.DecisionTable(spark, f"{folder}/table")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/log")
+    kept.follow(stream, f"{folder}/checkpoint").awaitTermination()
+    return kept.current().select("case_id", "claim_id", "decision", "note", F.unix_timestamp("updated_at").alias("updated_at"))
+
+
 def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.reviewed(results(spark, sf_dir), decisions(spark, sf_dir))
 
@@ -481,5 +492,5 @@ QUERIES = {
     "index_pages": index_documents, "split_claims": split_claims, "char_tfidf": char_tfidf, "topk_evidence": topk_evidence, "best_evidence": best_evidence, "word_idf": word_idf,
     "number_presence": number_presence, "amount_match": amount_match, "sheet_rows": sheet_rows, "sheet_amounts": sheet_amounts, "json_text_rows": json_text_rows, "clean_pages": clean_pages,
     "segment_blocks": segment_blocks, "locate_claims": locate_claims, "highlights": highlights, "evidence_payload": evidence_payload,
-    "final_score": final_score, "decide_status": decide_status, "review_rows": review_rows, "review_kpis": review_kpis, "review_scores": review_scores, "review_queue": review_queue, "whole_queue": whole_queue, "queue_page": queue_page, "grade_counts": grade_counts, "kpi_drilldown": kpi_drilldown, "filter_results": filter_results, "review_export": review_export,
+    "final_score": final_score, "decide_status": decide_status, "review_rows": review_rows, "review_kpis": review_kpis, "review_scores": review_scores, "running_decisions": running_decisions, "review_queue": review_queue, "whole_queue": whole_queue, "queue_page": queue_page, "grade_counts": grade_counts, "kpi_drilldown": kpi_drilldown, "filter_results": filter_results, "review_export": review_export,
 }

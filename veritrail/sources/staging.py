@@ -31,3 +31,10 @@ def spread(scan: DataFrame) -> DataFrame:
     """The rows of a scan, dealt out over all cores if its files have fewer parts than those, as one small file has. A large table has more, and stays as it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def versions(spark: SparkSession, folder: str) -> set[int]:
+    """The versions of a table that have been written whole: folder/version=N."""
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(done)
+    return {int(str(x.getPath().getParent().getName()).partition("=")[2]) for x in found or ()}
