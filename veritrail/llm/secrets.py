@@ -6,10 +6,14 @@ runs of each are candidates, and may overlap. A candidate's encoding is inferred
 base 64) and three tests ask whether it could be random in that alphabet: chi-squared
 uniformity of the characters, Wald-Wolfowitz runs about the alphabet's middle, and serial correlation at lag one. The
 three probabilities are combined by Fisher's method. How long a run must be for this to tell it from words is settled
-by false-discovery control: every run has a decoy, words of the text before it run together to the same length and
-tested alike; over all documents, by encoding and length, the share of decoys that reach a level estimates the false
-discoveries there, and the lowest level whose estimate is within FALSE is the threshold for runs of that encoding and
-length. A class without such a level, short runs most of all, has no discoveries.
+by false-discovery control: a run has a decoy, words of the text before it run together to the same length and
+tested alike, or of the text after it where there are too few before; over all documents, by encoding and length, the
+share of decoys that reach a level, taken for all runs of the class, estimates the false discoveries there, and the
+lowest level whose estimate is within FALSE is the threshold for runs of that encoding and length. Decoys of runs up to
+a third shorter count with a class's own, since words look random the more easily the shorter they are; where they are
+fewer than a tenth of the runs, so do those of all shorter runs, and at last of other encodings. Beyond the highest decoy
+the estimate falls as the decoys' upper tenth does. A class without enough decoys even so, or without such a level, short
+runs most of all, has no discoveries.
 
 Null and empty texts have no spans, and so has every row of an empty table. Repeated rows get a row each, rows without a
 doc_id too. Texts of any length are scanned whole, in one pass. Spans that start together are listed by kind, and two
@@ -116,6 +120,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def beside(data: bytes, start: int, end: int, n: int) -> np.ndarray:
+    """The n letters and digits next before a place, or next after it where there are fewer before; as many as there are where both are too few."""
+    letters = lambda part: (x := np.frombuffer(part, np.uint8))[CODES["alnum"][x] >= 0]
+    words = np.zeros(0, np.uint8)
+    for a, b, last in ((max(0, start - 8 * n), start, True), (0, start, True), (end, end + 8 * n, False), (end, len(data), False)):
+        if len(words) < n:
+            found = letters(data[a:b])
+            words = found[-n:] if last else found[:n]
+    return words
+
+
 def candidates(text: str | None) -> list[tuple]:
     """SPANS of one text: the known forms (no level), and the tested runs with their level and their decoy's."""
     if not text:
@@ -130,8 +145,7 @@ def candidates(text: str | None) -> list[tuple]:
         out += [(2, a + h.start(), a + h.end(), None, None, None, None) for h in HEX.finditer(run.decode())]
         for start, end, kind in cores(run):
             codes, k, n = CODES[kind], len(ALPHABETS[kind]), end - start
-            before = np.frombuffer(data[max(0, m.start() - 8 * n) : m.start()], np.uint8)
-            words = before[CODES["alnum"][before] >= 0][-n:]
+            words = beside(data, m.start(), m.end(), n)
             fake = (CODES[kind][words] if (CODES[kind][words] >= 0).all() else words.astype(np.int64) % k) if len(words) == n else None
             out.append((3, a + start, a + end, kind, n, level(randomness(codes[np.frombuffer(run[start:end], np.uint8)], k)), None if fake is None else level(randomness(fake, k))))
     return out
@@ -146,24 +160,50 @@ def tested(text: Column) -> Column:
     return F.pandas_udf(run, SPANS)(text)
 
 
-def thresholds(found: DataFrame, false: float = FALSE) -> DataFrame:
-    """(encoding, length, least): the lowest level of each class whose estimated share of false discoveries is within the bound."""
+#: The least share of a class's runs that must have decoys, and how many classes of length down they are counted with.
+ENOUGH, NEAR = 0.1, 4
+
+
+def expected(runs: int, fakes: np.ndarray) -> np.ndarray:
+    """Of so many runs how many words would be among those that reach each level. fakes: decoys by level. Beside the counted ones a decoy is doubted, in full up to the highest that was seen, and from there on falling as the upper tenth of the decoys falls."""
+    n = fakes.sum()
+    above = np.cumsum(fakes[::-1])[::-1]
+    upper = int(np.flatnonzero(above >= 0.1 * n)[-1])  # the level that a tenth of the decoys reach
+    levels = np.arange(LEVELS)
+    top = int(np.flatnonzero(fakes)[-1])
+    scale = 1.0 + float((fakes * np.maximum(levels - upper, 0)).sum() / above[upper])
+    return runs * (above / n + np.exp(-np.maximum(levels - top, 0) / scale) / (n + 1))
+
+
+def thresholds(found: DataFrame, false: float = FALSE) -> dict[tuple[str, int], int]:
+    """By encoding and class of length the lowest level whose estimated share of false discoveries is within the bound. What comes to the driver are counts by encoding, class and level: at most some 60,000 rows, however many runs there are."""
     each = found.select(F.explode("spans").alias("s")).where("s.kind = 3").select("s.encoding", length_class(F.col("s.size")).alias("length"), "s.level", "s.decoy")
-    seen = each.groupBy("encoding", "length", "level").agg(F.count("*").alias("n"))
-    fakes = each.where("decoy is not null").groupBy("encoding", "length", F.col("decoy").alias("level")).agg(F.count("*").alias("m"))
-    # At most encodings x lengths x levels rows from here on.
-    grid = seen.select("encoding", "length").distinct().withColumn("least", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-    above = grid.join(seen, ["encoding", "length"]).where("level >= least").groupBy("encoding", "length", "least").agg(F.sum("n").alias("n"))
-    wrong = grid.join(fakes, ["encoding", "length"]).where("level >= least").groupBy("encoding", "length", "least").agg(F.sum("m").alias("m"))
-    rate = above.join(wrong, ["encoding", "length", "least"], "left").fillna(0, ["m"])
-    # Beside the counted decoys a share of one is doubted, halved by every four characters: short runs carry less evidence and need more company.
-    doubt = 0.2 * F.pow(F.lit(2.0), (LEAST - F.pow(F.lit(2.0), F.col("length") / 8)) / 4)
-    return rate.where((F.col("m") + doubt) / F.col("n") <= false).groupBy("encoding", "length").agg(F.min("least").alias("least"))
+    counts: dict[tuple[str, int], np.ndarray] = {}
+    for place, column in enumerate(("level", "decoy")):
+        for row in each.where(F.col(column).isNotNull()).groupBy("encoding", "length", F.col(column).alias("at")).agg(F.count("*").alias("n")).collect():
+            counts.setdefault((row["encoding"], row["length"]), np.zeros((2, LEVELS), np.int64))[place, row["at"]] = row["n"]
+    return levels_of(counts, false)
+
+
+def levels_of(counts: dict[tuple[str, int], np.ndarray], false: float = FALSE) -> dict[tuple[str, int], int]:
+    """thresholds() of counted runs and decoys: two rows for each class, by level."""
+    least = {}
+    for (encoding, length), (seen, _) in counts.items():
+        runs = seen.sum()
+        of = lambda own, near: sum((x[1] for (e, n), x in counts.items() if (e == encoding or not own) and length - near < n <= length), np.zeros(LEVELS, np.int64))  # noqa: B023, E731
+        # decoys of a little shorter runs, else of all shorter ones, else of other encodings too
+        fakes = next((x for x in (of(True, NEAR), of(True, 1 << 10), of(False, 1 << 10)) if x.sum() > 0 and x.sum() >= ENOUGH * runs), None)
+        if fakes is not None:
+            above = np.cumsum(seen[::-1])[::-1]
+            good = np.flatnonzero((above > 0) & (expected(runs, fakes) <= false * above))
+            if len(good):
+                least[encoding, length] = int(good[0])
+    return least
 
 
 def kept(found: DataFrame, false: float = FALSE) -> Column:
     """Of the column spans those that count, as an array of start, kind, end, by start then kind. The levels sent out are as many as there are encodings and classes of lengths at most."""
-    levels = [F.lit(x) for row in thresholds(found, false).collect() for x in (f"{row['encoding']}:{row['length']}", row["least"])]
+    levels = [F.lit(x) for (encoding, length), least in thresholds(found, false).items() for x in (f"{encoding}:{length}", least)]
     least = F.create_map(*levels) if levels else F.create_map(F.lit(""), F.lit(LEVELS))
     held = F.filter("spans", lambda s: s["level"].isNull() | (s["level"] >= F.coalesce(F.try_element_at(least, F.concat_ws(":", s["encoding"], length_class(s["size"]).cast("string"))), F.lit(LEVELS))))
     return F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
