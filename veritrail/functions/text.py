@@ -53,12 +53,16 @@ def norm_for_match(c: Column | str) -> Column:
     return collapsed(F.lower(normalize_invisibles(c)))
 
 
-def protect_acronym_dots(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?i)(?<=[A-Z])\.(?=[A-Z]\.)|(?<=[A-Z]\.[A-Z])\.", "?DOT?")
+#: What stands for an acronym's dot: the fixed value, of which normalization takes a part away between letters, and one that it leaves alone.
+DOT, WHOLE_DOT = "?DOT?", "\ue000"
 
 
-def restore_acronym_dots(c: Column | str) -> Column:
-    return F.replace(col(c), F.lit("?DOT?"), F.lit("."))
+def protect_acronym_dots(c: Column | str, mark: str = DOT) -> Column:
+    return F.regexp_replace(col(c), r"(?i)(?<=[A-Z])\.(?=[A-Z]\.)|(?<=[A-Z]\.[A-Z])\.", mark)
+
+
+def restore_acronym_dots(c: Column | str, mark: str = DOT) -> Column:
+    return F.replace(col(c), F.lit(mark), F.lit("."))
 
 
 def unique_keep_order(c: Column | str) -> Column:

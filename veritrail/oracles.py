@@ -294,3 +294,15 @@ ORACLES["report_csv"] = f"SELECT case_id, claim_id, claim_text, status_overall,
 _TOLD = _norm("('매출％ ' || coalesce(text, ''))")
 ORACLES["read_reports"] = f"SELECT doc_id, CAST(length({_TOLD}) AS BIGINT) AS n, md5({_TOLD}) AS md5, true AS good FROM documents"
 ORACLES["running_decisions"] = f"WITH {_REVIEW} SELECT DISTINCT case_id, claim_id, decision, note, CAST(CASE WHEN claim_id % 7 = 0 THEN 2000 ELSE 1000 END AS BIGINT) AS updated_at FROM rv"
+ORACLES["verify_json"] = f"""SELECT v.* REPLACE (r.place AS pdf_top_page) FROM ({ORACLES['verify_orders']}) v JOIN (SELECT o_custkey AS case_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) r ON r.case_id = v.case_id AND r.o_orderkey = v.pdf_top_page"""
+_MARKED = f"""sn AS (SELECT o_orderkey AS k, claim, replace(evidence, chr(10), ' ') AS plain FROM vo UNION ALL SELECT o_orderkey + 1, claim, '[sales.xlsx] row ' || x.place || ': ' || x.evidence FROM vo),
+ha AS (SELECT k, plain, list_concat(flatten(list_transform({_numbers('claim')}, lambda n: {_variants('n')})), list_filter({_uniq("regexp_extract_all(claim, '[가-힣]{2,}|[A-Za-z]{2,}[A-Za-z0-9\\-_/]*')")}, lambda w: NOT list_contains({_list([*rules.UNITS, '천원', '만원'])}, w))) AS raw FROM sn),
+hb AS (SELECT k, plain, list_filter({_uniq('raw')}, lambda t: contains(plain, t)) AS ts FROM ha),
+hc AS (SELECT k, plain, list_transform(list_sort(list_transform(ts, lambda t, i: {{'n': -length(t), 'i': i, 't': t}})), lambda x: x.t) AS ts FROM hb),
+hd AS (SELECT k, plain, list_reduce(list_prepend({_escaped('plain')}, list_transform(ts, lambda t: {_escaped('t')})), lambda acc, x: replace(acc, x, '<b>' || x || '</b>')) AS html FROM hc)"""
+ORACLES["payload_orders"] = f"""WITH {_VERIFIED}, {_MARKED} SELECT case_id, claim_id, claim, {_status('overall')} AS overall, overall AS overall_raw, round(greatest(score, xscore), 6) AS score_overall, round(coverage, 6) AS coverage_pdf, x.doubt AS num_conflict_xlsx, {_joined('ns')} AS numbers, {_joined('missing')} AS missing_numbers, len(ns) AS num_total, len(missing) AS num_missing,
+ CAST(1 AS BIGINT) AS n_pdf, place AS pdf_page, round(sim, 6) AS pdf_score, a.plain AS pdf_raw, a.html AS pdf_html, CAST(1 AS BIGINT) AS n_xlsx, x.place AS xlsx_row, round(x.sim, 6) AS xlsx_score, b.plain AS xlsx_raw, b.html AS xlsx_html FROM vo JOIN hd a ON a.k = vo.o_orderkey JOIN hd b ON b.k = vo.o_orderkey + 1"""
+ORACLES["repaired_claims"] = f"WITH {REPORTS}, {_CLAIMS.replace('?DOT?', chr(0xE000))} SELECT kind, case_id, claim_id, claim_text FROM cm"
+ORACLES["index_rows"] = f"""WITH r AS (SELECT doc_id AS case_id, list_filter(['head', ' ', coalesce(text, '')], lambda x: {_trim(_norm('x'))} <> '') AS rs FROM documents), e AS (SELECT case_id, unnest(rs) AS raw, generate_subscripts(rs, 1) AS row_no FROM r),
+c AS (SELECT case_id, row_no, {_trim(f"regexp_replace({_norm('raw')}, '[ \\t]+', ' ', 'g')")} AS text FROM e), u AS (SELECT case_id, row_no, list_filter({_CHUNKS}, lambda t: t <> '') AS u FROM c)
+SELECT case_id, CAST(row_no AS BIGINT) AS row_no, CAST(k AS BIGINT) AS chunk_id, CAST(length(text) AS BIGINT) AS n, md5(text) AS md5 FROM (SELECT case_id, row_no, unnest(u) AS text, generate_subscripts(u, 1) - 1 AS k FROM u)"""

@@ -89,8 +89,15 @@ def features(claims: DataFrame, chunks: DataFrame, pages: DataFrame, amounts: Da
     return scored.withColumn("status", status)
 
 
-def prepared(reports: DataFrame) -> DataFrame:
-    return C.split_claims(reports).withColumn("numbers", N.extract_numbers("claim_norm")).withColumn("big", N.big_numbers("numbers")).withColumn("spellings", F.transform("numbers", N.number_variants))
+def prepared(reports: DataFrame, repair_acronyms: bool = False) -> DataFrame:
+    return C.split_claims(reports, repair_acronyms).withColumn("numbers", N.extract_numbers("claim_norm")).withColumn("big", N.big_numbers("numbers")).withColumn("spellings", F.transform("numbers", N.number_variants))
+
+
+def json_pages(docs: DataFrame) -> DataFrame:
+    """case_id, page, text of JSON documents (case_id, json): their rows are the pages of a case that has no others."""
+    from veritrail.sources.tables import json_text_rows
+
+    return json_text_rows(docs).withColumnRenamed("row_no", "page")
 
 
 def source_texts(pages: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -106,11 +113,11 @@ def file_names(cells: DataFrame | None) -> DataFrame | None:
     return None if cells is None or "file_name" not in cells.columns else cells.groupBy("case_id", "file_idx").agg(F.min("file_name").alias("file_name"))
 
 
-def verify_cases(reports: DataFrame, pages: DataFrame, cells: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None) -> DataFrame:
-    """reports: case_id, text; pages: case_id, page, text; cells as in sources.tables. A row for each claim of a case that has pages, with what each source says and the combined status. Cases without text in their pages come back in cases_without_text()."""
+def verify_cases(reports: DataFrame, pages: DataFrame, cells: DataFrame | None = None, top_k: int = 3, thresholds: dict | None = None, repair_acronyms: bool = False) -> DataFrame:
+    """reports: case_id, text; pages: case_id, page, text, or json_pages(); cells as in sources.tables. A row for each claim of a case that has pages, with what each source says and the combined status. Cases without text in their pages come back in cases_without_text()."""
     from veritrail.sources.tables import sheet_amounts
 
-    claims = staged(prepared(reports), "claims")
+    claims = staged(prepared(reports, repair_acronyms), "claims")
     amounts = staged(sheet_amounts(cells), "amounts") if cells is not None else None
     texts = staged(source_texts(pages, cells), "texts")
     chunks = staged(C.chunks(texts.where("source = 'pdf'"), "pdf", "place").unionByName(C.chunks(texts.where("source = 'xlsx'"), "xlsx", "place")), "chunks")

@@ -372,6 +372,35 @@ def orders_index(spark: SparkSession, sf_dir: str) -> I.Index:
     return P.index_sources(index, source.where(late | wrong), removed=places(extra).unionByName(places(source.where(~late & wrong))))
 
 
+def verify_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verify_orders() with a customer's evidence as the rows of one JSON document, in place of pages."""
+    own, source, sheet = order_sources(spark, sf_dir)
+    rows = F.array_sort(F.collect_list(F.struct("page", F.struct(F.col("text").alias("told"), F.col("page").alias("n")).alias("row"))))
+    docs = source.groupBy("case_id").agg(rows.alias("r")).select("case_id", F.to_json(F.struct(F.lit("no row").alias("title"), F.col("r.row").alias("items"))).alias("json"))
+    return _report_columns(P.verify_cases(own, P.json_pages(docs), sheet, top_k=1))
+
+
+def payload_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """verify_orders()' results for readers: scores, numbers, and evidence with its highlights."""
+    rows = O.evidence_payload(order_results(spark, sf_dir))
+    first = lambda s, f: F.get(f"evidence_{s}", F.lit(0))[f]
+    shown = [x for s, place in (("pdf", "page"), ("xlsx", "row")) for x in (F.size(f"evidence_{s}").cast("long").alias(f"n_{s}"), first(s, place).cast("long").alias(f"{s}_{place}"), F.round(first(s, "score"), 6).alias(f"{s}_score"), first(s, "snippet_raw").alias(f"{s}_raw"), first(s, "snippet_html").alias(f"{s}_html"))]
+    return rows.select("case_id", F.col("claim_id").cast("long").alias("claim_id"), "claim", "overall", "overall_raw", F.round("score_overall", 6).alias("score_overall"), F.round("coverage_pdf", 6).alias("coverage_pdf"), "num_conflict_xlsx", F.array_join("numbers", "|").alias("numbers"), F.array_join("missing_numbers", "|").alias("missing_numbers"), F.col("num_total").cast("long").alias("num_total"), F.col("num_missing").cast("long").alias("num_missing"), *shown)
+
+
+def repaired_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """split_claims() with acronyms as they were."""
+    found = line_reports(spark, sf_dir).select("kind", "case_id", F.posexplode_outer(C.claims_of("text", repair_acronyms=True)).alias("at", "claim_text")).where("claim_text is not null")
+    return found.select("kind", "case_id", (F.col("at") + 1).cast("long").alias("claim_id"), "claim_text")
+
+
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of JSON rows: each document as one of three rows."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.to_json(F.struct(F.array(F.lit("head"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("rows"))).alias("json"))
+    cut = C.chunks(X.json_text_rows(docs), "json", "row_no")
+    return cut.select("case_id", F.col("place").cast("long").alias("row_no"), F.col("chunk_id").cast("long").alias("chunk_id"), F.length("text").cast("long").alias("n"), F.md5("text").alias("md5"))
+
+
 def verify_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """verify_orders() against the stored index, after its update."""
     return _report_columns(P.verify_against(order_sources(spark, sf_dir)[0], orders_index(spark, sf_dir), top_k=1))
@@ -469,7 +498,7 @@ def unique_keep_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 _joined = lambda c, name: F.array_join(c, "|").alias(name)
 QUERIES = {
     "verify_cases": verify_cases,
-    "verify_orders": verify_orders, "verify_indexed": verify_indexed, "report_files": report_files, "report_csv": report_csv, "read_reports": read_reports,
+    "verify_orders": verify_orders, "verify_indexed": verify_indexed, "verify_json": verify_json, "payload_orders": payload_orders, "repaired_claims": repaired_claims, "index_rows": index_rows, "report_files": report_files, "report_csv": report_csv, "read_reports": read_reports,
     "normalize_invisibles": of_texts("normalize_invisibles", lambda: [F.md5(T.normalize_invisibles("text")).alias("md5")]),
     "norm_for_match": of_texts("norm_for_match", lambda: [F.md5(T.norm_for_match("text")).alias("md5")]),
     "word_tokens": of_texts("word_tokens", lambda: [F.size(T.word_tokens("text")).cast("long").alias("n"), F.md5(F.array_join(T.word_tokens("text"), "|")).alias("md5")]),
