@@ -306,3 +306,5 @@ ORACLES["repaired_claims"] = f"WITH {REPORTS}, {_CLAIMS.replace('?DOT?', chr(0xE
 ORACLES["index_rows"] = f"""WITH r AS (SELECT doc_id AS case_id, list_filter(['head', ' ', coalesce(text, '')], lambda x: {_trim(_norm('x'))} <> '') AS rs FROM documents), e AS (SELECT case_id, unnest(rs) AS raw, generate_subscripts(rs, 1) AS row_no FROM r),
 c AS (SELECT case_id, row_no, {_trim(f"regexp_replace({_norm('raw')}, '[ \\t]+', ' ', 'g')")} AS text FROM e), u AS (SELECT case_id, row_no, list_filter({_CHUNKS}, lambda t: t <> '') AS u FROM c)
 SELECT case_id, CAST(row_no AS BIGINT) AS row_no, CAST(k AS BIGINT) AS chunk_id, CAST(length(text) AS BIGINT) AS n, md5(text) AS md5 FROM (SELECT case_id, row_no, unnest(u) AS text, generate_subscripts(u, 1) - 1 AS k FROM u)"""
+_LARGE = _TOPK.replace("SELECT conv_id AS case_id, turn + 1 AS page, text FROM conversations WHERE role <> 'assistant'", "SELECT 0 AS case_id, doc_id AS page, text FROM documents").replace("SELECT conv_id AS case_id, turn AS claim_id,", "SELECT 0 AS case_id, item_id AS claim_id,").replace("FROM conversations WHERE role = 'assistant'", "FROM benchmark")
+ORACLES["topk_large_case"] = f"WITH {_LARGE} SELECT claim_id, rank, page, chunk_id, round(score, 6) AS score FROM top JOIN ch USING (case_id, ord)"

@@ -162,6 +162,14 @@ def topk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("case_id", F.col("claim_id").cast("long").alias("claim_id"), F.col("rank").cast("long").alias("rank"), F.col("ord.place").cast("long").alias("page"), F.col("ord.chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"))
 
 
+def topk_large_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the pages of one case, and the benchmark's items as its claims."""
+    own = table(spark, sf_dir, "documents").select(F.lit(0).cast("long").alias("case_id"), F.col("doc_id").cast("int").alias("page"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.lit(0).cast("long").alias("case_id"), F.col("item_id").alias("claim_id"), F.col("text").alias("claim_norm"))
+    top = R.topk_evidence(asked, staged(C.chunks(own, "pdf"), "chunks"))
+    return top.select("claim_id", F.col("rank").cast("long").alias("rank"), F.col("ord.place").cast("long").alias("page"), F.col("ord.chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
 def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = page_chunks(spark, sf_dir)
     found = R.evidence(R.topk_evidence(turn_claims(spark, sf_dir), chunks), chunks)
@@ -518,7 +526,7 @@ QUERIES = {
     "direction": of_tales("direction", lambda: [S.direction_score("claim", "evidence").alias("score"), S.direction_conflict("claim", "evidence").alias("conflict")]),
     "fact_block": of_tales("fact_block", lambda: [S.fact_block("claim", "evidence").alias("score")]),
     "features": features, "combine_status": combine_status,
-    "index_pages": index_documents, "split_claims": split_claims, "char_tfidf": char_tfidf, "topk_evidence": topk_evidence, "best_evidence": best_evidence, "word_idf": word_idf,
+    "index_pages": index_documents, "split_claims": split_claims, "char_tfidf": char_tfidf, "topk_evidence": topk_evidence, "topk_large_case": topk_large_case, "best_evidence": best_evidence, "word_idf": word_idf,
     "number_presence": number_presence, "amount_match": amount_match, "sheet_rows": sheet_rows, "sheet_amounts": sheet_amounts, "json_text_rows": json_text_rows, "clean_pages": clean_pages,
     "segment_blocks": segment_blocks, "locate_claims": locate_claims, "highlights": highlights, "evidence_payload": evidence_payload,
     "final_score": final_score, "decide_status": decide_status, "review_rows": review_rows, "review_kpis": review_kpis, "review_scores": review_scores, "running_decisions": running_decisions, "review_queue": review_queue, "whole_queue": whole_queue, "queue_page": queue_page, "grade_counts": grade_counts, "kpi_drilldown": kpi_drilldown, "filter_results": filter_results, "review_export": review_export,
