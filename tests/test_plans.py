@@ -11,7 +11,7 @@ from veritrail.queries import QUERIES
 from veritrail.sources import tables as X
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("supplier", "orders", "lineitem", "events", "documents", "pages", "conversations")
+TABLES = ("supplier", "orders", "lineitem", "events", "documents", "pages", "conversations", "benchmark")
 
 
 @pytest.fixture(scope="module")
