@@ -8,7 +8,8 @@
 5. packing makes sequences of the tokens.
 
 All but the last return the columns of documents, n_chars brought up to date where a text changed. Rows repeated under
-one doc_id are one document and share its fate; rows without a doc_id stay.
+one doc_id are one document and share its fate; rows without a doc_id stay. Null and empty texts stay, and are packed as
+an end token; texts of any length go through every stage whole. Of an empty table nothing is left, in the same columns.
 """
 
 from __future__ import annotations

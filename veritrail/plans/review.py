@@ -51,6 +51,7 @@ def evidence_insufficient() -> Column:
 
 
 def claim_weight() -> Column:
+    # What numbers, tags and statuses add.
     plus = lambda test, v: F.when(test, v).otherwise(0.0)
     tags = sum((plus(_has(k), v) for k, v in (("NUM_MISSING", 0.4), ("BIG_NUM_MISSING", 0.6), ("DIR_CONFLICT", 0.7), ("UNIT_MISMATCH", 0.3))), F.lit(0.0))
     return 1.0 + plus(_numbers(), 0.3) + tags + F.when(F.col("status_overall") == "UNSUPPORTED", 0.4).when(F.col("status_overall") == "PARTIAL", 0.2).otherwise(0.0)
@@ -78,6 +79,7 @@ def reason_codes() -> Column:
 
 def priority_rank() -> Column:
     st = F.col("status_overall")
+    # Places by status, and what tags take off.
     base = F.when(st == "UNSUPPORTED", F.when(_numbers(), 0.0).otherwise(1.0)).when(st == "PARTIAL", F.when(_numbers(), 2.0).otherwise(3.0)).otherwise(5.0)
     less = sum((F.when(_has(k), v).otherwise(0.0) for k, v in (("NUM_MISSING", 0.6), ("BIG_NUM_MISSING", 0.4), ("DIR_CONFLICT", 0.6), ("UNIT_MISMATCH", 0.2), ("DISPERSED", 0.15))), F.lit(0.0))
     return base - less + (1.0 - F.least(F.greatest("score_overall", F.lit(0.0)), F.lit(1.0)))
