@@ -106,3 +106,10 @@ def test_odd_rows(spark, odd):
     same = stages["secret_scan"](spark, docs, DATA)
     assert same.columns == docs.columns and sorted(map(repr, same.drop("n_chars").collect())) == sorted(map(repr, docs.drop("n_chars").collect()))
     assert {x for x in ids(stages["packing"](spark, docs, DATA))} == set(every)
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.run(spark, str(tmp_path))
+    assert left.count() == 0 and left.columns[:3] == ["doc_id", "start", "length"]
