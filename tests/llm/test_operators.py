@@ -349,9 +349,9 @@ def covered(docs):
     return out
 
 
-def spans_of(spark, docs):
+def spans_of(spark, docs, block=repeats.BLOCK):
     rows = [(i, " ".join(w)) for i, w in docs.items()]
-    return {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"]] for x in repeats.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    return {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"]] for x in repeats.spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), block).collect()}
 
 
 def test_repeats_within_a_document(spark):
@@ -384,6 +384,24 @@ def test_repeats_beside_a_frequent_line(spark):
     want = covered(docs)
     assert all(want[i] for i in range(120)) and not any(want[i] for i in range(120, 620))
     assert spans_of(spark, docs) == want
+    assert spans_of(spark, docs, block=40) == want  # k-mers of the line are cut into blocks
+
+
+def test_repeats_between_two_frequent_lines(spark):
+    """The texts next to a suffix have more words in common with it than its partner has, in both orders."""
+    rng = random.Random(13)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    docs, before, after = {}, some(30), some(30)
+    for i in range(0, 40, 2):
+        middle = some(rng.randint(1, 12))
+        docs[i], docs[i + 1] = some(9) + before[5:] + middle + after[:20] + some(9), some(4) + before[12:] + middle + after[: rng.randint(16, 25)] + some(4)
+    for i in range(40, 240):
+        docs[i] = some(20) + before + some(12) + after + some(20)
+    docs[240], docs[241] = ["tick", "tock"] * 200, some(9) + ["tick", "tock"] * 40
+    want = covered(docs)
+    assert sum(map(len, want.values())) > 4
+    for block in (repeats.BLOCK, 11):
+        assert spans_of(spark, docs, block) == want
 
 
 def test_repeats_of_two_texts_under_one_doc_id(spark):

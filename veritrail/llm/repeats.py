@@ -1,19 +1,30 @@
-"""Repeated passages by a sorted array of windows, sparse by minimisers.
+"""Repeated passages by a sparse suffix array over minimisers.
 
 A passage of LEAST words or more stands in two documents exactly if all its windows of LEAST words do, so the words
-that a document's repeated windows cover are its repeated words. Each window belongs to the k-mer of words with the
-smallest hash in it (its minimiser), which equal windows have in common; windows whose minimiser stands in one document
-only are dropped. The others are sorted by minimiser, hash of the window and document, in one order over all tasks; a
-window is repeated if its equals, which stand next to it, are of two documents or more, whatever stands around them
-and however often one document has it. A run of equals over several tasks' borders is put together afterwards. The
-number of rows follows the number of such windows, however many documents share a passage.
+that a document's repeated windows cover are its repeated words. Only suffixes at minimisers are kept: the places whose
+k-mer of words has the smallest hash of some window of LEAST words. Equal windows have theirs at the same place, so two
+texts that share a window have suffixes of one k-mer there, with the rest of the window to the left and right of it in
+common. A suffix carries the words that a window can reach: LEAST - KMER to its right and as many to its left. Suffixes
+of k-mers that stand in one document only are dropped.
+
+Suffixes are sorted by k-mer and the words to the right, in one order over all tasks, and read in blocks of whole
+k-mers. Common prefixes of neighbours give the runs that have any number of words to the right in common; a second
+order of the block, by the words to the left read backwards, gives the runs that have any number to the left in common.
+Suffixes of two documents in one run of each, of LEAST words together, share a window; each is extended left and right
+to the ends of all windows it shares. Looking at the runs instead of the next neighbour alone keeps passages beside a
+line that many texts have, whose neighbours in either order are other texts.
+
+A k-mer of more than BLOCK suffixes, or one at a task's border, is read in several blocks. What then lies in a run that
+goes on beyond its block is told by window: one row for a window that two documents of the block have, else the places
+of the one document; rows of equal windows from several blocks are put together by a partial aggregate. So no group is
+held whole, however many documents share a passage.
 
 Equal texts are one class: one of them goes through the above, and if it has LEAST words all of it is repeated. Texts
 that are null, empty or shorter than LEAST words repeat nothing. Rows repeated under one doc_id are copies like
 others, and different texts under one doc_id are different documents; a text that no row with a doc_id has is compared
 with its own copies alone. Texts of any length are
-cut into windows whole. Of k-mers with equal hashes it does not matter which is a window's minimiser, since the hash is
-all that is used. An empty table gives no rows. Words are those between white space, A-Z lower-cased. Only doc_id and
+taken whole. Places of equal hashes in a window are all its minimisers. Words are compared by 32 bits of their hashes,
+k-mers by 64. An empty table gives no rows. Words are those between white space, A-Z lower-cased. Only doc_id and
 text are read, whatever other columns are called.
 """
 
@@ -22,15 +33,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import SPACE_WORDS, in_order, in_small_batches, low_bytes, sent_if_small, staged, table
+from veritrail.llm.common import SPACE_WORDS, in_small_batches, low_bytes, partitions, sent_if_small, staged, table
 from veritrail.llm.hashing import WordHashes, grams, mixed
 
 LEAST, KMER = 50, 10
+#: Words that a window can have on one side of its minimiser; suffixes that are compared at once.
+SIDE, BLOCK = LEAST - KMER, 50_000
 
 
 def smallest(hashes: np.ndarray) -> np.ndarray:
@@ -42,13 +54,13 @@ def smallest(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def windows(hashes: np.ndarray) -> np.ndarray:
-    """A hash of every window of LEAST words, of its k-mers end to end."""
-    n = len(hashes) - LEAST + KMER
-    out = np.zeros(n, np.uint64)
-    for k in range(0, LEAST, KMER):
-        out = mixed(out + hashes[k : k + n] + np.uint64(0x9E3779B97F4A7C15))
-    return out
+def selected(hashes: np.ndarray) -> np.ndarray:
+    """Whether each k-mer is the smallest of some window: of the smallest of the windows that hold it, the largest is its own."""
+    most, width = np.concatenate([np.zeros(SIDE, np.uint64), smallest(hashes), np.zeros(SIDE, np.uint64)]), 1
+    while width < SIDE + 1:
+        step = min(width, SIDE + 1 - width)
+        most, width = np.maximum(most[:-step], most[step:]), width + step
+    return most == hashes
 
 
 def class_of(words: list[bytes]) -> bytes:
@@ -83,32 +95,168 @@ def minimisers(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, class binary, own long, kmers array<long>")
 
 
-def in_chunks(batches: Iterator[pd.DataFrame], least: int = 50_000) -> Iterator[pd.DataFrame]:
-    """The same rows in larger frames."""
-    held, n = [], 0
-    for batch in batches:
-        if len(batch):
-            held.append(batch)
-            n += len(batch)
-        if n >= least:
-            yield pd.concat(held)
-            held, n = [], 0
-    if held:
-        yield pd.concat(held)
+class Suffixes:
+    """Suffixes in order: k-mer, document and place of each, and the words to its right and to its left (backwards), 0 beyond the text."""
+
+    def __init__(self, kmer: np.ndarray, doc: np.ndarray, place: np.ndarray, right: np.ndarray, left: np.ndarray) -> None:
+        self.kmer, self.doc, self.place, self.right, self.left = kmer, doc, place, right, left
+
+    def __len__(self) -> int:
+        return len(self.kmer)
+
+    def __getitem__(self, which) -> Suffixes:
+        return Suffixes(*(x[which] for x in self.columns()))
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.kmer, self.doc, self.place, self.right, self.left
+
+    @staticmethod
+    def of_text(words: np.ndarray, hashes: np.ndarray, at: np.ndarray, doc: int) -> Suffixes:
+        """Of a text's word and k-mer hashes, at these places."""
+        short = np.zeros(len(words) + 2 * SIDE, ">u4")
+        short[SIDE:-SIDE] = np.maximum(words >> np.uint64(32), np.uint64(1))
+        around = np.lib.stride_tricks.sliding_window_view(short, SIDE)
+        return Suffixes(hashes[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), around[at + SIDE + KMER], around[at][:, ::-1])
+
+    @staticmethod
+    def joined(parts: list[Suffixes]) -> Suffixes:
+        return parts[0] if len(parts) == 1 else Suffixes(*(np.concatenate(x) for x in zip(*(p.columns() for p in parts), strict=True)))
+
+    @staticmethod
+    def of_batch(batch: pa.RecordBatch) -> Suffixes:
+        numbers = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        words = []
+        for k in (3, 4):
+            held = batch.column(k)
+            first = int(np.frombuffer(held.buffers()[1], np.int32, 1, held.offset * 4)[0])
+            words.append(np.frombuffer(held.buffers()[2], ">u4", len(held) * SIDE, first).reshape(len(held), SIDE))
+        return Suffixes(*numbers, *words)
+
+    def batches(self, most: int = 10_000) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(self), most):
+            part = self[slice(k, k + most)]
+            ends = pa.py_buffer(np.arange(len(part) + 1, dtype=np.int32) * (SIDE * 4))
+            sides = [pa.Array.from_buffers(pa.binary(), len(part), [None, ends, pa.py_buffer(np.ascontiguousarray(x).tobytes())]) for x in (part.right, part.left)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.kmer), pa.array(part.doc), pa.array(part.place), *sides], ["h", "doc", "place", "words_right", "words_left"])
+
+
+def common(group: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How many first words each row has in common with the row before it, -1 at the start of a group."""
+    same = (words[1:] == words[:-1]) & (words[1:] != 0)
+    out = np.full(len(words), -1)
+    out[1:] = np.where(group[1:] != group[:-1], -1, np.where(same.all(axis=1), SIDE, same.argmin(axis=1)))
+    return out
 
 
-def joined(doc: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """doc, start, end of what windows at these places cover, those that touch put together."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > LEAST)
+def beside(shared: np.ndarray, least: int) -> np.ndarray:
+    """Rows that have at least so many words in common with the row before or after."""
+    near = shared >= least
+    return near | np.append(near[1:], False)
+
+
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of each document, those that touch put together."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    number = np.cumsum(np.append(False, doc[1:] != doc[:-1])) << 32
+    upto = np.maximum.accumulate(number + end)
+    new = np.append(True, number[1:] + start[1:] > upto[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc))[: len(first)] - 1
-    return pd.DataFrame({"doc": doc[first], "start": at[first], "end": at[last] + LEAST})
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], start[first], (upto - number)[last]
+
+
+def told(doc: np.ndarray, start: np.ndarray, end: np.ndarray, edge: int, h: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(n, edge, np.int32)), pa.array(h), pa.array(w)], ["doc", "start", "end", "edge", "h", "w"])
+
+
+def by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by key, where each key starts in it, and whether it is of two documents or more."""
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    ordered = doc[order]
+    return order, starts, np.minimum.reduceat(ordered, starts) != np.maximum.reduceat(ordered, starts)
+
+
+def matches(block: Suffixes, before: bool, after: bool) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows that two documents of the block share (edge 0). Of runs that may go on before or after the block: for a window of two documents that it is repeated (2), for others where they stand (1)."""
+    first, last = block.kmer == block.kmer[0], block.kmer == block.kmer[-1]
+    open_kmers = (first & before) | (last & after)
+    alone = np.append(True, block.kmer[1:] != block.kmer[:-1])
+    alone &= np.append(alone[1:], True)
+    block = block[~alone | open_kmers]
+    n = len(block)
+    if not n:
+        return
+    first, last = block.kmer == block.kmer[0], block.kmer == block.kmer[-1]
+    group = np.cumsum(np.append(False, block.kmer[1:] != block.kmer[:-1]))
+    right = common(group, block.right)
+    backwards = np.concatenate([group.astype(">u4")[:, None], block.left], axis=1).astype(">u4")
+    turn = np.argsort(np.ascontiguousarray(backwards).view(f"S{4 * (SIDE + 1)}").ravel(), kind="stable")
+    left = common(group[turn], block.left[turn])
+    lowest, highest = np.full(n, SIDE + 1), np.full(n, -1)
+    open_rows = np.flatnonzero((first & before) | (last & after))
+    ahead = np.zeros((SIDE + 1, len(open_rows)), np.uint64)  # hashes of the first words to the right
+    for k in range(SIDE if len(open_rows) else 0):
+        ahead[k + 1] = mixed(ahead[k] + block.right[open_rows, k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    behind = np.zeros(len(open_rows), np.uint64)
+    for reach in range(SIDE + 1):  # words to the left in the window
+        rest = SIDE - reach
+        whole = np.ones(n, bool)
+        if rest:
+            whole &= block.right[:, rest - 1] != 0
+        if reach:
+            whole &= block.left[:, reach - 1] != 0
+            behind = mixed(behind + block.left[open_rows, reach - 1].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        by_right, by_left, paired = np.cumsum(right < rest), np.zeros(n, np.int64), np.zeros(n, bool)
+        by_left[turn] = np.cumsum(left < reach)
+        paired[turn] = beside(left, reach)
+        here = np.flatnonzero(whole & paired & beside(right, rest))
+        if len(here):
+            order, starts, twice = by_key(by_right[here] * (n + 1) + by_left[here], block.doc[here])
+            hit = here[order][np.repeat(twice, np.diff(np.append(starts, len(here))))]
+            lowest[hit], highest[hit] = np.minimum(lowest[hit], reach), reach
+        goes_on = whole[open_rows] & (((by_right[open_rows] == by_right[0]) & before) | ((by_right[open_rows] == by_right[-1]) & after))
+        if goes_on.any():
+            rows = open_rows[goes_on]
+            w = mixed(mixed(ahead[rest][goes_on] + np.uint64(reach)) + behind[goes_on]).view(np.int64)
+            order, starts, twice = by_key(by_right[rows] * (n + 1) + by_left[rows], block.doc[rows])
+            each = np.repeat(twice, np.diff(np.append(starts, len(rows))))
+            for kind, which in ((2, order[starts[twice]]), (1, order[~each])):
+                if len(which):
+                    start = block.place[rows[which]] - reach
+                    yield told(block.doc[rows[which]], start, start + LEAST, kind, block.kmer[rows[which]], w[which])
+    hit = np.flatnonzero(highest >= 0)
+    if len(hit):
+        doc, start, end = merged(block.doc[hit], block.place[hit] - highest[hit], block.place[hit] - lowest[hit] + LEAST)
+        none = np.zeros(len(doc), np.int64)
+        yield told(doc, start, end, 0, none, none)
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[Suffixes, bool, bool]]:
+    """Blocks of whole k-mers, or of one that is cut; whether the first and the last k-mer may go on before and after."""
+    held: list[Suffixes] = []
+    before = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(Suffixes.of_batch(batch))
+        if sum(map(len, held)) < most:
+            continue
+        block = Suffixes.joined(held)
+        cut = int(np.flatnonzero(block.kmer == block.kmer[-1])[0])
+        if cut:
+            yield block[:cut], before, False
+            held, before = [block[cut:]], False
+        else:
+            yield block, before, True
+            held, before = [], True
+    if held:
+        yield Suffixes.joined(held), before, True
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs: doc_id, text. doc_id, n_words, spans (array of start, end in words, merged and in order) for each row."""
     docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = staged(minimisers(docs), "minimisers")
@@ -118,72 +266,36 @@ def spans(docs: DataFrame) -> DataFrame:
     kept = staged(reps.join(sent_if_small(often), "h").groupBy("rep", "own").agg(F.collect_set("h").alias("kmers")), "kept")
     texts = docs.withColumnRenamed("doc_id", "rep").join(sent_if_small(kept.select("rep").distinct()), "rep", "left_semi").join(kept, "rep")
 
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
             for doc, text, kmers in zip(batch.column("own").to_pylist(), batch.column("text"), batch.column("kmers"), strict=True):
                 words = SPACE_WORDS.findall(low_bytes(text.as_py()))
                 if len(words) < LEAST or part_of(class_of(words)) != doc:  # a doc_id may have other texts too
                     continue
-                hashes = grams(known.of(words), KMER)
-                low = smallest(hashes).view(np.int64)
-                at = np.flatnonzero(np.isin(low, kmers.values.to_numpy(zero_copy_only=False)))
-                all_windows = windows(hashes).view(np.int64)
-                for k in range(0, len(at), 50_000):
-                    part = at[k : k + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(low[part]), pa.array(all_windows[part]), pa.array(np.full(len(part), doc, np.int64)), pa.array(part.astype(np.int32))], ["h", "w", "doc", "place"])
-
-    rows = texts.select("own", "text", "kmers").mapInArrow(rows_of, "h long, w long, doc long, place int")
-    shape = "doc long, start int, end int, edge int, h long, w long"
-
-    def step(batches: Iterator[pd.DataFrame], part: int) -> Iterator[pd.DataFrame]:
-        """What repeated windows cover (edge 0). Of a task's first and last window, if it stands in one document here, what it covers (1); else that it is repeated (2)."""
-        names = ("h", "w", "doc", "place")
-        held = [np.zeros(0, np.int64) for _ in names]  # the last window's rows, all of one document so far
-        first = sure = None  # the task's first window, and the last if it is known to be repeated
-        sent: set[tuple[int, int]] = set()
-
-        def edge(key: tuple[int, int], frame: pd.DataFrame, kind: int) -> pd.DataFrame:
-            return frame.assign(edge=kind, h=key[0], w=key[1])
-
-        def mark(key: tuple[int, int], doc: int) -> Iterator[pd.DataFrame]:
-            if key not in sent:
-                sent.add(key)
-                yield edge(key, pd.DataFrame({"doc": [doc], "start": [0], "end": [0]}), 2)
-
-        for chunk in in_chunks(batches):
-            h, w, doc, at = (np.concatenate((a, chunk[k].to_numpy())) for a, k in zip(held, names, strict=True))
-            starts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (w[1:] != w[:-1]))))
-            ends = np.append(starts[1:], len(h))
-            key = lambda i: (int(h[i]), int(w[i]))  # noqa: B023, E731
-            first = first or key(0)
-            repeated = doc[starts] != doc[ends - 1]
-            repeated[0] |= sure == key(0)
-            yield edge((0, 0), joined(*(x[np.repeat(repeated, ends - starts)] for x in (doc, at))), 0)
-            if key(0) == first:
-                if repeated[0]:
-                    yield from mark(first, doc[0])
-                elif len(starts) > 1:
-                    yield edge(first, joined(doc[: ends[0]], at[: ends[0]]), 1)
-            sure = key(-1) if repeated[-1] else None
-            held = [x[len(h) if repeated[-1] else starts[-1] :] for x in (h, w, doc, at)]
-            last = int(doc[-1])
-        if sure:
-            yield from mark(sure, last)
-        elif len(held[0]):
-            yield edge((int(held[0][0]), int(held[1][0])), joined(held[2], held[3]), 1)
-
-    ordered = in_order(rows, [F.col("h"), F.col("w"), F.col("doc"), F.col("place")], step, shape, "repeats")
+                own = known.of(words)
+                hashes = grams(own, KMER)
+                at = np.flatnonzero(selected(hashes) & np.isin(hashes.view(np.int64), kmers.values.to_numpy(zero_copy_only=False)))
+                for k in range(0, len(at), BLOCK):
+                    yield from Suffixes.of_text(own, hashes, at[k : k + BLOCK], doc).batches()
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, before, after in in_blocks(batches, block):
+            yield from matches(part, before, after)
+
+    rows = texts.select("own", "text", "kmers").mapInArrow(suffixes, "h long, doc long, place int, words_right binary, words_left binary")
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "h", "words_right", "words_left").sortWithinPartitions("h", "words_right")
+    ordered = staged(ordered.mapInArrow(compared, "doc long, start int, end int, edge int, h long, w long"), "repeats")
     inner = ordered.where("edge = 0").select("doc", "start", "end")
     edges = ordered.where("edge > 0")
-    over = edges.groupBy("h", "w").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("edge").alias("most")).where("a <> b or most = 2").select("h", "w")  # two windows a task at most
-    border = edges.where("edge = 1").join(F.broadcast(over), ["h", "w"]).select("doc", "start", "end")
-    merged = F.aggregate(
+    over = edges.groupBy("h", "w").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("edge").alias("most")).where("a <> b or most = 2").select("h", "w")
+    border = edges.where("edge = 1").join(over, ["h", "w"]).select("doc", "start", "end")  # a window has the rows of one document for each block at most
+    put_together = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
         F.array().cast("array<struct<start:int,end:int>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    of_rep = inner.unionByName(border).groupBy("doc").agg(merged.alias("spans"))
+    of_rep = inner.unionByName(border).groupBy("doc").agg(put_together.alias("spans"))
     of_class = classes.join(of_rep, F.col("own") == F.col("doc"), "left").select("class", "copies", "spans")
     none = F.array().cast("array<struct<start:int,end:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
