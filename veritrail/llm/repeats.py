@@ -14,10 +14,12 @@ Suffixes of two documents in one run of each, of LEAST words together, share a w
 to the ends of all windows it shares. Looking at the runs instead of the next neighbour alone keeps passages beside a
 line that many texts have, whose neighbours in either order are other texts.
 
-A k-mer of more than BLOCK suffixes, or one at a task's border, is read in several blocks. What then lies in a run that
-goes on beyond its block is told by window: one row for a window that two documents of the block have, else the places
-of the one document; rows of equal windows from several blocks are put together by a partial aggregate. So no group is
-held whole, however many documents share a passage.
+A k-mer of more than BLOCK suffixes, or one at a task's border, is read in several blocks. Suffixes with windows in a
+run that goes on beyond its block are sorted once more, by the words to the left over all tasks, and compared in the
+same way: beside a frequent line one of the two orders sets texts apart at once. Only windows in runs that go on in
+both orders are told one by one: one row for a window that two documents of the block have, else the places of the one
+document; rows of equal windows from several blocks are put together by a partial aggregate. So no group is held whole,
+however many documents share a passage.
 
 Equal texts are one class: one of them goes through the above, and if it has LEAST words all of it is repeated. Texts
 that are null, empty or shorter than LEAST words repeat nothing. Rows repeated under one doc_id are copies like
@@ -95,11 +97,14 @@ def minimisers(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, class binary, own long, kmers array<long>")
 
 
+SUFFIX = ["h", "doc", "place", "still", "words_right", "words_left"]
+
+
 class Suffixes:
-    """Suffixes in order: k-mer, document and place of each, and the words to its right and to its left (backwards), 0 beyond the text."""
+    """Suffixes in order: k-mer, document and place of each, its windows that are still open (bit k: that of k words to the left), and the words to its right and to its left (backwards), 0 beyond the text."""
 
-    def __init__(self, kmer: np.ndarray, doc: np.ndarray, place: np.ndarray, right: np.ndarray, left: np.ndarray) -> None:
-        self.kmer, self.doc, self.place, self.right, self.left = kmer, doc, place, right, left
+    def __init__(self, kmer: np.ndarray, doc: np.ndarray, place: np.ndarray, still: np.ndarray, right: np.ndarray, left: np.ndarray) -> None:
+        self.kmer, self.doc, self.place, self.still, self.right, self.left = kmer, doc, place, still, right, left
 
     def __len__(self) -> int:
         return len(self.kmer)
@@ -108,7 +113,7 @@ class Suffixes:
         return Suffixes(*(x[which] for x in self.columns()))
 
     def columns(self) -> tuple[np.ndarray, ...]:
-        return self.kmer, self.doc, self.place, self.right, self.left
+        return self.kmer, self.doc, self.place, self.still, self.right, self.left
 
     @staticmethod
     def of_text(words: np.ndarray, hashes: np.ndarray, at: np.ndarray, doc: int) -> Suffixes:
@@ -116,7 +121,7 @@ class Suffixes:
         short = np.zeros(len(words) + 2 * SIDE, ">u4")
         short[SIDE:-SIDE] = np.maximum(words >> np.uint64(32), np.uint64(1))
         around = np.lib.stride_tricks.sliding_window_view(short, SIDE)
-        return Suffixes(hashes[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), around[at + SIDE + KMER], around[at][:, ::-1])
+        return Suffixes(hashes[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.full(len(at), -1), around[at + SIDE + KMER], around[at][:, ::-1])
 
     @staticmethod
     def joined(parts: list[Suffixes]) -> Suffixes:
@@ -124,9 +129,9 @@ class Suffixes:
 
     @staticmethod
     def of_batch(batch: pa.RecordBatch) -> Suffixes:
-        numbers = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+        numbers = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
         words = []
-        for k in (3, 4):
+        for k in (4, 5):
             held = batch.column(k)
             first = int(np.frombuffer(held.buffers()[1], np.int32, 1, held.offset * 4)[0])
             words.append(np.frombuffer(held.buffers()[2], ">u4", len(held) * SIDE, first).reshape(len(held), SIDE))
@@ -137,7 +142,7 @@ class Suffixes:
             part = self[slice(k, k + most)]
             ends = pa.py_buffer(np.arange(len(part) + 1, dtype=np.int32) * (SIDE * 4))
             sides = [pa.Array.from_buffers(pa.binary(), len(part), [None, ends, pa.py_buffer(np.ascontiguousarray(x).tobytes())]) for x in (part.right, part.left)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.kmer), pa.array(part.doc), pa.array(part.place), *sides], ["h", "doc", "place", "words_right", "words_left"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.kmer), pa.array(part.doc), pa.array(part.place), pa.array(part.still), *sides], SUFFIX)
 
 
 def common(group: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -166,9 +171,12 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return doc[first], start[first], (upto - number)[last]
 
 
+TOLD = ["doc", "start", "end", "edge", "h", "w", "words_right", "words_left"]
+
+
 def told(doc: np.ndarray, start: np.ndarray, end: np.ndarray, edge: int, h: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
     n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(n, edge, np.int32)), pa.array(h), pa.array(w)], ["doc", "start", "end", "edge", "h", "w"])
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(np.full(n, edge, np.int32)), pa.array(h), pa.array(w), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], TOLD)
 
 
 def by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,8 +187,8 @@ def by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return order, starts, np.minimum.reduceat(ordered, starts) != np.maximum.reduceat(ordered, starts)
 
 
-def matches(block: Suffixes, before: bool, after: bool) -> Iterator[pa.RecordBatch]:
-    """Spans of the windows that two documents of the block share (edge 0). Of runs that may go on before or after the block: for a window of two documents that it is repeated (2), for others where they stand (1)."""
+def matches(block: Suffixes, before: bool, after: bool, turned: bool = False) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows that two documents of the block share (edge 0). Of runs that may go on before or after the block their suffixes (3); in the second order, where left and right are turned, for a window of two documents that it is repeated (2), for others where they stand (1)."""
     first, last = block.kmer == block.kmer[0], block.kmer == block.kmer[-1]
     open_kmers = (first & before) | (last & after)
     alone = np.append(True, block.kmer[1:] != block.kmer[:-1])
@@ -198,11 +206,13 @@ def matches(block: Suffixes, before: bool, after: bool) -> Iterator[pa.RecordBat
     lowest, highest = np.full(n, SIDE + 1), np.full(n, -1)
     open_rows = np.flatnonzero((first & before) | (last & after))
     ahead = np.zeros((SIDE + 1, len(open_rows)), np.uint64)  # hashes of the first words to the right
-    for k in range(SIDE if len(open_rows) else 0):
+    for k in range(SIDE if turned and len(open_rows) else 0):
         ahead[k + 1] = mixed(ahead[k] + block.right[open_rows, k].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     behind = np.zeros(len(open_rows), np.uint64)
+    still = np.zeros(n, np.int64)
     for reach in range(SIDE + 1):  # words to the left in the window
         rest = SIDE - reach
+        begins = rest if turned else reach
         whole = np.ones(n, bool)
         if rest:
             whole &= block.right[:, rest - 1] != 0
@@ -216,22 +226,29 @@ def matches(block: Suffixes, before: bool, after: bool) -> Iterator[pa.RecordBat
         if len(here):
             order, starts, twice = by_key(by_right[here] * (n + 1) + by_left[here], block.doc[here])
             hit = here[order][np.repeat(twice, np.diff(np.append(starts, len(here))))]
-            lowest[hit], highest[hit] = np.minimum(lowest[hit], reach), reach
-        goes_on = whole[open_rows] & (((by_right[open_rows] == by_right[0]) & before) | ((by_right[open_rows] == by_right[-1]) & after))
-        if goes_on.any():
+            lowest[hit], highest[hit] = np.minimum(lowest[hit], begins), np.maximum(highest[hit], begins)
+        goes_on = whole[open_rows] & (((by_right[open_rows] == by_right[0]) & before) | ((by_right[open_rows] == by_right[-1]) & after)) & (block.still[open_rows] >> begins & 1).astype(bool)
+        if not turned:
+            still[open_rows[goes_on]] |= 1 << begins
+        elif goes_on.any():
             rows = open_rows[goes_on]
             w = mixed(mixed(ahead[rest][goes_on] + np.uint64(reach)) + behind[goes_on]).view(np.int64)
             order, starts, twice = by_key(by_right[rows] * (n + 1) + by_left[rows], block.doc[rows])
             each = np.repeat(twice, np.diff(np.append(starts, len(rows))))
             for kind, which in ((2, order[starts[twice]]), (1, order[~each])):
                 if len(which):
-                    start = block.place[rows[which]] - reach
+                    start = block.place[rows[which]] - begins
                     yield told(block.doc[rows[which]], start, start + LEAST, kind, block.kmer[rows[which]], w[which])
     hit = np.flatnonzero(highest >= 0)
     if len(hit):
         doc, start, end = merged(block.doc[hit], block.place[hit] - highest[hit], block.place[hit] - lowest[hit] + LEAST)
         none = np.zeros(len(doc), np.int64)
         yield told(doc, start, end, 0, none, none)
+    block.still = still
+    for left_open in block[still != 0].batches():
+        h, doc, place, mask, *sides = left_open.columns
+        zero, edge = (pa.array(np.full(len(left_open), x, np.int32)) for x in (0, 3))
+        yield pa.RecordBatch.from_arrays([doc, place, zero, edge, h, mask, *sides], TOLD)
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[Suffixes, bool, bool]]:
@@ -279,13 +296,18 @@ def spans(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 for k in range(0, len(at), BLOCK):
                     yield from Suffixes.of_text(own, hashes, at[k : k + BLOCK], doc).batches()
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, before, after in in_blocks(batches, block):
-            yield from matches(part, before, after)
+    def in_suffix_order(rows: DataFrame, turned: bool, what: str) -> DataFrame:
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, before, after in in_blocks(batches, block):
+                yield from matches(part, before, after, turned)
+
+        ranged = rows.select(SUFFIX).repartitionByRange(partitions(docs.sparkSession), "h", "words_right", "words_left", "doc", "place").sortWithinPartitions("h", "words_right")
+        return staged(ranged.mapInArrow(compared, "doc long, start int, end int, edge int, h long, w long, words_right binary, words_left binary"), what)
 
-    rows = texts.select("own", "text", "kmers").mapInArrow(suffixes, "h long, doc long, place int, words_right binary, words_left binary")
-    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "h", "words_right", "words_left").sortWithinPartitions("h", "words_right")
-    ordered = staged(ordered.mapInArrow(compared, "doc long, start int, end int, edge int, h long, w long"), "repeats")
+    rows = texts.select("own", "text", "kmers").mapInArrow(suffixes, "h long, doc long, place int, still long, words_right binary, words_left binary")
+    forwards = in_suffix_order(rows, False, "repeats")
+    left_open = forwards.where("edge = 3").select("h", "doc", F.col("start").alias("place"), F.col("w").alias("still"), F.col("words_left").alias("words_right"), F.col("words_right").alias("words_left"))
+    ordered = forwards.where("edge = 0").unionByName(in_suffix_order(left_open, True, "repeats_turned")).select("doc", "start", "end", "edge", "h", "w")
     inner = ordered.where("edge = 0").select("doc", "start", "end")
     edges = ordered.where("edge > 0")
     over = edges.groupBy("h", "w").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.max("edge").alias("most")).where("a <> b or most = 2").select("h", "w")
