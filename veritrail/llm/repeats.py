@@ -188,7 +188,7 @@ def by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def matches(block: Suffixes, before: bool, after: bool, turned: bool = False) -> Iterator[pa.RecordBatch]:
-    """Spans of the windows that two documents of the block share (edge 0). Of runs that may go on before or after the block their suffixes (3); in the second order, where left and right are turned, for a window of two documents that it is repeated (2), for others where they stand (1)."""
+    """Spans of the windows that two documents of the block share (edge 0). Of runs that may go on before or after the block their suffixes (3), two of a window known to be repeated; in the second order, where left and right are turned, for a window of two documents that it is repeated (2), for others where they stand (1)."""
     first, last = block.kmer == block.kmer[0], block.kmer == block.kmer[-1]
     open_kmers = (first & before) | (last & after)
     alone = np.append(True, block.kmer[1:] != block.kmer[:-1])
@@ -228,8 +228,15 @@ def matches(block: Suffixes, before: bool, after: bool, turned: bool = False) ->
             hit = here[order][np.repeat(twice, np.diff(np.append(starts, len(here))))]
             lowest[hit], highest[hit] = np.minimum(lowest[hit], begins), np.maximum(highest[hit], begins)
         goes_on = whole[open_rows] & (((by_right[open_rows] == by_right[0]) & before) | ((by_right[open_rows] == by_right[-1]) & after)) & (block.still[open_rows] >> begins & 1).astype(bool)
-        if not turned:
-            still[open_rows[goes_on]] |= 1 << begins
+        if not turned and goes_on.any():
+            rows = open_rows[goes_on]
+            key = by_right[rows] * (n + 1) + by_left[rows]
+            order = np.lexsort((block.doc[rows], key))
+            new = np.append(True, key[order][1:] != key[order][:-1])
+            ends = np.append(new[1:], True)
+            firsts, lasts = rows[order[new]], rows[order[ends]]
+            twice = np.repeat(block.doc[firsts] != block.doc[lasts], np.diff(np.append(np.flatnonzero(new), len(rows))))
+            still[rows[order[~twice | new | ends]]] |= 1 << begins  # of a repeated window two documents stand for it
         elif goes_on.any():
             rows = open_rows[goes_on]
             w = mixed(mixed(ahead[rest][goes_on] + np.uint64(reach)) + behind[goes_on]).view(np.int64)
