@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -70,6 +71,19 @@ def test_encoder_forgets_without_harm(monkeypatch):
         assert [x.tolist() for x in own(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_encoder_holds_few_long_texts_at_once():
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(40_000)) for _ in range(100)]  # 19 million characters
+    encode, before = packing.encoder(public_tokenizers.path("word_bpe_49k.json")), pa.default_memory_pool()
+    held = pa.proxy_memory_pool(before)
+    pa.set_memory_pool(held)
+    try:
+        assert sum(1 for _ in encode(texts)) == len(texts)
+    finally:
+        pa.set_memory_pool(before)
+    assert 0 < held.max_memory() < 60_000_000
+
+
 def test_packing_leaves_little_padding(spark):
     rng = random.Random(16)
     rows = [(i, " ".join(["word"] * rng.randint(1, 3000))) for i in range(400)]

@@ -39,6 +39,18 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def at_once(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of texts with so many characters at most, or one text of more."""
+    first = size = 0
+    for at, text in enumerate(texts):
+        if size and size + len(text) > most:
+            yield first, at
+            first, size = at, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

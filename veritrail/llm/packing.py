@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import in_small_batches, table
+from veritrail.llm.common import at_once, in_small_batches, table
 
 WINDOW, END_ID = 2048, 1
 #: Latin-1 only: letters and digits as the tokenizer's own pattern takes them there.
@@ -36,7 +36,9 @@ LETTERS, DIGITS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\
 WORD = f"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\\s\xa0{LETTERS}{DIGITS}]+)"
 #: Texts beyond this simple repertoire go to the tokenizer whole.
 ODD = r"[^\x09-\x0d\x20-\x7e\x{a0}-\x{ff}]|<\|"
-MAX_CACHE = 300_000
+MAX_CACHE = 200_000
+#: Characters whose words are held at once, unless one text has more.
+AT_ONCE = 2_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -76,18 +78,28 @@ class Encoder:
             got = list(map(self.known.__getitem__, words))
         return got
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """AT_ONCE characters at a time; what Arrow took for them goes back to the system, since a worker runs the tasks of other stages too."""
+        for a, b in at_once(texts, AT_ONCE):
+            got = self.each(texts[a:b])
+            pa.default_memory_pool().release_unused()
+            yield from got
+
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        """Of texts that are held in memory together with their words."""
         whole = pa.array(texts, pa.large_string())
         odd = pc.match_substring_regex(whole, ODD)
         apart = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, "", whole)), WORD, r"\1 ")
         split = pc.utf8_split_whitespace(apart)
         coded = split.values.dictionary_encode()
-        each = self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        each = self.of(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
         at = coded.indices.to_numpy()
         n = sizes[at]
         ends = np.cumsum(n)
-        flat = np.frombuffer(b"".join(each), "<u4")[np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n) + np.arange(n.sum())]
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends + n, n)
+        places += np.arange(len(places))
+        flat = np.frombuffer(b"".join(each), "<u4")[places]
         cuts = np.concatenate(([0], ends))[split.offsets.to_numpy()]
         return [self.ids(x) if o else flat[a:b] for x, o, a, b in zip(texts, odd.to_pylist(), cuts[:-1], cuts[1:], strict=True)]
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veritrail.llm.common import in_small_batches, partitions, staged, table
+from veritrail.llm.common import at_once, in_small_batches, partitions, staged, table
 from veritrail.sources.remote import full_uri, opened
 from veritrail.sources.staging import shared_folder
 
@@ -272,18 +272,6 @@ class FileWriter:
             self.file, self.docs, self.held, self.size = self.file + 1, [], [], 0
 
 
-def at_once(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts with AT_ONCE characters, or one text of more."""
-    first = size = 0
-    for at, text in enumerate(texts):
-        if size and size + len(text) > AT_ONCE:
-            yield first, at
-            first, size = at, 0
-        size += len(text)
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
     fields = [x.split() for x in schema.split(", ")]
@@ -302,7 +290,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
         encode, files = encoder(path), FileWriter(into, TaskContext.get().partitionId(), ids_a_file)
         for batch in batches:
             docs, texts = batch["doc_id"].to_pylist(), [x or "" for x in batch["text"].to_pylist()]
-            for a, b in at_once(texts):
+            for a, b in at_once(texts, AT_ONCE):
                 for doc, ids in zip(docs[a:b], encode(texts[a:b]), strict=True):
                     files.add(doc, ids + end)
         files.close()
