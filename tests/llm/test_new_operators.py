@@ -27,6 +27,17 @@ def test_encoder_is_the_tokenizer(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in token_files.encoder(TOKENIZER)(texts)] == want
 
 
+def test_pieces_after_a_space_are_encoded_together():
+    words = ["the", "2024", "...", "'", "$$", "it", "12", "%", "é", "²", "_"]
+    pieces = [f" {a}" for a in words] + ["x", " ", "\n", "  ", " \n", "'s", "7"]
+    texts = ["".join(pieces), "  ".join(pieces), " ' s' 12 34 ... ...", "one", ""]
+    own, plain, asked = token_files.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER), []
+    each = own.each
+    own.each = lambda x: asked.extend(x) or each(x)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert not [x for x in asked if x[:1] == " " and x.strip()]
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 50_257, 1 << 20, 1 << 32])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 4097, 20_000])
 def test_codes_round_trip(n, top):

@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import compress
+from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -46,8 +47,8 @@ PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{L
 ODD = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]|<\\|")
 CONTROLS = bytes([*range(9), *range(14, 32), 127])
 MAX_CACHE = 600_000
-#: Characters whose pieces are held at once, unless one text has more.
-AT_ONCE = 4_000_000
+#: Characters whose pieces are held at once, unless one text has more; so few stay in a CPU's cache.
+AT_ONCE = 400_000
 DONE = "part int, file int, path string, n_docs long, n_ids long, start_in_part long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -78,8 +79,8 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[str]) -> None:
-        """Words after a space are encoded many at once, one after another: each begins with the only id that has a space."""
-        after_space = [p[0] == " " and p[1:].isalpha() for p in pieces]
+        """Pieces that are a space and something else are encoded many at once, one after another: each begins with the only id that has a space."""
+        after_space = [p[0] == " " and not p[1:].isspace() and len(p) > 1 for p in pieces]
         words = list(compress(pieces, after_space))
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
@@ -98,8 +99,11 @@ class Encoder:
         lost = set().union(*pieces).difference(self.known)
         self.known.update((p, self.older[p]) for p in lost if p in self.older)
         self.learn([p for p in lost if p not in self.known])
-        found = self.known.__getitem__
-        return [self.each([x])[0] if o else b"".join(map(found, p)) for x, o, p in zip(texts, odd, pieces, strict=True)]
+        return [self.each([x])[0] if o else self.found(p) for x, o, p in zip(texts, odd, pieces, strict=True)]
+
+    def found(self, pieces: list[str]) -> bytes:
+        """itemgetter looks them all up at once, but takes two at least to return them as a tuple."""
+        return b"".join(itemgetter(*pieces)(self.known)) if len(pieces) > 1 else b"".join(map(self.known.__getitem__, pieces))
 
 
 @functools.cache
@@ -108,9 +112,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def bit_lengths(ids: np.ndarray) -> np.ndarray:
+    """How many ids have 0, 1, ... 32 bits. Ids of a vocabulary are few, so each is looked at once, with its number."""
+    if not len(ids):
+        return np.zeros(33, np.int64)
+    n = np.bincount(ids) if ids.max() < 1 << 20 else None
+    at = np.frexp((ids if n is None else np.arange(len(n))).astype(np.float64))[1]
+    return np.bincount(at, n, minlength=33).astype(np.int64)
+
+
 def best_widths(ids: np.ndarray) -> list[int]:
     """The widths of at most MAX_LEVELS levels that take the fewest bits, bitmaps included."""
-    lengths = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=33) if len(ids) else np.zeros(33, np.int64)
+    lengths = bit_lengths(ids)
     most = int(max(lengths.nonzero()[0], default=1)) or 1
     beyond = [len(ids), *(len(ids) - np.cumsum(lengths)[1:])]  # ids of more bits than so many
     cost = {(at, left): (0, []) for at in range(most, most + max(WIDTHS)) for left in range(MAX_LEVELS + 1)}
@@ -127,9 +140,11 @@ def lot(width: int) -> int:
 
 def packed(values: np.ndarray, width: int) -> bytes:
     n = lot(width)
-    whole = np.zeros(-(-len(values) // n) * n, np.uint64)
-    whole[: len(values)] = values
-    lots = np.bitwise_or.reduce(whole.reshape(-1, n) << (np.arange(n, dtype=np.uint64) * np.uint64(width)), axis=1)
+    lots = np.zeros(-(-len(values) // n), np.uint64)
+    for k in range(n):
+        part = values[k::n].astype(np.uint64)
+        part <<= np.uint64(k * width)
+        lots[: len(part)] |= part
     return lots.astype("<u8").view("u1").reshape(-1, 8)[:, : n * width // 8].tobytes() + bytes(4)  # so that a look-up may read four bytes
 
 
@@ -229,7 +244,8 @@ class TokenFile:
             first = start >> 6
             on = np.unpackbits(self.words[level][first : (stop + 63) >> 6].view("u1"), bitorder="little")[start - 64 * first : stop - 64 * first].astype(bool)
             before = int(self.large[level][start >> 12]) + int(self.small[level][first]) + (int(self.words[level][first]) & ((1 << (start & 63)) - 1)).bit_count()
-            out[on] |= self.ids(before, before + int(np.count_nonzero(on)), level + 1) << np.uint32(self.widths[level])
+            at = on.nonzero()[0]
+            out[at] |= self.ids(before, before + len(at), level + 1) << np.uint32(self.widths[level])
         return out
 
     def document(self, k: int) -> np.ndarray:
