@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from veritrail.llm import negatives, spelling, token_files
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+SPLIT = Tokenizer.from_file(TOKENIZER).pre_tokenizer.pre_tokenize_str
 
 
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'.,-_0123abcXYZ\xa0é²½’…"), st.characters(codec="utf-8")), max_size=60), max_size=6))
@@ -38,6 +39,39 @@ def test_pieces_after_a_space_are_encoded_together():
     assert not [x for x in asked if x[:1] == " " and x.strip()]
 
 
+@given(st.lists(st.text(alphabet=" \n\t\xa0'stmdrevlX7.é×÷²½€’", max_size=25), max_size=8))
+@settings(max_examples=1000, deadline=None)
+def test_cuts_are_the_tokenizer_s_own(texts):
+    parts = [x.encode() for x in texts]
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
+    want = [int(at) + len(x[:a].encode()) for x, at in zip(texts, bounds, strict=False) for _, (a, _) in SPLIT(x)]
+    assert token_files.cuts(b"".join(parts), bounds).tolist() == [*want, bounds[-1]]
+
+
+def test_every_character_is_cut_as_by_the_tokenizer():
+    for x in map(chr, range(0x2100)):
+        for text in [f"a{x}1{x}{x}b.{x}  {x}"] * (not token_files.is_odd(x)):
+            want = [len(text[:a].encode()) for _, (a, _) in SPLIT(text)]
+            assert token_files.cuts(text.encode(), np.array([0, len(text.encode())])).tolist()[:-1] == want, x
+
+
+def test_a_piece_is_asked_for_once_in_a_stretch():
+    own, plain, asked = token_files.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER), []
+    of = own.of
+    own.of = lambda keys: asked.extend(keys) or of(keys)
+    texts = [f"{k % 7} words, and it's {k % 3} more.\n" * 20 for k in range(50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(asked) == len(set(asked)) < 25
+
+
+def test_cuts_outlive_a_change_of_cache(monkeypatch):
+    monkeypatch.setattr(token_files, "MAX_CACHE", 5)
+    own, plain = token_files.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    for texts in (["one two three four five six", ""], ["seven one two eight"], [], [""], ["a<|b"], ["two nine"]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own(texts)] == [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert b" two" in own.known and b" three" in own.older and b" three" not in own.known
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 50_257, 1 << 20, 1 << 32])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 4097, 20_000])
 def test_codes_round_trip(n, top):

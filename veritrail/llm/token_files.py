@@ -25,7 +25,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import compress
-from operator import itemgetter
 
 import numpy as np
 import public_tokenizers
@@ -41,22 +40,67 @@ END_ID, IDS_A_FILE = 2, 1 << 22
 #: Levels of a file at most, and their widths: those of which a few fill whole bytes.
 MAX_LEVELS, WIDTHS = 3, (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16)
 MAGIC = b"TOKENDAC"
-#: Letters, digits and white space as the tokenizer's own pattern takes them, up to Latin Extended-B; texts beyond that and common punctuation go to the tokenizer whole.
-LETTERS, DIGITS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-PIECE = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\\s{LETTERS}{DIGITS}]+|\\s+(?!\\S)|\\s+")
+#: Texts beyond Latin Extended-B and common punctuation go to the tokenizer whole.
 ODD = re.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞€]|<\\|")
-CONTROLS = bytes([*range(9), *range(14, 32), 127])
+CONTROLS = bytes([*range(9), *range(14, 32), *range(127, 160)])
+#: Kinds of characters as the tokenizer's own pattern takes them; NONE stands before a text.
+LETTER, DIGIT, OTHER, SPACE, WHITE, NONE = range(6)
+
+
+def kind(char: str) -> int:
+    return SPACE if char == " " else WHITE if char.isspace() else LETTER if char.isalpha() else DIGIT if char.isnumeric() else OTHER
+
+
+#: Of each byte of UTF-8: all of a letter's from the second hundred on count as letters, and what isn't one is put right by its place.
+KINDS = bytes([*(kind(chr(x)) for x in range(128)), *[LETTER] * 128])
+AFTER_C2 = np.array([*[OTHER] * 160, *(kind(chr(x)) for x in range(160, 192)), *[OTHER] * 64], "u1")
 MAX_CACHE = 600_000
-#: Characters whose pieces are held at once, unless one text has more; so few stay in a CPU's cache.
-AT_ONCE = 400_000
+#: Characters whose pieces are told apart at once, unless one text has more.
+AT_ONCE = 3_000_000
 DONE = "part int, file int, path string, n_docs long, n_ids long, start_in_part long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def is_odd(text: str) -> bool:
-    if text.isascii():
-        return "<|" in text or len(text.encode().translate(None, CONTROLS)) < len(text)
-    return ODD.search(text) is not None
+    try:
+        single = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return ODD.search(text) is not None
+    return b"<|" in single or len(single.translate(None, CONTROLS)) < len(single)
+
+
+def cuts(data: bytes, bounds: np.ndarray) -> np.ndarray:
+    """Where the pieces begin that the tokenizer's pattern finds, and the end: '(?:[stmd]|re|ve|ll)| ?letters+| ?digits+| ?others+|\\s+(?!\\S)|\\s+
+
+    data: texts that are not odd, in UTF-8; bounds: of each text, and the end. White space begins a piece after something
+    else, and before it too, as its last character goes to what follows, or stands alone if it isn't a space.
+    """
+    held, kinds = np.frombuffer(data, "u1"), np.frombuffer(bytearray(data.translate(KINDS)), "u1")
+    pairs, triples = (held == 0xC2).nonzero()[0], (held == 0xE2).nonzero()[0]
+    kinds[pairs] = kinds[pairs + 1] = AFTER_C2[held[pairs + 1]]
+    signs = ((held[:-1] == 0xC3) & ((held[1:] == 0x97) | (held[1:] == 0xB7))).nonzero()[0]  # multiplied and divided by
+    kinds[signs] = kinds[signs + 1] = OTHER
+    kinds[triples] = kinds[triples + 1] = kinds[triples + 2] = OTHER
+    some = bounds[:-1] < bounds[1:]
+    firsts, lasts = bounds[:-1][some], bounds[1:][some] - 1
+    before = np.concatenate(([NONE], kinds)).astype("u1")[:-1]
+    before[firsts] = NONE
+    white = kinds >= SPACE
+    goes_on = np.concatenate((~white, [False]))[1:]  # with something else than white space
+    goes_on[lasts] = False
+    begins = np.where(white, (before < SPACE) | (before == NONE) | goes_on, (before != kinds) & (before != SPACE))
+    wide = pairs[held[pairs + 1] == 0xA0]  # white space of two bytes
+    begins[wide] |= goes_on[wide + 1]
+    begins[wide + 1] = False
+    quotes = (begins & (held == 0x27)).nonzero()[0]
+    if len(quotes):
+        ends, after = bounds[np.searchsorted(bounds, quotes, "right")], np.concatenate((held, np.zeros(2, "u1")))
+        one, two = after[quotes + 1], after[quotes + 1].astype(np.uint16) << np.uint16(8) | after[quotes + 2]
+        sizes = np.where(np.isin(one, list(b"stmd")) & (quotes + 1 < ends), 2, np.where(np.isin(two, [0x7265, 0x7665, 0x6C6C]) & (quotes + 2 < ends), 3, 0))
+        quotes, sizes = quotes[sizes > 0], sizes[sizes > 0]
+        begins[quotes + 1] = False
+        begins[(quotes + sizes)[quotes + sizes < len(held)]] = True
+    return np.concatenate((begins.nonzero()[0], [len(held)]))
 
 
 class Encoder:
@@ -69,8 +113,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[at for word, at in vocabulary.items() if word[0] == "\u0120"]] = True  # the tokenizer's letter for a space
@@ -78,32 +122,46 @@ class Encoder:
     def each(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, keys: list[bytes]) -> None:
         """Pieces that are a space and something else are encoded many at once, one after another: each begins with the only id that has a space."""
-        after_space = [p[0] == " " and not p[1:].isspace() and len(p) > 1 for p in pieces]
-        words = list(compress(pieces, after_space))
+        after_space = [k[0] == 32 and len(k) > 1 and not k.decode().isspace() for k in keys]
+        words = list(compress(keys, after_space))
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
             data, cuts = ids.tobytes(), [*(4 * self.begins[ids].nonzero()[0]).tolist(), 4 * len(ids)]
             self.known.update(zip(part, (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        rest = [p for p, x in zip(pieces, after_space, strict=True) if not x]
-        self.known.update(zip(rest, self.each(rest), strict=True))
+        rest = [k for k, x in zip(keys, after_space, strict=True) if not x]
+        self.known.update(zip(rest, self.each([k.decode() for k in rest]), strict=True))
+
+    def of(self, keys: list[bytes]) -> list[bytes]:
+        if len(self.known) > MAX_CACHE:
+            self.known, self.older = {}, self.known
+        got = list(map(self.known.get, keys))
+        lost = [k for k, x in zip(keys, got, strict=True) if x is None]
+        if lost:
+            self.known.update((k, self.older[k]) for k in lost if k in self.older)
+            self.learn([k for k in lost if k not in self.known])
+            got = [self.known[k] if x is None else x for k, x in zip(keys, got, strict=True)]
+        return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Of texts that are held in memory together with their pieces."""
         odd = [is_odd(x) for x in texts]
-        pieces = [[] if o else PIECE.findall(x) for x, o in zip(texts, odd, strict=True)]
-        if len(self.known) > MAX_CACHE:
-            self.known, self.older = {}, self.known
-        lost = set().union(*pieces).difference(self.known)
-        self.known.update((p, self.older[p]) for p in lost if p in self.older)
-        self.learn([p for p in lost if p not in self.known])
-        return [self.each([x])[0] if o else self.found(p) for x, o, p in zip(texts, odd, pieces, strict=True)]
-
-    def found(self, pieces: list[str]) -> bytes:
-        """itemgetter looks them all up at once, but takes two at least to return them as a tuple."""
-        return b"".join(itemgetter(*pieces)(self.known)) if len(pieces) > 1 else b"".join(map(self.known.__getitem__, pieces))
+        plain = [b"" if o else x.encode() for x, o in zip(texts, odd, strict=True)]
+        data, bounds = b"".join(plain), np.concatenate(([0], np.cumsum([len(x) for x in plain], dtype=np.int64)))
+        starts = cuts(data, bounds)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+        each = self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        places = np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n)
+        places += np.arange(len(places))
+        ids = memoryview(np.frombuffer(b"".join(each), "<u4")[places].tobytes())
+        of = (4 * ends[np.searchsorted(starts, bounds)]).tolist()
+        return [self.each([x])[0] if o else bytes(ids[a:b]) for x, o, a, b in zip(texts, odd, of, of[1:], strict=False)]
 
 
 @functools.cache
