@@ -164,3 +164,22 @@ def test_one_order_over_many_tasks(spark):
     assert [(x["case_id"], x["claim_id"]) for x in pages] == want
     assert "TakeOrdered" in V.queue_page(df)._jdf.queryExecution().executedPlan().toString()
     assert V.whole_queue(df.limit(0)).count() == 0
+
+
+def test_a_large_case_keeps_no_postings(spark, tmp_path, monkeypatch):
+    """What a large case writes follows its texts, whose postings take some fifteen times as much, and a block is counted in few texts at once."""
+    from veritrail.operators import recounted as L
+    from veritrail.sources import staging
+
+    rows = [(1, p, " ".join(f"word{(p * 37 + k * k) % 501}" for k in range(120))) for p in range(60)]
+    chunks = C.chunks(spark.createDataFrame(rows, "case_id long, page int, text string"), "pdf")
+    claims = spark.createDataFrame([(1, k, rows[k][2][:80]) for k in range(0, 60, 7)], "case_id long, claim_id long, claim_norm string")
+    want = sorted((x["claim_id"], x["rank"], x["ord"]["place"], x["ord"]["chunk_id"], round(x["score"], 9)) for x in R.topk_by_join(claims, chunks).collect())
+    for name, value in (("LEAST", 16), ("MOST", 16), ("FEW", 5), ("AT_ONCE", 40), ("TOLD", 50), ("CLAIMS", 4)):
+        monkeypatch.setattr(L, name, value)
+    monkeypatch.setattr(R, "CHUNKS", 20)
+    monkeypatch.setattr(staging.shared_folder, "own", str(tmp_path), raising=False)
+    got = R.topk_evidence(claims, chunks).collect()
+    assert sorted((x["claim_id"], x["rank"], x["ord"]["place"], x["ord"]["chunk_id"], round(x["score"], 9)) for x in got) == want
+    written = sum(x.stat().st_size for x in tmp_path.rglob("*.parquet"))
+    assert written < 3 * sum(len(x[2]) for x in rows)
