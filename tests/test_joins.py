@@ -183,3 +183,39 @@ def test_a_large_case_keeps_no_postings(spark, tmp_path, monkeypatch):
     assert sorted((x["claim_id"], x["rank"], x["ord"]["place"], x["ord"]["chunk_id"], round(x["score"], 9)) for x in got) == want
     written = sum(x.stat().st_size for x in tmp_path.rglob("*.parquet"))
     assert written < 3 * sum(len(x[2]) for x in rows)
+
+
+def told_cases(spark):
+    """Reports, pages and cells of a few cases: numbers as text, as amounts near and far, words in one page of many, a page without text."""
+    reports = spark.createDataFrame([(k, f"2020년 매출액은 1,23{k}백만원으로 전년 대비 증가했다. 영업이익은 {k}.5%이고 12억원 또한 감소했다. The Outlook of company {k} is stable.") for k in range(5)], "case_id long, text string")
+    pages = spark.createDataFrame([(k, p, None if p == 3 else f"page {p} 매출액 123{p}백만원, {p}.5 ％ outlook\ncompany {k} 120,000만원") for k in range(5) for p in range(k + 1)], "case_id long, page int, text string")
+    cells = spark.createDataFrame([(k, 0, "s", r, 0, "매출액" if r == 1 else str(1224 + 3 * r)) for k in range(4) for r in (1, 2, 3, 4)], "case_id long, file_idx int, sheet string, row_no int, col_no int, value string")
+    return reports, pages, cells
+
+
+@pytest.mark.parametrize("limit", ["TEXTS", "NEEDLES"])
+def test_cases_in_one_task_agree_with_joins(spark, monkeypatch, limit):
+    """Some cases (TEXTS), then all (NEEDLES), through joins: the same features to the last bit that counts."""
+    rows = lambda: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in P.flat_report(P.verify_cases(*told_cases(spark), top_k=1)).collect())
+    want = rows()
+    monkeypatch.setattr(M, limit, 2 if limit == "TEXTS" else 20)
+    monkeypatch.setattr(M, "PLAIN", 0)
+    assert len(want) >= 15 and rows() == want
+
+
+def test_a_case_of_few_texts_shuffles_no_needles(spark, monkeypatch):
+    """Words, numbers and their spellings stay in arrays of their claim: no table of needles is written."""
+    from veritrail.plans import verify
+
+    written = []
+    put = verify.staged
+    monkeypatch.setattr(verify, "staged", lambda df, what: (written.append(what), put(df, what))[1])
+    P.verify_cases(*told_cases(spark), top_k=1)
+    assert not {"asked", "needles"} & set(written)
+
+
+def test_fact_block_takes_spellings_from_the_table(spark):
+    from veritrail.functions import numbers as N, scoring as S
+
+    rows = spark.createDataFrame([("2020년 매출액은 1,234백만원 12 ％ 증가", "2020년 매출액은 12.34억원이다. 하나. 12%"), ("매출 5?5배", "매출 5배"), ("ROE 7%p", ""), ("", "매출 1")], "c string, e string").withColumn("n", N.extract_numbers("c")).withColumn("s", F.transform("n", N.number_variants))
+    assert all(a == b for a, b in rows.select(S.fact_block("c", "e"), S.fact_block("c", "e", numbers="n", spellings="s")).collect())
