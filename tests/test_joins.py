@@ -219,3 +219,17 @@ def test_fact_block_takes_spellings_from_the_table(spark):
 
     rows = spark.createDataFrame([("2020년 매출액은 1,234백만원 12 ％ 증가", "2020년 매출액은 12.34억원이다. 하나. 12%"), ("매출 5?5배", "매출 5배"), ("ROE 7%p", ""), ("", "매출 1")], "c string, e string").withColumn("n", N.extract_numbers("c")).withColumn("s", F.transform("n", N.number_variants))
     assert all(a == b for a, b in rows.select(S.fact_block("c", "e"), S.fact_block("c", "e", numbers="n", spellings="s")).collect())
+
+
+def test_rows_with_bytes_travel_in_small_batches(spark):
+    from veritrail.operators import grouped
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        rows = spark.range(1000).select(F.lit(1).alias("k"), "id", F.encode(F.col("id").cast("string"), "utf-8").alias("x"))
+        assert grouped.by_group(rows, ["k"], ["id"], lambda key, held: [(len(held),)], "n long", kept=1).first()["n"] == 1000
+        assert int(spark.conf.get(key)) == grouped.FEW
+    finally:
+        spark.conf.set(key, before)
