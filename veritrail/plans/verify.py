@@ -213,8 +213,8 @@ def verify_against(reports: DataFrame, index: Index, top_k: int = 3, thresholds:
 
 
 def _results(claims: DataFrame, each: DataFrame, thresholds: dict | None) -> DataFrame:
-    each = staged(each, "features")
     kept = ["status", "score", "sim_best", "coverage", "proximity", "big_num_recall", "exact_big_num_matches", "unit_match", "direction_score", "direction_conflict", "matched", "evidence"]
+    each = staged(each.select(*KEYS, "source", *kept), "features")
     of = lambda s: each.where(F.col("source") == s).select(*KEYS, *[F.col(k).alias(f"{k}_{s}") for k in kept])
     both = claims.join(of("pdf"), KEYS).join(of("xlsx"), KEYS, "left")
     defaults = {"status_xlsx": "UNSUPPORTED", "score_xlsx": 0.0, "sim_best_xlsx": 0.0, "coverage_xlsx": 0.0, "proximity_xlsx": 0.0, "big_num_recall_xlsx": 0.5, "exact_big_num_matches_xlsx": 0, "unit_match_xlsx": 0.5, "direction_score_xlsx": 0.5, "direction_conflict_xlsx": False}
